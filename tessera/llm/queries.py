@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
+from tessera.llm.neighbours import near_duplicates
 from tessera.llm.terms import distinctive_terms, term_frequencies
 from tessera.plans.registry import Registry
 from tessera.session import table
@@ -59,3 +60,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = typed_countries(spark, sf_dir)
     odd = typed.join(F.broadcast(reference.select(F.col("country_name").alias("value"))), "value", "left_anti")  # the reference list is bounded
     return map_to_reference(odd, reference, "country_id", "country_name", "iso_alpha3").select("recall_id", "field", "country_id").distinct()
+
+
+_SETS_SQL = r"""s AS (SELECT recall_id, list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(products, '')), '[a-z][a-z\-]+')) AS t
+ FROM (SELECT DISTINCT recall_id, title, description, products FROM apparel_recalls_v2 WHERE description IS NOT NULL))"""
+
+
+@REGISTRY.query(
+    "p7_found",
+    f"""WITH {_SETS_SQL}, p AS (SELECT a.recall_id AS recall_id_a, b.recall_id AS recall_id_b, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS i
+ FROM s a JOIN s b ON a.recall_id < b.recall_id AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t))
+ SELECT recall_id_a, recall_id_b FROM p WHERE i >= 0.7 * (n - i)""",
+)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of recalls whose title, description and products have 70 % of their terms in common."""
+    recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description", "products"]).where("description IS NOT NULL")
+    pairs = near_duplicates(recalls, "recall_id", ["title", "description", "products"], share=0.7)
+    return pairs.select(F.col("a").alias("recall_id_a"), F.col("b").alias("recall_id_b"))
