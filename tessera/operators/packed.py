@@ -149,7 +149,7 @@ def split_values(df: DataFrame, keys: list[str], fields: dict[str, Profile]) ->
             )
 
     types = dict(df.select(*keys).dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, position int, value string, n_values int, error boolean"
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "field string, position int, value string, n_values int, error boolean"])
     parsed = long.where(hard).mapInArrow(parse, schema)
     value = F.regexp_replace("cell", r"^\s+|\s+$", "")
     plain = long.where(~hard).select(*keys, "field", F.lit(1).alias("position"), value.alias("value"), F.lit(1).alias("n_values"), F.lit(False).alias("error"))
