@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
+from tessera.llm.names import link_names
 from tessera.llm.neighbours import near_duplicates
 from tessera.llm.terms import distinctive_terms, term_frequencies
+from tessera.operators.packed import split_values
+from tessera.plans.data_problems import FIRMS
 from tessera.plans.registry import Registry
 from tessera.session import table
 
@@ -77,3 +80,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description", "products"]).where("description IS NOT NULL")
     pairs = near_duplicates(recalls, "recall_id", ["title", "description", "products"], share=0.7)
     return pairs.select(F.col("a").alias("recall_id_a"), F.col("b").alias("recall_id_b"))
+
+
+def typed_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of firms as typed, each single value of a packed cell on its own."""
+    recalls = table(spark, sf_dir, "apparel_recalls_v2", ["manufacturers", "importers"])
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "").alias("name")
+    packed = split_values(recalls.select("importers").distinct(), [], {"importers": FIRMS}).select(F.col("value").alias("name"))
+    offenders = table(spark, sf_dir, "repeat_offenders", ["firm_name"]).select(trimmed("firm_name"))
+    return recalls.select(trimmed("manufacturers")).union(packed).union(offenders).where("name <> ''").distinct()
+
+
+@REGISTRY.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of the same firm."""
+    linked = link_names(typed_firms(spark, sf_dir))
+    left, right = linked.select("entity", F.col("name").alias("name_a")), linked.select("entity", F.col("name").alias("name_b"))
+    return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
