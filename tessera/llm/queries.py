@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
+from tessera.llm.containers import pack
+from tessera.llm.mixing import mix
 from tessera.llm.names import link_names
 from tessera.llm.neighbours import near_duplicates
+from tessera.llm.reading import reading_levels
 from tessera.llm.terms import distinctive_terms, term_frequencies
+from tessera.llm.tokens import token_counts
 from tessera.operators.packed import split_values
 from tessera.plans.data_problems import FIRMS
 from tessera.plans.registry import Registry
-from tessera.session import table
+from tessera.session import materialize, table
 
 REGISTRY = Registry()
 
@@ -97,3 +101,47 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_names(typed_firms(spark, sf_dir))
     left, right = linked.select("entity", F.col("name").alias("name_a")), linked.select("entity", F.col("name").alias("name_b"))
     return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, tokens) of every document, counted once and kept in the shared folder."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    return materialize(token_counts(docs, ["doc_id", "source"], "text"), "tokens")
+
+
+CONTAINER = 2_048
+
+
+@REGISTRY.query("p8_pack")
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each piece of a document that exceeds a container."""
+    return pack(document_tokens(spark, sf_dir), ["doc_id"], "tokens", CONTAINER).withColumnRenamed("size", "tokens")
+
+
+@REGISTRY.query("p8_fill")
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least number that could hold the tokens, and how full they are."""
+    one = p8_pack(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("used"))
+    every = one.agg(F.count("*").alias("containers"), F.ceil(F.sum("used") / CONTAINER).alias("least_containers"), F.max("used").alias("most_used"), F.avg("used").alias("mean_used"))
+    return every.select("containers", "least_containers", "most_used", F.round(F.col("mean_used") / CONTAINER, 6).alias("fill"))
+
+
+@REGISTRY.query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn."""
+    return mix(document_tokens(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[0]
+
+
+@REGISTRY.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix(document_tokens(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1]
+
+
+@REGISTRY.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every English document of at least 20 words."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where(F.col("lang") == "en").where(words >= 20)
+    levels = reading_levels(docs.select("doc_id", "text"), table(spark, sf_dir, "reading_labels", ["doc_id", "reading_level"]))
+    return levels.select("doc_id", "reading_level").where("reading_level IS NOT NULL")
