@@ -1,5 +1,5 @@
 """All query registries of the core."""
 
-from tessera.plans import data_problems
+from tessera.plans import data_problems, text_queries
 
-REGISTRIES = [data_problems.REGISTRY]
+REGISTRIES = [data_problems.REGISTRY, text_queries.REGISTRY]
