@@ -1,5 +1,5 @@
 """All query registries of the core."""
 
-from tessera.plans import data_problems, text_queries
+from tessera.plans import data_problems, relational_queries, text_queries
 
-REGISTRIES = [data_problems.REGISTRY, text_queries.REGISTRY]
+REGISTRIES = [relational_queries.REGISTRY, text_queries.REGISTRY, data_problems.REGISTRY]
