@@ -1,0 +1,228 @@
+"""Queries of supervised learning and topics."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.text import headline_product
+from tessera.operators import learning as L
+from tessera.operators import topics as T
+from tessera.operators.contingency import replicates
+from tessera.operators.series import first_peak, prior_events
+from tessera.operators.shares import crosstab, ranking_metrics
+from tessera.operators.similarity import npmi
+from tessera.plans.registry import Registry
+from tessera.plans.relational_queries import r6
+from tessera.plans.text_queries import E
+from tessera.session import materialize
+from tessera.sources.events import events
+
+REGISTRY = Registry()
+Q = REGISTRY.query
+NUMERIC = ["log_units_", "log_price", "year", "prior", "title_words"]
+LEVELS = ["hazard_category", "sales_channel", "segment", "country", "archetype"]
+
+
+def feature_frame(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d, "year", "title", "recall_date", "firm_key", "units", "price_usd", "hazard_category", "sales_channel", "segment", "primary_country", "archetype", "injuries_reported")
+    e = prior_events(e, "firm_key", "recall_date", "recall_id")
+    return e.select(
+        "recall_id", F.col("injuries_reported").cast("double").alias("y"), F.when(F.col("units") > 0, F.log10("units")).alias("log_units_"),
+        F.when(F.col("price_usd") > 0, F.log10("price_usd")).alias("log_price"), F.col("year").cast("double").alias("year"), F.col("prior").cast("double").alias("prior"),
+        F.size(F.split("title", " ")).cast("double").alias("title_words"), "hazard_category", "sales_channel", "segment", F.col("primary_country").alias("country"), "archetype",
+    ).where("y IS NOT NULL")
+
+
+@Q("ml1_feature_frame", f"""{E} SELECT recall_id, CAST(injuries_reported AS DOUBLE) AS y, CASE WHEN units > 0 THEN round(log10(units), 6) END AS log_units_, CASE WHEN price_usd > 0 THEN round(log10(price_usd), 6) END AS log_price, CAST(year AS DOUBLE) AS year,
+ CAST(CASE WHEN firm_key IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY firm_key ORDER BY recall_date ASC NULLS LAST, recall_id) - 1 END AS DOUBLE) AS prior, CAST(len(string_split(title, ' ')) AS DOUBLE) AS title_words, hazard_category, sales_channel, segment, primary_country AS country, archetype FROM e WHERE injuries_reported IS NOT NULL""")
+def ml1(spark: SparkSession, d: str) -> DataFrame:
+    return feature_frame(spark, d).withColumns({c: F.round(c, 6) for c in ("log_units_", "log_price")})
+
+
+def ready(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(L.collapse_rare(feature_frame(spark, d), LEVELS), "features")
+
+
+@Q("ml2_preprocessing")
+def ml2(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with their preprocessed vector's length and sum."""
+    from pyspark.ml.functions import vector_to_array
+
+    indicators, stages = L.preprocessing(NUMERIC, LEVELS)
+    x = indicators(ready(spark, d))
+    v = vector_to_array("features")
+    return Pipeline(stages=stages).fit(x).transform(x).select("recall_id", F.size(v).alias("width"), F.aggregate(v, F.lit(0.0), lambda s, e: s + e).alias("total"))
+
+
+CANDIDATES = {"elastic_net": [{"reg": 0.01, "mix": 0.5}, {"reg": 0.1, "mix": 0.1}], "forest": [{"depth": 4}], "boosting": [{"rounds": 3}]}
+
+
+@Q("ml3_ml4_ml5_nested_validation")
+def ml5(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold predictions of the estimators and of the constant ones, summarised by model."""
+    x = ready(spark, d)
+    preds = L.dummy_predictions(x, "recall_id").unionByName(L.nested_predictions(x, "recall_id", NUMERIC, LEVELS, CANDIDATES))
+    p = materialize(preds, "oof")
+    return p.groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("pred") - F.col("y")) ** 2).alias("brier"))
+
+
+@Q("ml6_temporal_rows", f"{E} SELECT year <= 2014 AS train, count(*) AS n, round(avg(CAST(injuries_reported AS INTEGER)), 6) AS share FROM e WHERE injuries_reported IS NOT NULL GROUP BY 1")
+def ml6(spark: SparkSession, d: str) -> DataFrame:
+    return feature_frame(spark, d).groupBy((F.col("year") <= 2014).alias("train")).agg(F.count("*").alias("n"), r6(F.avg("y"), "share"))
+
+
+@Q("ml6_temporal_gap")
+def ml6b(spark: SparkSession, d: str) -> DataFrame:
+    """AUC on later events after training on earlier ones."""
+    model, test = forest(spark, d)
+    return ranking_metrics(model.transform(test).select("y", L.probability().alias("p")), "y", "p")
+
+
+def forest(spark: SparkSession, d: str):
+    x = ready(spark, d)
+    indicators, stages = L.preprocessing(NUMERIC, LEVELS)
+    model = Pipeline(stages=[*stages, L.ESTIMATORS["forest"]({"depth": 5})]).fit(indicators(x.where("year <= 2014")))
+    return model, indicators(x.where("year > 2014"))
+
+
+@Q("ml7_permutation_importance")
+def ml7(spark: SparkSession, d: str) -> DataFrame:
+    model, test = forest(spark, d)
+    return L.permutation_importance(model, test, "recall_id", ["year", "log_price", "hazard_category", "sales_channel"], 1)
+
+
+@Q("ml8_partial_dependence")
+def ml8(spark: SparkSession, d: str) -> DataFrame:
+    model, test = forest(spark, d)
+    lo, hi = test.agg(F.percentile("log_price", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
+    return L.partial_dependence(model, test.where("log_price IS NOT NULL"), "log_price", [float(v) for v in np.linspace(lo, hi, 9)])
+
+
+@Q("reg6_elastic_net_bootstrap")
+def reg6(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients over Poisson-weighted resamples: mean, spread and how often each is kept."""
+    x = ready(spark, d)
+    indicators, stages = L.preprocessing(NUMERIC, LEVELS[:2])
+    fitted = Pipeline(stages=stages).fit(indicators(x)).transform(indicators(x)).select("recall_id", "y", "features").cache()
+    coefs = []
+    for b in range(3):
+        # Poisson(1) weights by hash: the bootstrap of rows without moving them
+        u = F.pmod(F.xxhash64("recall_id", F.lit(b)), F.lit(1 << 30)) / float(1 << 30)
+        w = F.when(u < 0.367879, 0.0).when(u < 0.735759, 1.0).when(u < 0.919699, 2.0).when(u < 0.981012, 3.0).otherwise(4.0)
+        from pyspark.ml.classification import LogisticRegression
+
+        coefs.append(LogisticRegression(labelCol="y", weightCol="w", regParam=0.02, elasticNetParam=0.5).fit(fitted.withColumn("w", w)).coefficients.toArray())
+    c = np.array(coefs)
+    return spark.createDataFrame([(i, float(c[:, i].mean()), float(c[:, i].std()), float((c[:, i] != 0).mean())) for i in range(c.shape[1])], "feature int, mean double, sd double, selected double")
+
+
+# --- topics ----------------------------------------------------------------------------------------------------------
+NOISE = ["recall", "recalls", "recalled", "announce", "announces", "cpsc", "due", "hazard", "style", "imported", "consumers", "warns"]
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d, "title", "period", "sales_channel").select("recall_id", "period", "sales_channel", headline_product(F.col("title")).alias("text"))
+    return e.where("text <> ''")
+
+
+def vectorised(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    docs, vocabulary = T.vectors(corpus(spark, d), "text", 5, 0.6, NOISE)
+    return docs, vocabulary
+
+
+@Q("tx1_vocabulary")
+def tx1(spark: SparkSession, d: str) -> DataFrame:
+    docs, vocabulary = vectorised(spark, d)
+    return spark.createDataFrame([(i, t) for i, t in enumerate(vocabulary)], "rank int, term string")
+
+
+def cells(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(recall_id, term, n) of the terms in the vocabulary."""
+    known = docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
+    return docs.select("recall_id", F.explode("terms").alias("term")).join(F.broadcast(known), "term").groupBy("recall_id", "term").agg(F.count("*").alias("n"))  # VOCABULARY rows at most
+
+
+def nmf(spark: SparkSession, d: str, k: int = 5, seed: int = 1):
+    docs, vocabulary = vectorised(spark, d)
+    return T.factorise(cells(docs, vocabulary), "recall_id", "term", "n", k, 5, seed)
+
+
+@Q("tx2_nmf_topics")
+def tx2(spark: SparkSession, d: str) -> DataFrame:
+    _, h, terms = nmf(spark, d)
+    return spark.createDataFrame([(i, r, t) for i, ts in enumerate(T.top_terms(h, terms)) for r, t in enumerate(ts)], "topic int, rank int, term string")
+
+
+@Q("tx3_lda_topics")
+def tx3(spark: SparkSession, d: str) -> DataFrame:
+    docs, vocabulary = vectorised(spark, d)
+    model, perplexity = T.lda(docs, 5, 8)
+    return model.describeTopics(6).select("topic", F.posexplode("termIndices").alias("rank", "term_id")).withColumn("log_perplexity", F.lit(float(perplexity)))
+
+
+@Q("tx5_stability")
+def tx5(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus of repeated factorisations over the most frequent terms (a fixed number, so the linkage stays small)."""
+    docs, vocabulary = vectorised(spark, d)
+    c = materialize(cells(docs, vocabulary[:80]), "cells")
+    together = np.zeros((len(vocabulary[:80]),) * 2)
+    place = {t: i for i, t in enumerate(vocabulary[:80])}
+    for s in range(2):
+        part = c.where(F.pmod(F.xxhash64("recall_id", F.lit(s)), F.lit(10)) < 8)
+        _, h, terms = T.factorise(part, "recall_id", "term", "n", 4, 3, s)
+        label = np.full(len(place), -1 - s)
+        for j, t in enumerate(terms):
+            label[place[t]] = h[:, j].argmax()
+        together += (label[:, None] == label[None]) / 2
+    return spark.createDataFrame([(4, T.cophenetic(together))], "k int, cophenetic double")
+
+
+@Q("tx6_topic_count")
+def tx6(spark: SparkSession, d: str) -> DataFrame:
+    """Coherence by number of topics, and the number at its first peak."""
+    docs, vocabulary = vectorised(spark, d)
+    c = materialize(cells(docs, vocabulary), "cells")
+    held = docs.select("recall_id", "terms")
+    rows = []
+    for k in range(2, 5):
+        _, h, terms = T.factorise(c, "recall_id", "term", "n", k, 3)
+        top = spark.createDataFrame([(i, t) for i, ts in enumerate(T.top_terms(h, terms, 6)) for t in ts], "topic int, term string")
+        rows.append((k, float(npmi(held, "recall_id", "terms", top).agg(F.avg("npmi")).first()[0])))
+    scores = spark.createDataFrame(rows, "k int, coherence double")
+    best = first_peak(scores, "k", "coherence").first()["k"]
+    return scores.withColumn("chosen", F.col("k") == best)
+
+
+@Q("tx7_dominant_topics")
+def tx7(spark: SparkSession, d: str) -> DataFrame:
+    """Share and lift of each document's dominant topic by period, topics named by their terms."""
+    w, h, terms = nmf(spark, d)
+    names = spark.createDataFrame([(i, T.topic_name(ts)) for i, ts in enumerate(T.top_terms(h, terms))], "topic int, name string")
+    best = w.select("recall_id", (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("topic")).join(corpus(spark, d).select("recall_id", "period"), "recall_id")
+    c = crosstab(best, "topic", "period")
+    return c.join(F.broadcast(names), "topic").select("topic", "name", "period", "n", F.col("col_share").alias("share"), "lift")
+
+
+@Q("tx7_top_documents")
+def tx7b(spark: SparkSession, d: str) -> DataFrame:
+    """The three documents in which each topic weighs most."""
+    w, _, _ = nmf(spark, d)
+    long = w.select("recall_id", F.posexplode("weights").alias("topic", "weight"))
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "recall_id"))
+    return long.withColumn("rank", rank).where("rank <= 3").select("topic", "rank", "recall_id")
+
+
+@Q("ct12_bootstrap_difference")
+def ct12b(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap of a difference of two shares, with the probability that it isn't positive."""
+    g = events(spark, d, "year", "sales_channel").groupBy((F.col("year") >= 2005).alias("late")).agg(F.count_if(F.col("sales_channel") == "online_only").alias("k"), F.count("*").alias("n")).collect()
+    k, n = ({bool(r["late"]): int(r[c]) for r in g if r["late"] is not None} for c in ("k", "n"))
+
+    def draw(rng):
+        return {"d": rng.binomial(n[True], k[True] / n[True]) / n[True] - rng.binomial(n[False], k[False] / n[False]) / n[False]}
+
+    reps = replicates(spark, 500, 4, draw, ["d"])
+    return reps.agg(F.avg("d").alias("difference"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.avg((F.col("d") <= 0).cast("int")).alias("p_not_positive"))
