@@ -104,7 +104,9 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     return odds, min(1.0, p)
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x):
+    """Log gamma function of each entry."""
+    return np.array([math.lgamma(v) for v in np.ravel(x)], float).reshape(np.shape(x))
 
 
 def log_poisson(y, mu):

@@ -19,7 +19,7 @@ def counted(df: DataFrame, *by: str) -> DataFrame:
 
 def _margins(cells: DataFrame, row: str, col: str, by: Sequence[str] = ()) -> DataFrame:
     w = lambda *k: Window.partitionBy(*(list(by) + list(k) or [F.lit(1)]))
-    return cells.withColumn("r", F.sum("o").over(w(row))).withColumn("c", F.sum("o").over(w(col))).withColumn("n", F.sum("o").over(w()))
+    return cells.withColumn("__r", F.sum("o").over(w(row))).withColumn("__c", F.sum("o").over(w(col))).withColumn("__n", F.sum("o").over(w()))
 
 
 def association(cells: DataFrame, row: str, col: str, by: Sequence[str] = (), p_value: bool = False) -> DataFrame:
@@ -28,13 +28,13 @@ def association(cells: DataFrame, row: str, col: str, by: Sequence[str] = (), p_
     Cells that don't occur need no row: chi2 is the sum of o^2/e over the others, less n. Tables with one row or column have
     df 0 and NULL v.
     """
-    m = _margins(cells.where("o > 0"), row, col, by).withColumn("e", F.col("r") * F.col("c") / F.col("n"))
+    m = _margins(cells.where("o > 0"), row, col, by).withColumn("e", F.col("__r") * F.col("__c") / F.col("__n"))
     s = m.groupBy(*by).agg(
-        F.max("n").alias("n"), F.count_distinct(row).alias("nr"), F.count_distinct(col).alias("nc"),
+        F.max("__n").alias("n"), F.count_distinct(row).alias("nr"), F.count_distinct(col).alias("nc"),
         F.sum(F.col("o") * F.col("o") / F.col("e")).alias("q"), (2 * F.sum(F.col("o") * F.log(F.col("o") / F.col("e")))).alias("g"),
     )
     chi2, df = F.col("q") - F.col("n"), (F.col("nr") - 1) * (F.col("nc") - 1)
-    v = F.sqrt(F.greatest(F.try_divide(chi2, F.col("n") * (F.least("nr", "nc") - 1)), F.lit(0.0)))
+    v = F.when(df > 0, F.sqrt(F.greatest(F.try_divide(chi2, F.col("n") * (F.least("nr", "nc") - 1)), F.lit(0.0))))
     out = s.select(*by, "n", df.alias("df"), chi2.alias("chi2"), "g", v.alias("v"))
     return out.withColumn("p", F.when(F.col("df") > 0, column(chi2_sf, F.col("chi2"), F.greatest("df", F.lit(1))))) if p_value else out
 
@@ -47,8 +47,8 @@ def full_grid(cells: DataFrame, row: str, col: str) -> DataFrame:
 
 def residuals(cells: DataFrame, row: str, col: str) -> DataFrame:
     """(row, col, o, e, residual): adjusted standardised residuals, 0 where the standard error is 0."""
-    m = _margins(full_grid(cells, row, col), row, col).withColumn("e", F.col("r") * F.col("c") / F.col("n"))
-    se = F.sqrt(F.col("e") * (1 - F.col("r") / F.col("n")) * (1 - F.col("c") / F.col("n")))
+    m = _margins(full_grid(cells, row, col), row, col).withColumn("e", F.col("__r") * F.col("__c") / F.col("__n"))
+    se = F.sqrt(F.col("e") * (1 - F.col("__r") / F.col("__n")) * (1 - F.col("__c") / F.col("__n")))
     return m.select(row, col, "o", "e", F.coalesce(F.try_divide(F.col("o") - F.col("e"), se), F.lit(0.0)).alias("residual"))
 
 

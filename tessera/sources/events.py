@@ -26,7 +26,7 @@ EXPOSURE = T.StructType([T.StructField("Country", T.StringType()), T.StructField
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
     """Nested events from a JSON array file or folder of such files (a leading byte-order mark is skipped); no inference."""
-    return spark.read.schema(RAW_EVENT).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    return spark.read.schema(RAW_EVENT).option("multiLine", True).json(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
