@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.special import chi2_sf, column
+from tessera.operators.series import running
 
 
 def counted(df: DataFrame, *by: str) -> DataFrame:
@@ -126,8 +127,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (h, df): Kruskal-Wallis statistic with tie correction, from the counts of different values per group."""
     cells = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
     ranks = cells.groupBy(value).agg(F.sum("m").alias("t"))
-    w = Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranks.withColumn("rank", F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2)
+    ranks = running(ranks, [value], {"upto": "t"}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     by = cells.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("r"))
     a = by.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
     t = ranks.agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))

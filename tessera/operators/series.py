@@ -13,6 +13,27 @@ def ordered(order: str, by: Sequence[str] = ()):
     return Window.partitionBy(*(by or [F.lit(1)])).orderBy(order)
 
 
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, str | Column]) -> DataFrame:
+    """`df` with running totals over the whole table in `order`, spread over all tasks.
+
+    `sums` maps new columns to what they add up. The rows are split into ranges of the order; each range is summed on its own
+    and starts from the total of the ranges before it, of which there are as many as shuffle partitions. So no task sees more
+    than one range, and a key that holds many rows spans several. The ranges are written once, so that a recomputation can't
+    split them differently. Rows that are equal in `order` are numbered in any order.
+    """
+    from tessera.session import materialize
+
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    valued = df.withColumns({f"__{c}": v if isinstance(v, Column) else F.col(v) for c, v in sums.items()})
+    placed = materialize(valued.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("__range").agg(*[F.sum(f"__{c}").alias(f"__{c}_t") for c in sums])
+    before = Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__{c}_t").over(before), F.lit(0)).alias(f"__{c}_b") for c in sums])
+    local = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(offsets), "__range")  # one row per range
+    return out.select(*df.columns, *[(F.col(f"__{c}_b") + F.sum(f"__{c}").over(local)).alias(c) for c in sums])
+
+
 def centred_mean(value: str, order: str, half: int, by: Sequence[str] = ()) -> Column:
     """Mean over `half` rows on either side, NULL where the frame isn't full; rows must be dense in `order`."""
     w = ordered(order, by).rowsBetween(-half, half)
@@ -34,9 +55,15 @@ def suspect_repeats(df: DataFrame, year: str, value: str, tolerance: float = 0.0
 
 
 def prior_events(df: DataFrame, key: str, date: str, tie: str) -> DataFrame:
-    """`df` with `prior`: how many earlier rows its key has, in order of date (NULL last) and `tie`; a NULL key has none."""
-    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(date), tie)
-    known = df.where(F.col(key).isNotNull()).withColumn("prior", F.row_number().over(w) - 1)
+    """`df` with `prior`: how many earlier rows its key has, in order of date (NULL last) and `tie`; a NULL key has none.
+
+    Rows are numbered through in order of key, date and tie, and the first number of each key is taken off, so that a key
+    with a third of all rows is spread over several tasks.
+    """
+    known = df.where(F.col(key).isNotNull()).withColumn("__undated", F.col(date).isNull())
+    numbered = running(known, [key, "__undated", date, tie], {"__i": F.lit(1)})
+    first = numbered.groupBy(key).agg(F.min("__i").alias("__first"))
+    known = numbered.join(first, key).withColumn("prior", F.col("__i") - F.col("__first")).select(*df.columns, "prior")
     return known.unionByName(df.where(F.col(key).isNull()).withColumn("prior", F.lit(0)))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.series import running
+
 
 def share(flag: Column) -> Column:
     """The share of rows where a flag holds among those where it isn't NULL."""
@@ -46,13 +48,10 @@ def mode_of(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def ranked_sums(sizes: DataFrame, size: str) -> DataFrame:
-    """(size, m, before, cumulative): multiplicity of each different size with the entities and the sum up to it.
-
-    Sizes are reduced to their multiplicities first: the ordered window runs over different sizes, not over entities.
-    """
-    counts = sizes.groupBy(F.col(size).alias("x")).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(F.lit(1)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("x", "m", (F.sum("m").over(w) - F.col("m")).alias("before"), F.sum(F.col("x") * F.col("m")).over(w).alias("cumulative"))
+    """(x, m, before, cumulative): multiplicity of each different size with the entities before it and the sum up to it."""
+    counts = sizes.where(F.col(size).isNotNull()).groupBy(F.col(size).alias("x")).agg(F.count("*").alias("m"))
+    r = running(counts, ["x"], {"upto": "m", "cumulative": F.col("x") * F.col("m")})
+    return r.select("x", "m", (F.col("upto") - F.col("m")).alias("before"), "cumulative")
 
 
 def gini(sizes: DataFrame, size: str) -> DataFrame:
@@ -92,20 +91,22 @@ def by_score(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row (auc, average_precision): by midranks and by steps over descending ties; NULL without both classes."""
-    s = by_score(df, y, p)
-    up = Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select("*", (F.sum("m").over(up) - F.col("m") + (F.col("m") + 1) / 2).alias("midrank"), F.sum("m").over(down).alias("seen"), F.sum("pos").over(down).alias("hits"))
+    s = running(by_score(df, y, p), ["s"], {"m_upto": "m", "pos_upto": "pos"})
+    t = s.agg(F.sum("m").alias("m_all"), F.sum("pos").alias("pos_all"))
+    s = s.join(F.broadcast(t)).select(  # one row
+        "*", (F.col("m_upto") - F.col("m") + (F.col("m") + 1) / 2).alias("midrank"),
+        (F.col("m_all") - F.col("m_upto") + F.col("m")).alias("seen"), (F.col("pos_all") - F.col("pos_upto") + F.col("pos")).alias("hits"),
+    )
     pos, n = F.sum("pos"), F.sum("m")
     auc = F.try_divide(F.sum(F.col("pos") * F.col("midrank")) - pos * (pos + 1) / 2, pos * (n - pos))
     return s.agg(auc.alias("auc"), F.try_divide(F.sum(F.col("pos") * F.col("hits") / F.col("seen")), pos).alias("average_precision"))
 
 
-def midranks(df: DataFrame, value: str, partition: Sequence[str] = ()) -> DataFrame:
-    """(partition, value, m, midrank) of each different value; join it back by value to rank rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*(partition or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("midrank", F.sum("m").over(w) - F.col("m") + (F.col("m") + 1) / 2)
+def midranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, m, midrank) of each different value; join it back by value to rank rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m"))
+    r = running(counts, [value], {"__upto": "m"})
+    return r.select(value, "m", (F.col("__upto") - F.col("m") + (F.col("m") + 1) / 2).alias("midrank"))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -160,8 +160,8 @@ _TOP = " UNION ALL ".join(f"SELECT {k} AS topic, '{t}' AS term" for k, ts in TOP
 
 @Q("tx4_npmi", f"""{E}, t AS ({_TOP}), h AS (SELECT DISTINCT recall_id, term FROM (SELECT recall_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, products)), '[a-z][a-z\\-]+')) AS term FROM e) WHERE term IN (SELECT term FROM t)), n AS (SELECT count(*) AS n FROM e),
  df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), co AS (SELECT a.term AS x, b.term AS y, count(*) AS co FROM h a JOIN h b ON a.recall_id = b.recall_id AND a.term < b.term GROUP BY ALL),
- p AS (SELECT a.topic, a.term AS x, b.term AS y FROM t a JOIN t b ON a.topic = b.topic AND a.term < b.term), q AS (SELECT topic, (coalesce(co, 0) + 1) / (n + 1) AS c, (coalesce(dx.df, 0) + 1) / (n + 1) AS px, (coalesce(dy.df, 0) + 1) / (n + 1) AS py FROM p LEFT JOIN co ON co.x = p.x AND co.y = p.y LEFT JOIN df dx ON dx.term = p.x LEFT JOIN df dy ON dy.term = p.y, n)
- SELECT topic, round(avg(ln(c / (px * py)) / -ln(c)), 6) AS npmi FROM q GROUP BY 1""".replace("FROM p LEFT JOIN co ON co.x = p.x AND co.y = p.y LEFT JOIN df dx ON dx.term = p.x LEFT JOIN df dy ON dy.term = p.y, n)", "FROM p CROSS JOIN n LEFT JOIN co ON co.x = p.x AND co.y = p.y LEFT JOIN df dx ON dx.term = p.x LEFT JOIN df dy ON dy.term = p.y)"))
+ p AS (SELECT a.topic, a.term AS x, b.term AS y FROM t a JOIN t b ON a.topic = b.topic AND a.term < b.term), q AS (SELECT topic, (coalesce(co, 0) + 1) / (n + 1) AS c, (coalesce(dx.df, 0) + 1) / (n + 1) AS px, (coalesce(dy.df, 0) + 1) / (n + 1) AS py FROM p CROSS JOIN n LEFT JOIN co ON co.x = p.x AND co.y = p.y LEFT JOIN df dx ON dx.term = p.x LEFT JOIN df dy ON dy.term = p.y)
+ SELECT topic, round(avg(ln(c / (px * py)) / -ln(c)), 6) AS npmi FROM q GROUP BY 1""")
 def tx4(spark: SparkSession, d: str) -> DataFrame:
     top = spark.createDataFrame([(k, t) for k, ts in TOPICS.items() for t in ts], "topic int, term string")
     docs = events(spark, d, "title", "products").select("recall_id", F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "products")), F.lit(r"[a-z][a-z\-]+"), F.lit(0)).alias("terms"))

@@ -70,7 +70,8 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@Q("jn6_calendar_spine", f"{E} SELECT CAST(y AS INTEGER) AS year, segment, count(recall_id) AS n FROM range(1974, 2027) t(y) CROSS JOIN (SELECT DISTINCT segment FROM e) LEFT JOIN e ON e.year = y AND e.segment IS NOT DISTINCT FROM segment GROUP BY ALL".replace("(SELECT DISTINCT segment FROM e) LEFT JOIN e ON e.year = y AND e.segment IS NOT DISTINCT FROM segment", "(SELECT DISTINCT segment FROM e WHERE segment IS NOT NULL) s LEFT JOIN (SELECT recall_id, year AS ey, segment AS es FROM e) f ON ey = y AND es = segment"))
+@Q("jn6_calendar_spine", f"""{E} SELECT CAST(y AS INTEGER) AS year, segment, count(recall_id) AS n FROM range(1974, 2027) t(y) CROSS JOIN (SELECT DISTINCT segment FROM e WHERE segment IS NOT NULL) s
+ LEFT JOIN (SELECT recall_id, year AS ey, segment AS es FROM e) f ON ey = y AND es = segment GROUP BY ALL""")
 def jn6(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "year", "segment").where("segment IS NOT NULL")
     return shares.spine(e.groupBy("year", "segment").agg(F.count("*").alias("n")), "year", 1974, 2026, ["n"], e.select("segment").distinct())
@@ -240,9 +241,9 @@ def agg20(spark: SparkSession, d: str) -> DataFrame:
 def agg21(spark: SparkSession, d: str) -> DataFrame:
     """The share of the largest twentieth of firms, from the multiplicities of the sizes."""
     g = firm_sizes(spark, d).groupBy("x").agg(F.count("*").alias("m"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("m").over(Window.partitionBy(F.lit(1)))
-    g = g.select("x", "m", (F.sum("m").over(w) - F.col("m")).alias("before"), F.greatest(F.lit(1), F.bround(0.05 * n)).alias("k"))
+    g = series.running(g.withColumn("down", -F.col("x")), ["down"], {"upto": "m"})
+    n = g.agg(F.greatest(F.lit(1), F.bround(0.05 * F.sum("m"))).alias("k"))
+    g = g.join(F.broadcast(n)).select("x", "m", (F.col("upto") - F.col("m")).alias("before"), "k")  # one row
     taken = F.greatest(F.lit(0), F.least(F.col("m"), F.col("k") - F.col("before")))
     return g.agg(r6(F.sum(taken * F.col("x")) / F.sum(F.col("m") * F.col("x")), "top5"))
 
@@ -264,7 +265,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return e.select("recall_id", p.cast("double").alias("p"), F.col("is_violation").cast("int").alias("y"), F.col("price_usd").alias("t"))
 
 
-_CAL = f"{_SC}, q AS (SELECT list_transform(range(1, 8), lambda i: quantile_cont(p, i / 8.0)) AS edges FROM s)".replace("list_transform(range(1, 8), lambda i: quantile_cont(p, i / 8.0))", "quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])") + ", b AS (SELECT len(list_filter(edges, lambda x: x < p)) AS bin, p, y FROM s, q)"
+_CAL = f"{_SC}, q AS (SELECT quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS edges FROM s), b AS (SELECT len(list_filter(edges, lambda x: x < p)) AS bin, p, y FROM s, q)"
 
 
 @Q("agg23_calibration", f"{_CAL} SELECT bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY 1")

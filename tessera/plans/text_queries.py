@@ -236,7 +236,6 @@ def str5(spark: SparkSession, d: str) -> DataFrame:
 _MONEY = "try_cast(nullif(rtrim(regexp_extract(t, {p}, {g}), '.'), '') AS DOUBLE)"
 _SPAN = quoted(r"between \$([\d.]+) and \$([\d.]+)")
 _ONE = quoted(r"\$([\d.]+)")
-_PRICED = "concat('Sold for ', CASE recall_id % 3 WHEN 0 THEN 'between $' || coalesce(price_usd, 5) || ' and $' || (coalesce(price_usd, 5) + 10) WHEN 1 THEN 'about $' || coalesce(price_usd, 7) || '.' ELSE 'cash' END)"
 
 
 @Q("str6_price", f"""{E}, t AS (SELECT recall_id, concat('Sold for ', CASE recall_id % 3 WHEN 0 THEN 'between $' || CAST(CAST(coalesce(price_usd, 5) AS INTEGER) AS VARCHAR) || ' and $' || CAST(CAST(coalesce(price_usd, 5) AS INTEGER) + 10 AS VARCHAR)
