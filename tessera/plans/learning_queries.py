@@ -69,6 +69,25 @@ def ml5(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("pred") - F.col("y")) ** 2).alias("brier"))
 
 
+@Q("ml3_regression")
+def ml3r(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold fit of the logarithm of the units, against the training mean and median."""
+    numeric = [c for c in NUMERIC if c != "log_units_"]
+    x = ready(spark, d).where("log_units_ IS NOT NULL").withColumn("y", F.col("log_units_")).drop("log_units_")
+    indicators, stages = L.preprocessing(numeric, LEVELS)
+    data, out = indicators(L.with_folds(x, "recall_id", 2)), None
+    for f in range(2):
+        prepared = Pipeline(stages=stages).fit(data.where(F.col("fold") != f)).transform(data).select("recall_id", "y", "fold", "features").cache()
+        train, test = prepared.where(F.col("fold") != f), prepared.where(F.col("fold") == f)
+        mean, median = train.agg(F.avg("y"), F.median("y")).first()
+        parts = [test.select(F.lit(n).alias("model"), "y", F.lit(float(v)).alias("pred")) for n, v in (("mean", mean), ("median", median))]
+        parts += [REG({}).fit(train).transform(test).select(F.lit(n).alias("model"), "y", F.col("prediction").alias("pred")) for n, REG in L.REGRESSORS.items()]
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    e = F.col("y") - F.col("pred")
+    return out.groupBy("model").agg((1 - F.sum(e * e) / (F.var_pop("y") * F.count("y"))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
+
+
 @Q("ml6_temporal_rows", f"{E} SELECT year <= 2014 AS train, count(*) AS n, round(avg(CAST(injuries_reported AS INTEGER)), 6) AS share FROM e WHERE injuries_reported IS NOT NULL GROUP BY 1")
 def ml6(spark: SparkSession, d: str) -> DataFrame:
     return feature_frame(spark, d).groupBy((F.col("year") <= 2014).alias("train")).agg(F.count("*").alias("n"), r6(F.avg("y"), "share"))

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if set_dir:
         return set_dir
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _MADE:
         _MADE.append(tempfile.mkdtemp(prefix="tessera-"))
