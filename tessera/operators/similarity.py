@@ -1,4 +1,4 @@
-"""Text similarity and entity resolution by inverted indexes: only rows that share a rare term meet."""
+"""Text similarity and entity resolution by inverted indexes: only rows that share an indexed term meet."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import similarity_ratio, token_containment, token_jaccard
+from tessera.session import materialize
 
 
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -27,17 +28,37 @@ def tfidf(counts: DataFrame, key: str, min_records: int = 1) -> DataFrame:
     return raw.select(key, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).alias("w"), "df")
 
 
-def similar_pairs(vectors: DataFrame, key: str, least: float, most_records: int) -> DataFrame:
-    """(a, b, similarity) of a < b whose unit vectors have a cosine of `least` or more and that share a term of at most
-    `most_records` records.
+def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame | None = None, only: str = "true", hot: int = 1_000) -> DataFrame:
+    """(a, b, similarity) of all a < b whose unit vectors have a cosine of `least` or more and for which `only` holds, a
+    condition on the columns of `traits` (key, ...), which end in `_a` and `_b`.
 
-    Pairs meet by an equality join on such rarer terms, whose lists the bound keeps short; the cosine is then summed over all
-    their terms. Terms beyond the bound never make a pair, so no list grows with the data.
+    Terms stand in one order, rarest first. A vector is filed under each two of its terms t, u for which the length of t, u
+    and all terms after u is `least` or more, and under each term that has this weight alone. The first two terms that a
+    pair at `least` shares, or the only one, file both its vectors, so no pair is lost, however common its terms are. The
+    same lengths bound the cosine of those that meet; it is summed over all terms for those who pass. A place of more than
+    `hot` vectors is divided into blocks that meet pairwise.
     """
-    rare = vectors.where(F.col("df") <= most_records).select(key, "term")
-    pairs = rare.select(F.col(key).alias("a"), "term").join(rare.select(F.col(key).alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    left = pairs.join(vectors.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), "a")
-    both = left.join(vectors.select(F.col(key).alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
+    order = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    own = materialize(vectors.select(key, "term", "w", "df").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order)), "vectors")
+    floor = least * least - 1e-9
+    first = own.where(F.col("rest") >= floor).select(key, F.col("term").alias("t"), F.col("w").alias("wt"), F.col("df").alias("dt"))
+    after = own.select(key, F.col("term").alias("u"), F.col("w").alias("wu"), F.col("df").alias("du"), F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)).alias("r"), "rest")
+    two = first.join(after, key).where(((F.col("dt") < F.col("du")) | ((F.col("dt") == F.col("du")) & (F.col("t") < F.col("u")))) & (F.col("wt") * F.col("wt") + F.col("rest") >= floor))
+    one = first.where(F.col("wt") >= least - 1e-9).select(key, F.xxhash64("t").alias("place"), "wt", F.lit(0.0).alias("wu"), F.lit(0.0).alias("r"))
+    filed = materialize(two.select(key, F.xxhash64("t", "u").alias("place"), "wt", "wu", "r").unionByName(one), "filed")
+    sizes = filed.groupBy("place").agg(F.count("*").alias("m")).where("m > 1").select("place", F.ceil(F.col("m") / hot).cast("int").alias("nb"))
+    placed = filed.join(sizes, "place").withColumn("mine", F.pmod(F.xxhash64(key), "nb").cast("int"))
+    if traits is not None:
+        placed = placed.join(traits, key)
+    placed = placed.withColumn("their", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = placed.withColumn("i", F.least("mine", "their")).withColumn("j", F.greatest("mine", "their")).drop("nb", "their")
+    at = ["place", "i", "j"]
+    left, right = (cells.select(*at, *[F.col(c).alias(f"{c}_{x}") for c in cells.columns if c not in at]) for x in "ab")
+    reach = F.col("wt_a") * F.col("wt_b") + F.col("wu_a") * F.col("wu_b") + F.sqrt(F.col("r_a") * F.col("r_b"))
+    met = left.join(right, at).where(F.col(f"{key}_a") < F.col(f"{key}_b")).where("i = j OR mine_a <> mine_b").where(only).where(reach >= least - 1e-9)
+    met = met.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
+    both = met.join(own.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), "a")
+    both = both.join(own.select(F.col(key).alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)
 
 

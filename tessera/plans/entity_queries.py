@@ -41,20 +41,19 @@ _RARE = 40
 @Q("jn9_similar_pairs", f"""{_TF}, p AS (SELECT DISTINCT a.recall_id AS a, b.recall_id AS b FROM v a JOIN v b ON a.term = b.term AND a.recall_id < b.recall_id WHERE a.df <= {_RARE}), z AS (SELECT p.a, p.b, sum(x.w * y.w) AS s FROM p JOIN v x ON x.recall_id = p.a JOIN v y ON y.recall_id = p.b AND y.term = x.term GROUP BY ALL)
  SELECT a, b, round(s, 6) AS similarity FROM z JOIN e x ON x.recall_id = a JOIN e y ON y.recall_id = b WHERE s >= 0.6 AND x.firm_key IS DISTINCT FROM y.firm_key AND abs(x.year - y.year) <= 2""")
 def jn9(spark: SparkSession, d: str) -> DataFrame:
-    """Alike product phrases of different firms within two years."""
-    pairs = S.similar_pairs(S.tfidf(title_terms(spark, d), "recall_id"), "recall_id", 0.6, _RARE)
+    """Alike product phrases of different firms within two years. The SQL beside it sees only pairs with a term of at most 40 records."""
     e = events(spark, d, "firm_key", "year")
-    side = lambda k: e.select(F.col("recall_id").alias(k), F.col("firm_key").alias(f"f{k}"), F.col("year").alias(f"y{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.col("fa").eqNullSafe(F.col("fb")) & (F.abs(F.col("ya") - F.col("yb")) <= 2))
-    return both.select("a", "b", r6("similarity", "similarity"))
+    pairs = S.similar_pairs(S.tfidf(title_terms(spark, d), "recall_id"), "recall_id", 0.6, e.select("recall_id", "year"), "abs(year_a - year_b) <= 2")
+    side = lambda k: e.select(F.col("recall_id").alias(k), F.col("firm_key").alias(f"f{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("NOT fa <=> fb").select("a", "b", r6("similarity", "similarity"))
 
 
 @Q("er4_char_ngrams")
 def er4b(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of three-letter pieces of firm keys, of pairs that share a rarer piece."""
+    """Cosine of three-letter pieces of firm keys."""
     e = events(spark, d, "firm_key").where("firm_key IS NOT NULL").select("firm_key").distinct()
     grams = S.term_counts(e, "firm_key", S.char_ngrams(F.col("firm_key"), 3))
-    return S.similar_pairs(S.tfidf(grams, "firm_key", 2), "firm_key", 0.8, 60)
+    return S.similar_pairs(S.tfidf(grams, "firm_key", 2), "firm_key", 0.8)
 
 
 @Q("er5_rare_tokens", f"{_TF} SELECT term, df FROM df, n WHERE df <= greatest(3, 0.02 * n) AND length(term) > 3")
