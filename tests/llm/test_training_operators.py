@@ -89,6 +89,19 @@ def test_divided_shards_lose_no_link(spark):
     assert every == split and len(every) >= 60
 
 
+def test_cut_off_words_see_through_slips(spark):
+    from tessera.llm.names import spelling_links
+
+    rng = random.Random(6)
+    others = ["".join(rng.choice("abcdefghik") for _ in range(8)) for _ in range(80)]
+    cores = [("sharedword", w) for w in ["lailjavecx", "lailjavcex", "lailj.", "morndale", "morntoft", "morn.", *others]]
+    df = spark.createDataFrame([(" ".join(sorted(c)), list(c), [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>")
+    every, split = ({tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 9))
+    assert every == split
+    assert {("lailj. sharedword", f"{w} sharedword") for w in ("lailjavecx", "lailjavcex")} <= every  # one name with a slip
+    assert not [e for e in every if "morn. sharedword" in e]  # two names
+
+
 def texts(n: int, seed: int) -> list[str]:
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
