@@ -65,26 +65,36 @@ def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame
 def name_matches(names: DataFrame, key: str, count: str, generic: list[str], rare: int = 3) -> DataFrame:
     """(key_a, key_b, rule, jaccard, containment, ratio) of different name keys that mean the same entity.
 
-    Keys meet when they share a word that at most `rare` times ten keys hold. Rules, first that holds: one key's words contain
-    the other's and they share a word that is neither generic nor held by more than `rare` keys (joint names excepted); or
-    word overlap of 0.6 with letter similarity of 0.8; or letter similarity of 0.92.
+    Rules, first that holds: one key's words contain the other's and they share a word that is neither generic nor held by
+    more than `rare` keys (joint names excepted); or word overlap of 0.6 with letter similarity of 0.8; or letter similarity
+    of 0.92 and a shared word. Keys meet on such a rare word, on the rarest words that keys of that overlap must share, or
+    on the rarest three-letter pieces that keys of that similarity must share, so no rule loses a pair.
     """
     base = names.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(F.split(key, " ")).alias("t"), F.col("joint").alias("j")).dropDuplicates(["k"])
-    words = base.select("k", F.explode("t").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df").between(2, rare * 10))
-    listed = words.join(df, "w")
-    pairs = (
-        listed.select(F.col("k").alias("ka"), "w", "df")
-        .join(listed.select(F.col("k").alias("kb"), "w"), "w")
-        .where("ka < kb")
-        .groupBy("ka", "kb")
-        .agg(F.max((F.col("df") <= rare) & ~F.col("w").isin(generic)).alias("informative"))
-    )
+    base = materialize(base, "keys")
+    words = base.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
+    listed = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("df", "w"))
+    overlap = listed.withColumn("i", place).where("i <= n - ceil(0.6 * n - 1e-9) + 1")
+    # of l letters and at most 0.54 / 0.46 of them on the other side, d = 0.08 * l / 0.46 are unmatched; each spoils three pieces
+    pieces = base.where(F.length("k") >= 6).select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - 2), lambda i: F.substr(F.col("k"), i, F.lit(3)))).alias("g"))
+    pieces = pieces.groupBy("k", "g").agg(F.count("*").cast("int").alias("n")).select("k", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("w"))
+    near = pieces.join(pieces.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("i", place).where("i <= 3 * floor(0.08 * length(k) / 0.46 + 1e-9) + 1")
+
+    def meet(x: DataFrame, informative: Column) -> DataFrame:
+        held = x.where("df >= 2")
+        return held.select(F.col("k").alias("ka"), "w", informative.alias("informative")).join(held.select(F.col("k").alias("kb"), "w"), "w").where("ka < kb").select("ka", "kb", "informative")
+
+    close = "least(length(ka), length(kb)) >= 0.46 * (length(ka) + length(kb)) - 1e-9"
+    found = meet(listed.where(F.col("df") <= rare), ~F.col("w").isin(generic)).union(meet(overlap, F.lit(False))).union(meet(near, F.lit(False)).where(close))
+    pairs = found.groupBy("ka", "kb").agg(F.max("informative").alias("informative"))
     a, b = base.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("j").alias("ja")), base.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("j").alias("jb"))
     full = pairs.join(a, "ka").join(b, "kb").withColumn("jaccard", token_jaccard(F.col("ta"), F.col("tb"))).withColumn("containment", token_containment(F.col("ta"), F.col("tb")))
-    full = full.withColumn("ratio", similarity_ratio(F.col("ka"), F.col("kb")))
     contained = (F.col("containment") == 1) & F.col("informative") & (F.least(F.length("ka"), F.length("kb")) >= 4) & ~F.col("ja") & ~F.col("jb")
-    rule = F.when(contained, "containment").when((F.col("jaccard") >= 0.6) & (F.col("ratio") >= 0.8), "jaccard+ratio").when(F.col("ratio") >= 0.92, "ratio")
+    # letters that match are in the same order, so no more edits than unmatched letters
+    alike = (F.col("jaccard") > 0) & (F.levenshtein("ka", "kb") <= 0.08 * (F.length("ka") + F.length("kb")) + 1e-9)
+    full = full.where(contained | (F.col("jaccard") >= 0.6) | alike).withColumn("ratio", similarity_ratio(F.col("ka"), F.col("kb")))
+    rule = F.when(contained, "containment").when((F.col("jaccard") >= 0.6) & (F.col("ratio") >= 0.8), "jaccard+ratio").when((F.col("ratio") >= 0.92) & (F.col("jaccard") > 0), "ratio")
     return full.select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), rule.alias("rule"), "jaccard", "containment", "ratio").where("rule IS NOT NULL")
 
 

@@ -34,3 +34,22 @@ def test_similar_pairs_equal_brute_force(spark):
     # every record holds the one term, more of them than any earlier bound
     alike = spark.createDataFrame([(i, ["robe"]) for i in range(100)], "id int, terms array<string>")
     assert S.similar_pairs(S.tfidf(S.term_counts(alike, "id", F.col("terms")), "id"), "id", 0.6).count() == 100 * 99 // 2
+
+
+def test_name_matches_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    stem = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 9))) for _ in range(40)]
+    keys = {f"{a} {b} home goods gmbh" for a, b in zip(stem, stem[1:])} | {f"{a}{b} home goods gmbh" for a, b in zip(stem, stem[1:])} | {f"{a} home goods" for a in stem}
+    rows = [(k, 1, False) for k in sorted(keys)]
+    df = {w: sum(w in k.split() for k in keys) for k in keys for w in k.split()}
+    want = set()
+    for a, b in itertools.combinations(sorted(keys), 2):
+        x, y = set(a.split()), set(b.split())
+        jac, ratio = len(x & y) / len(x | y), SequenceMatcher(None, a, b, autojunk=False).ratio()
+        told = len(x & y) == min(len(x), len(y)) and any(df[w] <= 3 and w not in ("home", "goods") for w in x & y)
+        if x & y and (told or (jac >= 0.6 and ratio >= 0.8) or ratio >= 0.92):
+            want.add((a, b))
+    got = S.name_matches(spark.createDataFrame(rows, "key string, n int, joint boolean"), "key", "n", ["home", "goods"])
+    assert {(r["key_a"], r["key_b"]) for r in got.collect()} == want
