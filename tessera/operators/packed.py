@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ LEGAL_FORMS = (
     "pty", "pvt", "kg", "oy", "ab", "a.s", "s.a.s", "sas",
 )
 
+JOINED = r"\s+(?:and|or|&)\s+"  # what joins the parts of one name
+
 _WORD = re.compile(r"\w[\w'’.\-]*")
 _BLANK = re.compile(r"\s*")
 _LEGAL = r",\s*(?:" + "|".join(re.escape(x) for x in sorted(LEGAL_FORMS, key=len, reverse=True)) + r")(?![\w])\.?"
@@ -42,19 +45,25 @@ class Profile:
     legal: bool = False
     names: tuple[str, ...] = ()
 
+    def suspicious(self) -> str:
+        """The pattern without which a cell holds one plain value: its signs, joining words, quotes and brackets."""
+        words = "|".join(re.escape(w) for w in self.joiners)
+        return "[" + re.escape(self.signs) + "\"“”()]" + (rf"|(?i)\s(?:{words})\s" if words else "")
+
     def compiled(self) -> tuple[re.Pattern, re.Pattern]:
         words = "|".join(re.escape(w) for w in self.joiners)
         comma = r",(?:\s*(?:and|or|&)(?=\s))?" if "," in self.signs else r"(?!)"
-        sign = "[" + re.escape(self.signs.replace(",", "")) + "]"
+        plain = self.signs.replace(",", "")
+        sign = "[" + re.escape(plain) + "]" if plain else r"(?!)"
         delimiter = rf"{sign}|{comma}" + (rf"|(?<=\s)(?:{words})(?=\s)" if words else "")
         guards = [r"(?<!\w)d/b/a(?!\w)", r"(?<!\w)n/a(?!\w)", r"(?<!\w)c/o(?!\w)"]
         if self.legal:
             guards.append(_LEGAL)
         for name in self.names:
-            left, joiner, right = re.split(r"\s+(and|or|&)\s+", name, maxsplit=1)
+            left, right = re.split(JOINED, name, maxsplit=1, flags=re.I)
             # the joiner stays when either neighbour begins as in the listed name, so that a slip in the other one is harmless
             join = r"\s+(?:and|or|&)(?=\s)"
-            guards.append(rf"(?<!\w){re.escape(left[:4])}[^\s;|/,()]*{join}")
+            guards.append(rf"(?<!\w){re.escape(left[:4])}(?:(?!{re.escape(right[:4])})[^\s;|/,()])*{join}")
             guards.append(rf"{join}(?=\s+{re.escape(right[:4])})")
         return re.compile(delimiter, re.I), re.compile("|".join(guards), re.I)
 
@@ -118,15 +127,14 @@ def _quoted(cell: str, at: int, delimiter: re.Pattern) -> tuple[str, int] | None
 def split_values(df: DataFrame, keys: list[str], fields: dict[str, Profile]) -> DataFrame:
     """One row (keys, field, position, value, n_values, error) per value of the packed cells of `fields`.
 
-    `df` is read as given: callers reduce repeated records first. Position counts from 1 over non-blank values, of which the cell
-    has `n_values`. NULL, empty
-    and blank cells give no row. Values are trimmed and lose their enclosing quotes, a doubled quote inside being one; a
-    quote or bracket that is never closed is plain text and sets `error`. Cells without any sign of packing are answered
+    `df` is read as given: callers reduce repeated records first. Position counts from 1 over non-blank values, of which the
+    cell has `n_values`. NULL, empty and blank cells give no row. Values are trimmed and lose their enclosing quotes, a doubled quote inside being one; a
+    quote or bracket that is never closed is plain text and sets `error`. Cells without any sign of their profile are answered
     in the JVM; only the others pass to the parser, in Arrow batches, and each cell is parsed whole whatever its length.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("cell")) for f in fields]))
     long = df.select(*keys, cells.alias("c")).select(*keys, "c.field", "c.cell").where(F.trim(F.regexp_replace("cell", r"\s", " ")) != "")
-    hard = F.col("cell").rlike(r"[;|/,\n\r\t+&\"“”()]|(?i)\s(?:and|or)\s")
+    hard = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("cell").rlike(p.suspicious()) for f, p in fields.items()])
     compiled = {f: p.compiled() for f, p in fields.items()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.nested import Child, child_table
-from tessera.operators.packed import Profile, split_values
+from tessera.operators.nested import Child, child_tables
+from tessera.operators.packed import JOINED, Profile, split_values
 from tessera.plans.registry import Registry
 from tessera.session import table
+from tessera.sources.sinks import small
 
 REGISTRY = Registry()
 
@@ -23,9 +24,17 @@ RECALL_CHILDREN = [
 ]
 
 FIRMS = Profile(legal=True)
-COUNTRIES = Profile(joiners=("and", "or", "&"), names=("Bosnia and Herzegovina",))
 OPTIONS = Profile(signs=";|/,\n\r\t+", joiners=("and", "or", "&"))
-PACKED_FIELDS = {"retailers": FIRMS, "countries_raw": COUNTRIES, "remedy_options": OPTIONS, "importers": FIRMS}
+
+
+def countries_profile(spark: SparkSession, sf_dir: str) -> Profile:
+    """How cells of countries are cut: joining words cut too, but not those inside a name of the reference list."""
+    names = table(spark, sf_dir, "country_reference", ["country_name"]).where(F.col("country_name").rlike("(?i)" + JOINED))
+    return Profile(joiners=("and", "or", "&"), names=tuple(sorted(r["country_name"] for r in small(names.distinct()))))
+
+
+def packed_fields(spark: SparkSession, sf_dir: str) -> dict[str, Profile]:
+    return {"retailers": FIRMS, "countries_raw": countries_profile(spark, sf_dir), "remedy_options": OPTIONS, "importers": FIRMS}
 
 
 def _flat_sql(child: str, path: str, field: str) -> str:
@@ -47,11 +56,8 @@ def _flat_sql(child: str, path: str, field: str) -> str:
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and places of every child row of a recall."""
-    recalls = table(spark, sf_dir, "cpsc_recalls_all")
-    parts = [
-        child_table(recalls, "recallid", c, values=False).select(F.col("recallid").alias("recall_id"), F.lit(c.name).alias("child"), "parent_pos", "pos")
-        for c in RECALL_CHILDREN
-    ]
+    children = child_tables(table(spark, sf_dir, "cpsc_recalls_all"), "recallid", RECALL_CHILDREN, values=False)
+    parts = [t.select(F.col("recallid").alias("recall_id"), F.lit(name).alias("child"), "parent_pos", "pos") for name, t in children.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -64,5 +70,5 @@ def packed_recalls(spark: SparkSession, sf_dir: str, fields: dict[str, Profile])
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every cell that holds at least two."""
-    values = packed_recalls(spark, sf_dir, PACKED_FIELDS)
+    values = packed_recalls(spark, sf_dir, packed_fields(spark, sf_dir))
     return values.where("n_values > 1").select("recall_id", "field", "position", "value")

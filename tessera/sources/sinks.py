@@ -18,7 +18,8 @@ def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
         df.write.mode("overwrite").option("header", True).csv(path + ".csv")
 
 
-def _small(df: DataFrame) -> list:
+def small(df: DataFrame) -> list:
+    """The rows of a small result, whose number is checked."""
     rows = df.take(LIMIT + 1)
     if len(rows) > LIMIT:
         raise ValueError(f"a report holds {LIMIT} rows at most; write a table instead")
@@ -39,7 +40,7 @@ def plain(value):
 def write_json(df: DataFrame, path: str) -> None:
     """Write a small result as one JSON array."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump([plain(r.asDict(True)) for r in _small(df)], f, ensure_ascii=False, allow_nan=False)
+        json.dump([plain(r.asDict(True)) for r in small(df)], f, ensure_ascii=False, allow_nan=False)
 
 
 def markdown(df: DataFrame, formats: dict[str, Callable] | None = None) -> str:
@@ -47,4 +48,4 @@ def markdown(df: DataFrame, formats: dict[str, Callable] | None = None) -> str:
     formats = formats or {}
     show = lambda c, v: "" if v is None else str(formats.get(c, str)(v)).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(c, r[c]) for c in df.columns) + " |" for r in _small(df)])
+    return "\n".join(lines + ["| " + " | ".join(show(c, r[c]) for c in df.columns) + " |" for r in small(df)])

@@ -7,12 +7,14 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.nested import Child, child_table
-from tessera.operators.packed import parse_cell, split_values
-from tessera.plans.data_problems import COUNTRIES, FIRMS, OPTIONS
+from tessera.operators.nested import Child, child_tables
+from tessera.operators.packed import Profile, parse_cell, split_values
+from tessera.plans.data_problems import FIRMS, OPTIONS
 from tessera.sources.events import EXPOSURE, enriched, read_csv, read_first, read_raw_events
 from tessera.sources.sinks import markdown, write_json, write_table
 
+COUNTRIES = Profile(joiners=("and", "or", "&"), names=("Bosnia and Herzegovina",))
+
 
 def values(profile, cell):
     return [v for _, v, _ in parse_cell(cell, *profile.compiled())]
@@ -26,6 +28,7 @@ def values(profile, cell):
         (FIRMS, '"The ""Fir"" Shop";\tAsh and Birch Co. | ; ', ['The "Fir" Shop', "Ash and Birch Co."]),
         (COUNTRIES, "China (A, B);Turkey;;Bosnia and Herzegovina & Peru, and India.", ["China (A, B)", "Turkey", "Bosnia and Herzegovina", "Peru", "India."]),
         (COUNTRIES, "bosnia & Herzegovnia and N/A", ["bosnia & Herzegovnia", "N/A"]),
+        (COUNTRIES, "Bosnia-Herzegovina and Peru", ["Bosnia-Herzegovina", "Peru"]),
         (OPTIONS, "Refund or Replace, and Inspect+New Instructions", ["Refund", "Replace", "Inspect", "New Instructions"]),
         (FIRMS, None, []),
         (FIRMS, "  ", []),
@@ -53,14 +56,34 @@ def test_split_values(spark):
     assert split_values(df.limit(0), ["id"], {"f": FIRMS}).count() == 0
 
 
+def test_signs_come_from_the_profile(spark):
+    df = spark.createDataFrame([(1, "a#b#c"), (2, 'a#"b"#c'), (3, "a;b"), (4, "a plus b plus c"), (5, "a^b]c")], "id int, f string")
+    got = {}
+    for p in (Profile(signs="#"), Profile(signs="#", joiners=("plus",)), Profile(signs="^]")):
+        got[p] = {k: [r["value"] for r in sorted(v, key=lambda r: r["position"])] for k, v in ((i, split_values(df.where(F.col("id") == i), ["id"], {"f": p}).collect()) for i in range(1, 6))}
+    assert got[Profile(signs="#")] == {1: ["a", "b", "c"], 2: ["a", "b", "c"], 3: ["a;b"], 4: ["a plus b plus c"], 5: ["a^b]c"]}
+    assert got[Profile(signs="#", joiners=("plus",))][4] == ["a", "b", "c"]
+    assert got[Profile(signs="^]")][5] == ["a", "b", "c"]
+
+
 def test_children(spark):
     schema = "id bigint, pos int, p array<struct<name:string,sizes:array<struct<label:string>>>>"
     size = lambda x: Row(label=x)
     rows = [(1, 9, [Row(name="a", sizes=[size("S"), None, size(" ")]), None, Row(name=None, sizes=[size("M")])])] * 2 + [(2, 9, None), (3, 9, []), (None, 9, [Row(name="b", sizes=None)])]
     df = spark.createDataFrame(rows, schema)
-    assert [tuple(r) for r in child_table(df, "id", Child("p", ("p",), "name")).collect()] == [(1, -1, 0, "a")]
-    assert {tuple(r) for r in child_table(df, "id", Child("s", ("p", "sizes"), "label"), values=False).collect()} == {(1, 0, 0), (1, 2, 0)}
-    assert child_table(df.limit(0), "id", Child("p", ("p",), "name")).count() == 0
+    got = child_tables(df, "id", [Child("p", ("p",), "name"), Child("s", ("p", "sizes"), "label")])
+    assert [tuple(r) for r in got["p"].collect()] == [(1, [], -1, 0, "a")]
+    assert sorted(map(tuple, got["s"].collect())) == [(1, [0], 0, 0, "S"), (1, [2], 2, 0, "M")]
+    assert child_tables(df, "id", [Child("p", ("p",), "name")], values=False)["p"].columns == ["id", "ancestors", "parent_pos", "pos"]
+    assert child_tables(df.limit(0), "id", [Child("p", ("p",), "name")])["p"].count() == 0
+
+
+def test_children_of_three_levels(spark):
+    df = spark.createDataFrame([(1, [([([("x",), (None,)],), None],), None, ([([],), ([("y",), ("z",)],)],)])], "id int, ps array<struct<a:array<struct<b:array<struct<v:string>>>>>>")
+    got = child_tables(df, "id", [Child("b", ("ps", "a", "b"), "v")])["b"]
+    assert sorted(map(tuple, got.collect())) == [(1, [0, 0], 0, 0, "x"), (1, [2, 1], 1, 0, "y"), (1, [2, 1], 1, 1, "z")]
+    with pytest.raises(ValueError):
+        child_tables(df, "id", [Child("b", (), "v")])
 
 
 def one(spark, column, **values):
