@@ -2,80 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Other names under which people write the listed countries, by ISO alpha-3 code. Official forms such as
-# "Republic of ..." need no entry, as their wrapping words are removed by rule.
-OTHER_NAMES = {
-    "CHN": "prc, pr china, zhongguo, cn",
-    "VNM": "viet nam, vn",
-    "BGD": "bangla desh, bd",
-    "IND": "bharat, hindustan, in",
-    "IDN": "id",
-    "PAK": "pk",
-    "KHM": "kampuchea, kh",
-    "MEX": "estados unidos mexicanos, united mexican states, mx",
-    "KOR": "korea, south korea, s korea, korea south, rok, kr",
-    "TWN": "republic of china, taiwan roc, chinese taipei, roc, formosa, tw",
-    "HKG": "hong kong sar, hong kong china, hk",
-    "USA": "united states of america, us, america, u s of a, estados unidos",
-    "TUR": "turkiye, tr",
-    "THA": "siam, prathet thai, th",
-    "PHL": "pilipinas, filipinas, ph",
-    "LKA": "ceylon, lk",
-    "HND": "hn",
-    "SLV": "salvador el, salvador, sv",
-    "GTM": "gt",
-    "NIC": "ni",
-    "DOM": "republica dominicana, dominican rep, do",
-    "HTI": "ayiti, ht",
-    "ITA": "italia, italian, it",
-    "PRT": "portuguese, pt",
-    "ESP": "espana, es",
-    "FRA": "french, fr",
-    "DEU": "deutschland, bundesrepublik deutschland, frg, de",
-    "GBR": "great britain, britain, uk, gb, united kingdom of great britain and northern ireland, england",
-    "POL": "polska, pl",
-    "ROU": "rumania, roumania, ro",
-    "BGR": "bg",
-    "CAN": "ca",
-    "COL": "co",
-    "PER": "pe",
-    "BRA": "brasil, br",
-    "EGY": "misr, eg",
-    "JOR": "jo",
-    "MAR": "maroc, marruecos, ma",
-    "TUN": "tunisie, tunisian, tn",
-    "KEN": "ke",
-    "ETH": "et",
-    "MDG": "madagasikara, malagasy, mg",
-    "MUS": "ile maurice, maurice, mu",
-    "LSO": "ls",
-    "MYS": "my",
-    "SGP": "sg",
-    "JPN": "nippon, nihon, jp",
-    "NPL": "np",
-    "MMR": "burma, mm",
-    "LAO": "lao, lao pdr, la",
-    "MAC": "macao, macau sar, macao sar, mo",
-    "RUS": "russian, rossiya, ru",
-    "UKR": "ukraina, ua",
-    "ISR": "il",
-    "NLD": "holland, nederland, nl",
-    "LTU": "lietuva, lt",
-    "GRC": "hellas, hellenic, gr",
-    "BIH": "bosnia, bosnia herzegovina, bosna i hercegovina, ba",
-    "CZE": "czechia, ceska republika, czech, cz",
-    "NZL": "aotearoa, n zealand, nz",
-}
-# Names that look like a listed country's and are none.
-NOT_LISTED = ("north korea", "korea north", "dprk", "democratic peoples republic of korea", "africa", "asia", "north america", "south america")
-# Words that wrap a country's own name in its official forms.
-WRAPPING = (
-    "the", "republic", "republica", "rep", "of", "peoples", "people", "democratic", "socialist", "islamic", "kingdom", "federation",
-    "federal", "federative", "fed", "arab", "hashemite", "state", "mainland", "sar", "pr", "sr", "union",
-)
+from tessera.session import materialize
 
 _MARKS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžığř", "aaaaaaceeeeiiiinooooouuuuyyszigr")
 
@@ -91,48 +23,49 @@ def _compact(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
-def _stripped(text: Column) -> Column:
-    """The words without the wrapping ones and without single letters, closed up."""
-    made = F.regexp_replace(text, r"^(made|mfd|mfg|manufactured|produced|product|assembled|sewn|origin|imported|fabric)( (in|of|from))?( |$)", "")
-    return _compact(F.regexp_replace(made, r"\b(" + "|".join(WRAPPING) + r"|[a-z])\b", ""))
+def _stripped(text: Column, wrapping: Sequence[str], lead: str) -> Column:
+    """The words without a leading phrase, without the wrapping ones and without single letters, closed up."""
+    made = F.regexp_replace(text, rf"^(?:{lead})( |$)", "") if lead else text
+    return _compact(F.regexp_replace(made, r"\b(" + "|".join([*wrapping, "[a-z]"]) + r")\b", ""))
 
 
-def reference_forms(reference: DataFrame, key: str, name: str, code: str) -> DataFrame:
-    """(form, key, fuzzy): the closed-up forms of each entry; only names of five or more letters are matched by similarity.
+def reference_forms(reference: DataFrame, key: str, name: str, aliases: DataFrame | None = None, wrapping: Sequence[str] = (), lead: str = "") -> DataFrame:
+    """(form, key, stage, fuzzy): the closed-up forms of each entry, by which values are looked up.
 
-    The result has a few forms per entry of the reference list, so its size follows that list and not the data.
+    `stage` is `exact` for the entries' own names and `alias` for `aliases` (key, alias), in which the key -1 stands for names
+    that resemble an entry and are none (`not_listed`). A form that several entries share belongs to the smallest key, own names first. Only
+    names of four letters or more and aliases of seven or more are also matched by similarity. The result has a few forms per
+    entry, so its size follows the reference list and not the data.
     """
-    spark: SparkSession = reference.sparkSession
-    other = F.create_map(*[x for c, v in OTHER_NAMES.items() for x in (F.lit(c), F.lit(v))])
-    named = reference.select(key, name, code)
-    forms = named.select(key, _compact(words(F.col(name))).alias("form"), F.lit(True).alias("fuzzy"))
-    bare = named.select(key, _stripped(words(F.col(name))).alias("form"), F.lit(False).alias("fuzzy"))
-    codes = named.select(key, F.lower(code).alias("form"), F.lit(False).alias("fuzzy"))
-    alias = named.select(key, F.explode(F.split(F.get(F.map_values(F.map_filter(other, lambda k, _: k == F.col(code))), F.lit(0)), ", ")).alias("a"))
-    alias = alias.select(key, _compact(F.col("a")).alias("form"), (F.length(_compact(F.col("a"))) >= 7).alias("fuzzy"))
-    none = spark.createDataFrame([(n.replace(" ", ""),) for n in NOT_LISTED], "form string").select(F.lit(-1).cast("int").alias(key), "form", F.lit(False).alias("fuzzy"))
-    every = forms.unionByName(bare).unionByName(codes).unionByName(alias).unionByName(none).where("form <> ''")
-    every = every.groupBy("form").agg(F.min(key).alias(key), F.max("fuzzy").alias("fuzzy"))  # one entry per form
-    return every.withColumn("fuzzy", F.col("fuzzy") & (F.length("form") >= 4) & ~F.col("form").isin("america"))
+    own = reference.where(F.col(key).isNotNull()).select(F.col(key).cast("int").alias("key"), words(F.col(name)).alias("w"))
+    forms = own.select("key", _compact(F.col("w")).alias("form"), F.lit(0).alias("order"), F.lit(True).alias("fuzzy"))
+    forms = forms.unionByName(own.select("key", _stripped(F.col("w"), wrapping, lead).alias("form"), F.lit(0).alias("order"), F.lit(False).alias("fuzzy")))
+    if aliases is not None:
+        other = aliases.select(F.col(key).cast("int").alias("key"), _compact(words(F.col("alias"))).alias("form"), F.lit(1).alias("order"))
+        forms = forms.unionByName(other.withColumn("fuzzy", (F.length("form") >= 7) & (F.col("key") >= 0)))
+    best = forms.where("form <> ''").groupBy("form").agg(F.min(F.struct("order", "key")).alias("b"), F.max("fuzzy").alias("fuzzy"))
+    stage = F.when(F.col("b.key") < 0, "not_listed").when(F.col("b.order") == 0, "exact").otherwise("alias")
+    return best.select("form", F.col("b.key").alias("key"), stage.alias("stage"), (F.col("fuzzy") & (F.length("form") >= 4) & (F.col("b.key") >= 0)).alias("fuzzy"))
 
 
 SEGMENTS = {False: 3, True: 5}  # k + 1 segments for k = 2 edits, and for k = 4 in forms of seven letters or more
 
 
-def similar_forms(typed: DataFrame, forms: DataFrame, key: str) -> DataFrame:
-    """(form, key) of the closest reference form of each typed form within two slips of the keyboard.
+def similar_forms(typed: DataFrame, forms: DataFrame) -> DataFrame:
+    """(form, key) of the one closest reference form of each typed form within two slips of the keyboard.
 
-    A slip is an added, lost, changed or swapped letter; a swap counts two edits. Up to four letters allow one edit; five
-    and six allow two (in five letters only as a swap); longer forms also three or four edits where the letters themselves
-    differ by one slip or not at all. Pigeonhole: a reference form cut into k+1 segments keeps one of them unchanged under
-    k edits, shifted by two places at most, so candidates are equalities of segments with the typed form's substrings at
-    these places, each verified with levenshtein. Ties go to the smallest key.
+    A slip is an added, lost, changed or swapped letter; a swap counts two edits. Up to four letters allow one edit that keeps
+    the first letter; five and six allow two (in five letters only as a swap); longer forms also three or four edits where the
+    letters themselves differ by one slip or not at all. Pigeonhole: a reference form cut into k+1 segments keeps one of them
+    unchanged under k edits, shifted by two places at most, so candidates are equalities of segments with the typed form's
+    substrings at these places, each verified with levenshtein. A form to which entries of different keys are equally close
+    is ambiguous and has no row.
     """
     count = lambda n: F.when(n >= 7, SEGMENTS[True]).otherwise(SEGMENTS[False])
     cut = lambda n, i: F.floor(n * i / count(n)).cast("int")
     n, i = F.col("n"), F.col("i")
-    ref = forms.where("fuzzy").select(F.col("form").alias("ref"), key, F.length("form").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), count(n) - 1)))
-    segments = ref.select("ref", key, "n", "i", F.substr("ref", cut(n, i) + 1, cut(n, i + 1) - cut(n, i)).alias("seg"))
+    ref = forms.where("fuzzy").select(F.col("form").alias("ref"), "key", F.length("form").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), count(n) - 1)))
+    segments = ref.select("ref", "key", "n", "i", F.substr("ref", cut(n, i) + 1, cut(n, i + 1) - cut(n, i)).alias("seg"))
     probe = (
         typed.where(F.length("form") >= 3)
         .select("form", F.explode(F.sequence(F.greatest(F.length("form") - 2, F.lit(4)), F.length("form") + 2)).alias("n"))
@@ -143,46 +76,47 @@ def similar_forms(typed: DataFrame, forms: DataFrame, key: str) -> DataFrame:
         .select("form", "n", "i", F.substr("form", F.col("at") + 1, F.col("len")).alias("seg"))
         .distinct()
     )
-    pairs = probe.join(segments, ["n", "i", "seg"]).select("form", "ref", key).distinct()
+    pairs = probe.join(segments, ["n", "i", "seg"]).select("form", "ref", "key").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     d, bag, least = F.col("d"), F.col("bag"), F.least(F.length("form"), F.length("ref"))
     close = pairs.withColumn("d", F.levenshtein("form", "ref")).where("d <= 4").withColumn("bag", F.levenshtein(letters("form"), letters("ref")))
     ok = (
-        (d <= 1)
+        ((d <= 1) & ((F.length("ref") >= 5) | (F.substr("form", F.lit(1), F.lit(1)) == F.substr("ref", F.lit(1), F.lit(1)))))
         | ((d == 2) & (F.length("ref") >= 5) & ((least >= 6) | (bag == 0)))
         | ((F.length("ref") >= 7) & (((d == 3) & (bag <= 2)) | ((d == 4) & (bag == 0))))
     )
-    best = close.where(ok).groupBy("form").agg(F.min(F.struct("d", key)).alias("b"))
-    return best.select("form", F.col(f"b.{key}").alias(key))
+    near = close.where(ok).groupBy("form", "key").agg(F.min(F.struct("d", (bag > 0).alias("other"))).alias("far"))
+    best = near.groupBy("form").agg(F.min(F.struct("far", "key")).alias("b"), F.collect_list("far").alias("every"))  # a few keys a form
+    return best.where(F.size(F.filter("every", lambda x: x == F.col("b.far"))) == 1).select("form", F.col("b.key").alias("key"))
 
 
-def map_to_reference(values: DataFrame, reference: DataFrame, key: str, name: str, code: str) -> DataFrame:
-    """`values` (with a column `value`) plus `key`: the entry each value stands for, or -1 where it stands for none.
+def map_to_reference(values: DataFrame, reference: DataFrame, key: str, name: str, aliases: DataFrame | None = None, wrapping: Sequence[str] = (), lead: str = "") -> DataFrame:
+    """`values` (with a column `value`) plus `key`, the entry each value stands for or -1, and `stage`, how it was found.
 
-    A value is read as a whole, then without its bracketed notes, then without wrapping words, then part by part at commas
-    (places beside a country); each reading is looked up exactly, and what stays unmatched is matched by similarity. Every
-    distinct typed form is resolved once. NULL and signless values map to -1; other columns are kept; an empty table stays
-    empty. A value whose parts name several entries stands for each of them.
+    A value is read as a whole, then without its bracketed notes, then without the phrase `lead` (a pattern) and the words of
+    `wrapping`, then part by part at commas (places beside a country); each reading is looked up exactly among names (stage
+    `exact`) and `aliases` (`alias`, or `not_listed` for those of no entry), and what stays unmatched is matched by similarity (`fuzzy`); the rest is `unmatched`.
+    Every distinct typed value is resolved once. NULL and signless values are unmatched; other columns are kept, but for one
+    named `stage`; an empty table stays empty. A value whose parts name several entries stands for each of them.
     """
-    forms = reference_forms(reference, key, name, code)
+    forms = reference_forms(reference, key, name, aliases, wrapping, lead)
     v = F.col("value")
     unnoted = F.regexp_replace(v, r"\([^)]*\)?", " ")
-    reading = lambda x: F.array(_compact(words(x)), _stripped(words(x)))
+    reading = lambda x: F.array(_compact(words(x)), _stripped(words(x), wrapping, lead))
     whole = F.concat(F.array(_compact(words(v))), reading(unnoted))
     parts = F.flatten(F.transform(F.split(unnoted, ","), reading))
     distinct = values.select("value").distinct().withColumn("__whole", F.array_distinct(whole)).withColumn("__parts", F.array_distinct(parts))
-
-    def resolve(tries: DataFrame, table: DataFrame) -> DataFrame:
-        return tries.join(table, "form").select("value", "rank", key)
-
     ranked = F.concat(
         F.transform("__whole", lambda f, i: F.struct(f.alias("form"), i.cast("int").alias("rank"))),
         F.transform("__parts", lambda f: F.struct(f.alias("form"), F.lit(9).alias("rank"))),
     )
-    tries = distinct.select("value", F.inline(ranked)).where("form <> ''")
-    exact = resolve(tries, forms.select("form", key))
+    tries = materialize(distinct.select("value", F.inline(ranked)).where("form <> ''"), "tries")
+    exact = tries.join(forms.select("form", "key", "stage"), "form").select("value", "rank", "key", "stage")
     left = tries.join(exact.select("value").distinct(), "value", "left_anti")
-    fuzzy = resolve(left, similar_forms(left.select("form").distinct(), forms, key))
-    found = exact.unionByName(fuzzy).withColumn("__r", F.min("rank").over(Window.partitionBy("value"))).where("rank = __r").select("value", key).distinct()
-    return values.join(found, "value", "left").withColumn(key, F.coalesce(F.col(key), F.lit(-1)))
-
+    fuzzy = left.join(similar_forms(left.select("form").distinct(), forms), "form").select("value", "rank", "key", F.lit("fuzzy").alias("stage"))
+    found = exact.unionByName(fuzzy).withColumn("__r", F.min("rank").over(Window.partitionBy("value"))).where("rank = __r")
+    found = materialize(found.groupBy("value", "key").agg(F.min("stage").alias("stage")), "found").withColumnRenamed("key", key)
+    rows = values.drop("stage", key) if "stage" in values.columns or key in values.columns else values
+    matched = rows.join(found, "value")
+    unmatched = rows.join(found.select("value").distinct(), "value", "left_anti")
+    return matched.unionByName(unmatched.withColumns({key: F.lit(-1), "stage": F.lit("unmatched")}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
@@ -14,7 +14,7 @@ from tessera.llm.reading import reading_levels
 from tessera.llm.terms import distinctive_terms, term_frequencies
 from tessera.llm.tokens import token_counts
 from tessera.operators.packed import split_values
-from tessera.plans.data_problems import FIRMS
+from tessera.plans.data_problems import FIRMS, countries_profile
 from tessera.plans.registry import Registry
 from tessera.session import materialize, table
 
@@ -48,25 +48,116 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(recalls, "recall_id", ["title", "description"]).where("mark IS NOT NULL").select("term", "mark")
 
 
+# Other names under which people write the listed countries, by ISO alpha-3 code. Official forms such as
+# "Republic of ..." need no entry, as their wrapping words are removed by rule.
+COUNTRY_ALIASES = {
+    "CHN": "prc, pr china, zhongguo, cn",
+    "VNM": "viet nam, vn",
+    "BGD": "bangla desh, bd",
+    "IND": "bharat, hindustan, in",
+    "IDN": "id",
+    "PAK": "pk",
+    "KHM": "kampuchea, kh",
+    "MEX": "estados unidos mexicanos, united mexican states, mx",
+    "KOR": "korea, south korea, s korea, korea south, rok, kr",
+    "TWN": "republic of china, taiwan roc, chinese taipei, roc, formosa, tw",
+    "HKG": "hong kong sar, hong kong china, hk",
+    "USA": "united states of america, us, america, u s of a, estados unidos",
+    "TUR": "turkiye, tr",
+    "THA": "siam, prathet thai, th",
+    "PHL": "pilipinas, filipinas, ph",
+    "LKA": "ceylon, lk",
+    "HND": "hn",
+    "SLV": "salvador el, salvador, sv",
+    "GTM": "gt",
+    "NIC": "ni",
+    "DOM": "republica dominicana, dominican rep, do",
+    "HTI": "ayiti, ht",
+    "ITA": "italia, italian, it",
+    "PRT": "portuguese, pt",
+    "ESP": "espana, es",
+    "FRA": "french, fr",
+    "DEU": "deutschland, bundesrepublik deutschland, frg, de",
+    "GBR": "great britain, britain, uk, gb, united kingdom of great britain and northern ireland, england",
+    "POL": "polska, pl",
+    "ROU": "rumania, roumania, ro",
+    "BGR": "bg",
+    "CAN": "ca",
+    "COL": "co",
+    "PER": "pe",
+    "BRA": "brasil, br",
+    "EGY": "misr, eg",
+    "JOR": "jo",
+    "MAR": "maroc, marruecos, ma",
+    "TUN": "tunisie, tunisian, tn",
+    "KEN": "ke",
+    "ETH": "et",
+    "MDG": "madagasikara, malagasy, mg",
+    "MUS": "ile maurice, maurice, mu",
+    "LSO": "ls",
+    "MYS": "my",
+    "SGP": "sg",
+    "JPN": "nippon, nihon, jp",
+    "NPL": "np",
+    "MMR": "burma, mm",
+    "LAO": "lao, lao pdr, la",
+    "MAC": "macao, macau sar, macao sar, mo",
+    "RUS": "russian, rossiya, ru",
+    "UKR": "ukraina, ua",
+    "ISR": "il",
+    "NLD": "holland, nederland, nl",
+    "LTU": "lietuva, lt",
+    "GRC": "hellas, hellenic, gr",
+    "BIH": "bosnia, bosnia herzegovina, bosna i hercegovina, ba",
+    "CZE": "czechia, ceska republika, czech, cz",
+    "NZL": "aotearoa, n zealand, nz",
+}
+# Names that look like a listed country's and are none.
+NOT_LISTED = ("north korea", "korea north", "dprk", "democratic peoples republic of korea", "africa", "asia", "north america", "south america")
+# Words that wrap a country's own name in its official forms.
+WRAPPING = (
+    "the", "republic", "republica", "rep", "of", "peoples", "people", "democratic", "socialist", "islamic", "kingdom", "federation",
+    "federal", "federative", "fed", "arab", "hashemite", "state", "mainland", "sar", "pr", "sr", "union",
+)
+MADE_IN = r"(?:made|mfd|mfg|manufactured|produced|product|assembled|sewn|origin|imported|fabric)(?: (?:in|of|from))?"
+
+
+def country_aliases(spark: SparkSession, reference: DataFrame) -> DataFrame:
+    """(country_id, alias): other names and codes of the listed countries, and names of places that are none of them (-1)."""
+    rows = [(c, a) for c, names in COUNTRY_ALIASES.items() for a in names.split(", ")]
+    named = reference.join(spark.createDataFrame(rows, "iso_alpha3 string, alias string"), "iso_alpha3").select("country_id", "alias")
+    none = spark.createDataFrame([(-1, n) for n in NOT_LISTED], "country_id int, alias string")
+    return named.unionByName(reference.select("country_id", F.col("iso_alpha3").alias("alias"))).unionByName(none)
+
+
 def typed_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recall_id, field, value) of the countries as typed, cells of countries_raw cut at their delimiters."""
+    """(recall_id, field, value) of the countries as typed, cells of countries_raw cut by the parser of packed cells."""
     cells = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "countries_raw", "primary_country"]).where("recall_id IS NOT NULL").dropDuplicates(["recall_id"])
-    # a listed name's own joiner is closed up first; brackets are never cut
-    joined = F.regexp_replace("countries_raw", r"(?i)(\bbosn\w*)\s+(?:and|&)\s+|\s+(?:and|&)\s+(?=herz)", "$1-")
-    cut = F.split(joined, r"(?i)(?:[;|/\n\r\t]|,(?:\s*(?:and|or|&)(?=\s))?|(?<=\s)(?:and|or|&)(?=\s))(?![^()]*\))(?!(?<=n/)a\b)")
-    raw = cells.select("recall_id", F.lit("countries_raw").alias("field"), F.explode(cut).alias("value"))
+    packed = cells.select("recall_id", "countries_raw").where("countries_raw IS NOT NULL")
+    raw = split_values(packed, ["recall_id"], {"countries_raw": countries_profile(spark, sf_dir)}).select("recall_id", "field", "value")
     one = cells.select("recall_id", F.lit("primary_country").alias("field"), F.col("primary_country").alias("value"))
     trimmed = F.regexp_replace("value", r"^[\s\"“”]+|[\s\"“”]+$", "")
     return raw.unionByName(one).select("recall_id", "field", trimmed.alias("value")).where("value <> ''")
 
 
+def mapped_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recall_id, field, value, country_id, stage) of the typed values that aren't a listed name letter for letter."""
+    reference = table(spark, sf_dir, "country_reference", ["country_id", "country_name", "iso_alpha3"])
+    odd = typed_countries(spark, sf_dir).join(reference.select(F.col("country_name").alias("value")), "value", "left_anti")
+    return map_to_reference(odd, reference, "country_id", "country_name", country_aliases(spark, reference), WRAPPING, MADE_IN)
+
+
 @REGISTRY.query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed country each typed value stands for, -1 where it stands for none."""
-    reference = table(spark, sf_dir, "country_reference", ["country_id", "country_name", "iso_alpha3"])
-    typed = typed_countries(spark, sf_dir)
-    odd = typed.join(F.broadcast(reference.select(F.col("country_name").alias("value"))), "value", "left_anti")  # the reference list is bounded
-    return map_to_reference(odd, reference, "country_id", "country_name", "iso_alpha3").select("recall_id", "field", "country_id").distinct()
+    return mapped_countries(spark, sf_dir).select("recall_id", "field", "country_id").distinct()
+
+
+@REGISTRY.query("p4_stages")
+def p4_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many typed values each stage resolved, by field, and how many none did."""
+    counts = mapped_countries(spark, sf_dir).groupBy("field", "stage").agg(F.count("*").alias("n"))
+    return counts.select("field", "stage", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("field"))).alias("share"))
 
 
 _SETS_SQL = r"""s AS (SELECT recall_id, list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(products, '')), '[a-z][a-z\-]+')) AS t

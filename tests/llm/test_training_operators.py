@@ -39,15 +39,29 @@ def test_distinctive_terms(spark):
 
 
 def test_mapping(spark):
-    ref = spark.createDataFrame([(1, "China", "CHN"), (9, "South Korea", "KOR"), (12, "United States", "USA"), (58, "Bosnia and Herzegovina", "BIH"), (18, "El Salvador", "SLV")], "cid int, cname string, iso string")
+    from tessera.llm.queries import MADE_IN, WRAPPING, country_aliases
+
+    ref = spark.createDataFrame([(1, "China", "CHN"), (9, "South Korea", "KOR"), (12, "United States", "USA"), (58, "Bosnia and Herzegovina", "BIH"), (18, "El Salvador", "SLV"), (20, "Mali", "MLI")], "country_id int, country_name string, iso_alpha3 string")
     want = {
-        "P.R. China": 1, "Chnia": 1, "chn": 1, "China (Oak, Elm)": 1, "Oak Province, China": 1, "Made in China.": 1, "Korea": 9, "Korea (South)": 9, "Korea (North)": -1, "Rep. of Korea": 9,
-        "U.S.A.": 12, "Unted Sates": 12, "Uinted Stapes": 12, "Bosnia-Herzegovina": 58, "Salvador, El": 18, "Chile": -1, "Africa": -1, "Oak works": -1, "?": -1, "": -1, None: -1,
+        "P.R. China": 1, "Chnia": 1, "chn": 1, "hina": 1, "China (Oak, Elm)": 1, "Oak Province, China": 1, "Made in China.": 1, "Korea": 9, "Korea (South)": 9, "Korea (North)": -1, "Rep. of Korea": 9,
+        "U.S.A.": 12, "Unted Sates": 12, "Uinted Stapes": 12, "Bosnia-Herzegovina": 58, "Salvador, El": 18, "Chile": -1, "Africa": -1, "Oak works": -1, "?": -1, "": -1, None: -1, "Bali": -1, "Malli": 20,
     }
-    values = spark.createDataFrame([(i, v, "k") for i, v in enumerate(want)], "row int, value string, form string")
-    got = map_to_reference(values, ref, "cid", "cname", "iso")
-    assert {r["value"]: r["cid"] for r in got.collect()} == want and got.count() == len(want)
-    assert map_to_reference(values.limit(0), ref, "cid", "cname", "iso").count() == 0
+    values = spark.createDataFrame([(i, v, "k", "s") for i, v in enumerate(want)], "row int, value string, form string, stage string")
+    options = (country_aliases(spark, ref), WRAPPING, MADE_IN)
+    got = map_to_reference(values, ref, "country_id", "country_name", *options)
+    assert {r["value"]: r["country_id"] for r in got.collect()} == want and got.count() == len(want)
+    assert {r["value"]: r["stage"] for r in got.collect() if r["value"] in ("Korea", "Chnia", "Africa", "?")} == {"Korea": "alias", "Chnia": "fuzzy", "Africa": "not_listed", "?": "unmatched"}
+    assert map_to_reference(values.limit(0), ref, "country_id", "country_name", *options).count() == 0
+
+
+def test_mapping_to_another_list(spark):
+    titles = spark.createDataFrame([(3, "Software Engineer"), (4, "Sales Manager"), (5, "Sales Manages"), (None, "Nobody")], "id int, title string")
+    other = spark.createDataFrame([(3, "Programmer")], "id int, alias string")
+    values = spark.createDataFrame([("sofware enginer",), ("PROGRAMMER",), ("Sales Manager",), ("Sales Managey",), ("Painter",)], "value string")
+    got = {r["value"]: (r["id"], r["stage"]) for r in map_to_reference(values, titles, "id", "title", other).collect()}
+    # equally close to two entries: ambiguous
+    assert got == {"sofware enginer": (3, "fuzzy"), "PROGRAMMER": (3, "alias"), "Sales Manager": (4, "exact"), "Sales Managey": (-1, "unmatched"), "Painter": (-1, "unmatched")}
+    assert {r["value"]: r["id"] for r in map_to_reference(values, titles.limit(0), "id", "title").collect()}["Painter"] == -1
 
 
 def test_automaton_equals_distance():
