@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
 from tessera.llm.containers import pack
 from tessera.llm.mixing import mix
-from tessera.llm.names import link_names
+from tessera.llm.names import Lexicon, link_names
 from tessera.llm.neighbours import near_duplicates
 from tessera.llm.reading import reading_levels
 from tessera.llm.terms import distinctive_terms, term_frequencies
 from tessera.llm.tokens import token_counts
-from tessera.operators.packed import split_values
+from tessera.operators.packed import LEGAL_FORMS, split_values
 from tessera.plans.data_problems import FIRMS, countries_profile
 from tessera.plans.registry import Registry
 from tessera.session import materialize, table
@@ -177,6 +179,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("recall_id_a"), F.col("b").alias("recall_id_b"))
 
 
+# Words for a line of business and their usual short forms.
+TRADES = {
+    "sleepwear": "slpwr", "international": "intl", "textiles": "txtls textile", "knitwear": "knitwr", "distribution": "distr dist distributors",
+    "associates": "assoc assocs", "apparel": "appl apprl", "clothing": "clthg", "outfitters": "outf", "brothers": "bros",
+    "manufacturing": "mfg mfr manufacturers", "garments": "garmts gmts garment", "footwear": "ftwr", "industries": "ind inds industry",
+    "trading": "trdg traders", "goods": "gds home", "enterprises": "ent", "products": "prods", "imports": "import", "exports": "export", "group": "grp",
+}
+# Given names with their nicknames.
+GIVEN = {
+    "katherine": "kathy kate katie kat kay kitty", "theodora": "dora thea teddy", "michael": "mike mick mickey", "josephine": "josie jo",
+    "elizabeth": "beth liz lizzie betty eliza", "margaret": "peggy maggie meg marge greta", "robert": "rob bob bobby robbie bert",
+    "susannah": "sue susie suzy susan", "frederick": "fred fritz freddy rick", "anthony": "tony ant", "edward": "ted ned ed eddie",
+    "alexander": "alex sandy al xander", "patricia": "trish pat patty tricia", "richard": "rick dick rich richie", "william": "will bill billy liam",
+    "james": "jim jimmy jamie", "john": "jack johnny", "charles": "charlie chuck", "thomas": "tom tommy", "joseph": "joe joey",
+}
+NOISE = frozenset(w for w in ("the", "designs", "by", "usa", "us", "studio", "and", "of", *re.sub(r"\W", " ", " ".join(LEGAL_FORMS)).split(), "liability") if len(w) > 1)
+FIRM_WORDS = Lexicon(TRADES, GIVEN, NOISE)
+
+
 def typed_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names of firms as typed, each single value of a packed cell on its own."""
     recalls = table(spark, sf_dir, "apparel_recalls_v2", ["manufacturers", "importers"])
@@ -186,10 +207,17 @@ def typed_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recalls.select(trimmed("manufacturers")).union(packed).union(offenders).where("name <> ''").distinct()
 
 
+@REGISTRY.query("p3_members")
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name with the firm it belongs to and how many other names that firm has."""
+    linked = materialize(link_names(typed_firms(spark, sf_dir), lexicon=FIRM_WORDS), "linked")
+    return linked.join(linked.groupBy("entity").agg((F.count("*") - 1).alias("links")), "entity").select("name", "entity", "links")
+
+
 @REGISTRY.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different spellings of the same firm."""
-    linked = link_names(typed_firms(spark, sf_dir))
+    linked = materialize(link_names(typed_firms(spark, sf_dir), lexicon=FIRM_WORDS), "linked")
     left, right = linked.select("entity", F.col("name").alias("name_a")), linked.select("entity", F.col("name").alias("name_b"))
     return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
 

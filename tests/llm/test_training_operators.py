@@ -13,6 +13,7 @@ from tessera.llm.canonical import map_to_reference
 from tessera.llm.containers import pack, plan_containers
 from tessera.llm.mixing import mix, pivotal
 from tessera.llm.names import _AUTOMATA, Trie, core_of, distance, link_names
+from tessera.llm.queries import FIRM_WORDS
 from tessera.llm.reading import reading_levels
 from tessera.llm.terms import distinctive_terms, term_frequencies
 from tessera.llm.tokens import encoding, token_counts
@@ -82,14 +83,33 @@ def test_names(spark):
         ["Grainfoot Wetherby Knitwear of Castermoor", "Grainfoott Wettherby Knitwear"],
         ["Thrushwood Marlpit Textiles"],
     ]
-    names = spark.createDataFrame([(n,) for g in groups for n in g] * 2 + [(None,), (" ",), ("Inc.",)], "name string")
-    linked = {r["name"]: r["entity"] for r in link_names(names).collect()}
+    names = spark.createDataFrame([(n,) for g in groups for n in g] * 2 + [(None,), (" ",)], "name string")
+    linked = {r["name"]: r["entity"] for r in link_names(names, lexicon=FIRM_WORDS).collect()}
+    assert grouped(linked) == sorted(map(sorted, groups))
+    assert link_names(names.limit(0)).count() == 0
+    assert core_of("x" * 100_000).words == ("x" * 100_000,)
+
+
+def grouped(linked):
     found = {}
     for n, e in linked.items():
         found.setdefault(e, set()).add(n)
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
-    assert link_names(names.limit(0)).count() == 0
-    assert core_of("x" * 100_000).words == ("x" * 100_000,)
+    return sorted(map(sorted, found.values()))
+
+
+def test_names_of_other_shapes(spark):
+    groups = [
+        ["Stone Harbor Valley Works", "Stnoe Valley Harbor Works", "Works Harbour Valey Stone"],  # three words and more, slips in one and two
+        ["Nike Inc.", "Nikee Inc."], ["Lacoste", "Lacosste", "Lcoste Ltd."], ["Gap"], ["Gas"],  # single words
+        ["House of Fraser"], ["House of Dior"], ["Bank of America"], ["Bank of Scotland"],
+        ["Michael Smith Trading", "Mike Smith"], ["Patricia Smith Imports"], ["Smith"],  # equal words, other bearers; one that fits both
+        ["H&M"], ["Home Goods"], ["The Limited"], ["Inc."], ["??"],  # nothing but common words or signs
+    ]
+    names = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
+    for hot in (2_000, 2):
+        assert grouped({r["name"]: r["entity"] for r in link_names(names, lexicon=FIRM_WORDS, hot=hot).collect()}) == sorted(map(sorted, groups))
+    plain = grouped({r["name"]: r["entity"] for r in link_names(names).collect()})  # nothing known of the names
+    assert ["Stnoe Valley Harbor Works", "Stone Harbor Valley Works", "Works Harbour Valey Stone"] in plain and ["House of Dior"] in plain
 
 
 def test_divided_shards_lose_no_link(spark):
@@ -99,8 +119,28 @@ def test_divided_shards_lose_no_link(spark):
     base = ["".join(rng.choice("abcdefghik") for _ in range(8)) for _ in range(60)]
     cores = [("sharedword", w) for w in base] + [("sharedword", w[:3] + "z" + w[4:]) for w in base]
     df = spark.createDataFrame([(" ".join(sorted(c)), list(c), [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>")
-    every, split = ({tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 25))
-    assert every == split and len(every) >= 60
+    every, split, finest = ({tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 25, 1))
+    assert every == split == finest and len(every) >= 60
+
+
+def test_words_with_slips_meet(spark):
+    from tessera.llm.names import alike, spelling_links
+
+    rng = random.Random(9)
+    slip = lambda w: w[: (i := rng.randrange(len(w)))] + rng.choice(("", "x", w[i] + "x")) + w[i + 1 :]
+    cores = []
+    for n in (1, 2, 3, 4):
+        for _ in range(12):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9))) for _ in range(n)]
+            other = [slip(w) for w in words]
+            rng.shuffle(other)
+            cores += [words, other]
+    near = lambda a, b: len(a) == len(b) and any(all(alike(x, y, distance(x, y, 2)) for x, y in zip(a, p)) for p in itertools.permutations(b))
+    df = spark.createDataFrame([(" ".join(sorted(c)), c, [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>").dropDuplicates(["node"])
+    got = {frozenset(r) for r in spelling_links(df).collect()}
+    want = {frozenset((" ".join(sorted(a)), " ".join(sorted(b)))) for a, b in itertools.combinations(cores, 2) if near(a, b)}
+    want = {w for w in want if len(w) == 2}
+    assert len(got & want) >= 0.9 * len(want) and len(want) >= 30
 
 
 def test_cut_off_words_see_through_slips(spark):
@@ -108,10 +148,11 @@ def test_cut_off_words_see_through_slips(spark):
 
     rng = random.Random(6)
     others = ["".join(rng.choice("abcdefghik") for _ in range(8)) for _ in range(80)]
-    cores = [("sharedword", w) for w in ["lailjavecx", "lailjavcex", "lailj.", "morndale", "morntoft", "morn.", *others]]
+    cores = [("sharedword", w) for w in ["lailjavecx", "lailjavcex", "lailj.", "morndale", "morntoft", "morn.", *others]] + [("oak", w) for w in ("brims.", "brimstone", "brimsdale")]
     df = spark.createDataFrame([(" ".join(sorted(c)), list(c), [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>")
-    every, split = ({tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 9))
-    assert every == split
+    every, split, finest = ({tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 9, 1))
+    assert every == split == finest
+    assert not [e for e in every if "oak" in e[0] + e[1]]
     assert {("lailj. sharedword", f"{w} sharedword") for w in ("lailjavecx", "lailjavcex")} <= every  # one name with a slip
     assert not [e for e in every if "morn. sharedword" in e]  # two names
 
