@@ -12,7 +12,7 @@ from tessera.operators.graph import components
 from tessera.operators.shares import mode_of
 from tessera.plans.registry import Registry
 from tessera.plans.relational_queries import r6
-from tessera.plans.text_queries import _PHRASE, E
+from tessera.plans.text_queries import E, phrase_sql
 from tessera.session import table
 from tessera.sources.events import events
 
@@ -22,11 +22,11 @@ GENERIC = ["store", "shop", "brands", "global", "sales", "products", "retail", "
 
 
 def title_terms(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d, "title").select("recall_id", headline_product(F.col("title")).alias("phrase"))
+    e = events(spark, d, "title").select("recall_id", F.lower(headline_product(F.col("title"), "similarity")).alias("phrase"))
     return S.term_counts(e, "recall_id", F.regexp_extract_all("phrase", F.lit(r"[a-z][a-z\-]+"), F.lit(0)))
 
 
-_TF = f"""{E}, {_PHRASE}, c AS (SELECT recall_id, term, count(*) AS tf FROM (SELECT recall_id, unnest(regexp_extract_all(phrase, '[a-z][a-z\\-]+')) AS term FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT recall_id) AS n FROM c),
+_TF = f"""{E}, {phrase_sql("similarity")}, c AS (SELECT recall_id, term, count(*) AS tf FROM (SELECT recall_id, unnest(regexp_extract_all(lower(phrase), '[a-z][a-z\\-]+')) AS term FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT recall_id) AS n FROM c),
  df AS (SELECT term, count(*) AS df FROM c GROUP BY 1), x AS (SELECT recall_id, term, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN df USING (term), n), v AS (SELECT recall_id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY recall_id)) AS w FROM x)"""
 
 

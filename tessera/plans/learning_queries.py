@@ -143,7 +143,7 @@ NOISE = ["recall", "recalls", "recalled", "announce", "announces", "cpsc", "due"
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d, "title", "period", "sales_channel").select("recall_id", "period", "sales_channel", headline_product(F.col("title")).alias("text"))
+    e = events(spark, d, "title", "period", "sales_channel").select("recall_id", "period", "sales_channel", F.lower(headline_product(F.col("title"), "topics")).alias("text"))
     return e.where("text <> ''")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.plans.registry import Registry
 from tessera.session import table
-from tessera.sources.events import events, exposure, flat_events, raw_events
+from tessera.sources.events import events, exposure, flat_events, once, raw_events, rows
 
 REGISTRY = Registry()
 Q = REGISTRY.query
@@ -52,27 +52,26 @@ def src7(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- filters ---------------------------------------------------------------------------------------------------------
-EXCLUDE = r"\b(furniture|bunk bed|crib|stroller|helmet|heater|stove|bicycle|candle|lighter)\b"
-INCLUDE = [("apparel", r"\b(pajama|sleepwear|robe|hoodie|jacket|coat|shirt|pants|dress|skirt|socks?|shoes?|boots?|sandals?)\b"), ("home_textile", r"\b(blanket|comforter|quilt|bedding|curtain|towel)\b")]
-_RULE_SQL = case_sql("lower(concat_ws(' ', title, description))", [("excluded", EXCLUDE), *INCLUDE], "'unmatched'")
+_RULES = [("excluded", X.EXCLUDED), ("apparel", X.APPAREL), ("home_textile", X.HOME_TEXTILE)]
+_RULE_SQL = case_sql("t", _RULES, "'unmatched'")
 
 
-@Q("fil1_ordered_rules", f"{R} SELECT {_RULE_SQL} AS rule, count(*) AS n FROM r GROUP BY 1")
+@Q("fil1_ordered_rules", f"""{R}, t AS (SELECT lower(coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(array_to_string(list_transform(coalesce(products, []), lambda x: coalesce(x.name, '')), ' '), '')) AS t FROM r)
+ SELECT {_RULE_SQL} AS rule, count(*) AS n FROM t GROUP BY 1""")
 def fil1(spark: SparkSession, d: str) -> DataFrame:
-    """Exclusion before inclusion, with a counter per rule."""
-    t = X.search_text(F.col("title"), F.col("description"))
-    return raw_events(spark, d, "title", "description").groupBy(X.first_match([t], [("excluded", EXCLUDE), *INCLUDE], "unmatched").alias("rule")).agg(F.count("*").alias("n"))
+    """Exclusion before inclusion over title, description and product names, with a counter per rule."""
+    names = F.array_join(F.transform(F.coalesce("products", F.array()), lambda p: F.coalesce(p["name"], F.lit(""))), " ")
+    t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" "), names))
+    ruled = table(spark, d, "cpsc_recalls_all", ["recallid", "title", "description", "products"]).select("recallid", X.first_match([t], _RULES, "unmatched").alias("rule"))
+    return ruled.dropDuplicates(["recallid"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-HEATED = r"heated (blanket|throw|mattress pad|vest|jacket|socks?)|electric blanket"
-
-
-@Q("fil2_pattern_flags", f"""{E} SELECT recall_id, regexp_matches(lower(title), '{HEATED}') AS heated, regexp_matches(lower(coalesce(description, '')), '1610|1615|1616') AS cites,
+@Q("fil2_pattern_flags", f"""{E} SELECT recall_id, regexp_matches(lower(title), '{X.HEATED}') AS heated, regexp_matches(lower(coalesce(description, '')), '1610|1615|1616') AS cites,
  regexp_matches(lower(title), {quoted(X.WARNS)}) AS warning FROM e""")
 def fil2(spark: SparkSession, d: str) -> DataFrame:
     t = F.lower("title")
     cites = F.lower(F.coalesce("description", F.lit(""))).rlike("1610|1615|1616")
-    return events(spark, d, "title", "description").select("recall_id", t.rlike(HEATED).alias("heated"), cites.alias("cites"), t.rlike(X.WARNS).alias("warning"))
+    return events(spark, d, "title", "description").select("recall_id", t.rlike(X.HEATED).alias("heated"), cites.alias("cites"), t.rlike(X.WARNS).alias("warning"))
 
 
 @Q("fil3_range", f"{E} SELECT year, count(*) AS n FROM e WHERE year BETWEEN 1999 AND 2019 GROUP BY year")
@@ -186,7 +185,7 @@ def prj8(spark: SparkSession, d: str) -> DataFrame:
 # --- text ------------------------------------------------------------------------------------------------------------
 @Q("str1_search_text", f"{E} SELECT recall_id, lower(concat_ws(' ', title, description, products)) AS t FROM e")
 def str1(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title", "description", "products").select("recall_id", X.search_text(F.col("title"), F.col("description"), F.col("products")).alias("t"))
+    return once(rows(spark, d, "title", "description", "products").select("recall_id", X.search_text(F.col("title"), F.col("description"), F.col("products")).alias("t")))
 
 
 _H = case_sql("lower(hazard_text)", X.HAZARDS)
@@ -196,7 +195,7 @@ _T = case_sql("lower(concat_ws(' ', title, description))", X.HAZARDS)
 @Q("str2_taxonomy", f"{E} SELECT recall_id, coalesce(CASE WHEN trim(coalesce(hazard_text, '')) <> '' THEN {_H} END, {_T}, 'other') AS hazard FROM e")
 def str2(spark: SparkSession, d: str) -> DataFrame:
     t = [F.lower("hazard_text"), X.search_text(F.col("title"), F.col("description"))]
-    return events(spark, d, "hazard_text", "title", "description").select("recall_id", X.first_match(t, X.HAZARDS).alias("hazard"))
+    return once(rows(spark, d, "hazard_text", "title", "description").select("recall_id", X.first_match(t, X.HAZARDS).alias("hazard")))
 
 
 _G = case_sql("lower(title)", X.GARMENTS, "'unclassified'")
@@ -219,8 +218,8 @@ LEXICON = [(n, p.replace(r"\b", ""), f) for n, p, f in X.GARMENTS]
 @Q("str4_earliest_longest", f"""{E}, t AS (SELECT recall_id, lower(title) AS t FROM e), h AS ({_HITS}), b AS (SELECT recall_id, first(label ORDER BY pos, len, rank) AS label, string_agg(label, ',' ORDER BY pos, len, rank) AS every FROM h GROUP BY 1)
  SELECT recall_id, coalesce(label, 'unclassified') AS label, coalesce(every, '') AS every FROM t LEFT JOIN b USING (recall_id)""")
 def str4(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("title")
-    return events(spark, d, "title").select("recall_id", X.earliest_match(t, LEXICON).alias("label"), F.array_join(X.all_matches(t, LEXICON), ",").alias("every"))
+    hits = once(rows(spark, d, "title").select("recall_id", X.lexicon_hits(F.lower("title"), LEXICON).alias("hits")))
+    return hits.select("recall_id", X.earliest_label(F.col("hits")).alias("label"), F.array_join(X.labels_in_order(F.col("hits")), ",").alias("every"))
 
 
 @Q("str5_units", f"""{R}, p AS (SELECT recallid, replace(lower(unnest(products).numberofunits), ',', '') AS t FROM r),
@@ -246,14 +245,14 @@ def str6(spark: SparkSession, d: str) -> DataFrame:
     p = lambda other: F.floor(F.coalesce("price_usd", F.lit(other))).cast("int")
     text = F.when(F.col("recall_id") % 3 == 0, F.concat(F.lit("between $"), p(5), F.lit(" and $"), p(5) + 10))
     text = text.when(F.col("recall_id") % 3 == 1, F.concat(F.lit("about $"), p(7), F.lit("."))).otherwise("cash")
-    return events(spark, d, "price_usd").select("recall_id", X.price_of(F.concat(F.lit("Sold for "), text)).alias("price"))
+    return once(rows(spark, d, "price_usd").select("recall_id", X.price_of(F.concat(F.lit("Sold for "), text)).alias("price")))
 
 
 @Q("str7_channel", f"""{R}, t AS (SELECT recallid, lower(array_to_string({_list_sql('retailers', 'name')}, ' ')) AS t FROM r), f AS (SELECT recallid, regexp_matches(coalesce(t, ''), {quoted(X.ONLINE)}) AS o, regexp_matches(coalesce(t, ''), {quoted(X.STORE)}) AS s FROM t)
  SELECT recallid AS recall_id, CASE WHEN o AND s THEN 'mixed' WHEN o THEN 'online_only' WHEN s THEN 'store_only' ELSE 'unknown' END AS channel FROM f""")
 def str7(spark: SparkSession, d: str) -> DataFrame:
-    flat = flat_events(raw_events(spark, d, *table(spark, d, "cpsc_recalls_all").columns))
-    return flat.select("recall_id", X.sales_channel(F.regexp_replace("retailers", r" \| ", " ")).alias("channel"))
+    flat = flat_events(table(spark, d, "cpsc_recalls_all"))
+    return once(flat.select("recall_id", X.sales_channel(F.regexp_replace("retailers", r" \| ", " ")).alias("channel")))
 
 
 @Q("str8_flags", f"""{E} SELECT recall_id, contains(t, 'violat') OR contains(t, 'flammable fabrics') AS violation, trim(h) <> '' AND NOT contains(h, 'none report') AND NOT contains(h, 'no injuries') AS injuries
@@ -265,21 +264,39 @@ def str8(spark: SparkSession, d: str) -> DataFrame:
 
 @Q("str9_fibre", f"{E} SELECT recall_id, nullif(regexp_extract(lower(description), {quoted(rf'(\d{{1,3}})\s*%\s*({X.FIBRES})')}, 2), '') AS fibre FROM e")
 def str9(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "description").select("recall_id", X.main_fibre(F.col("description")).alias("fibre"))
+    return once(rows(spark, d, "description").select("recall_id", X.main_fibre(F.col("description")).alias("fibre")))
 
 
 def _subject_sql() -> str:
-    tries = [f"trim(regexp_extract(lower(title), {quoted(p)}, 1))" for _, p in X.SUBJECT_PATTERNS]
-    fit = [f"(length({t}) BETWEEN 2 AND 70 AND NOT regexp_matches({t}, {quoted(X.NOT_A_SUBJECT)}) AND {t} <> 'cpsc')" for t in tries]
-    name = "CASE " + " ".join(f"WHEN {f} THEN {t}" for f, t in zip(fit, tries)) + " END"
-    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, (r, _) in zip(fit, X.SUBJECT_PATTERNS)) + " END"
-    return f"{E} SELECT recall_id, {name} AS name, {rule} AS rule FROM e"
+    tries = ", ".join(f"trim(regexp_extract(coalesce(title, ''), {quoted('(?i)' + p)}, 1), ' .,-–—')" for p in X.SUBJECT_PATTERNS)
+    return f"{E} SELECT recall_id, list_filter([{tries}], lambda x: length(x) BETWEEN 2 AND 70)[1] AS name FROM e"
 
 
-@Q("str10_str11_subject", _subject_sql())
+@Q("str10_subject", _subject_sql())
 def str10(spark: SparkSession, d: str) -> DataFrame:
-    """Who a headline names, and by which pattern; unfit names fall through to the next pattern."""
-    return events(spark, d, "title").select("recall_id", X.subject_of(F.col("title")).alias("s")).select("recall_id", "s.name", "s.rule")
+    """Whom a headline names, by the first pattern that gives a name."""
+    return once(rows(spark, d, "title").select("recall_id", X.subject_of(F.col("title")).alias("name")))
+
+
+def _fit_subject_sql() -> str:
+    """`recall of` and `recall to`, which the pattern excludes by looking ahead, are marked in the text instead."""
+    mark = "chr(1)"
+    text = f"regexp_replace(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')), '(?i)(\\srecal)(l\\s*(?:of|to))', '\\1' || {mark} || '\\2', 'g')"
+    plain = lambda x: f"replace({x}, {mark}, '')"
+    tries = []
+    for rule, p in X.FIT_SUBJECT_PATTERNS:
+        source = "t" if "(?!" in p else plain("t")
+        junk = f"regexp_replace({plain(f'regexp_extract({source}, {quoted("(?i)" + p.replace("(?!" + chr(92) + "s*(?:of|to))", ""))}, 1)')}, {quoted('(?i)' + X.SUBJECT_JUNK)}, ' ', 'g')"
+        name = f"trim(trim(regexp_replace(regexp_split_to_array({junk}, {quoted('(?i)' + X.SUBJECT_TAIL)})[1], '\\s+', ' ', 'g')), ' .,-–—:;&')"
+        tries.append(f"struct_pack(name := {name}, rule := '{rule}')")
+    fit = f"list_filter([{', '.join(tries)}], lambda x: length(x.name) BETWEEN 2 AND 70 AND NOT regexp_matches(x.name, {quoted('(?i)' + X.NOT_A_SUBJECT)}))[1]"
+    return f"{E}, t AS (SELECT recall_id, {text} AS t FROM e), s AS (SELECT recall_id, {fit} AS s FROM t) SELECT recall_id, s.name AS name, coalesce(s.rule, 'none') AS rule FROM s"
+
+
+@Q("str11_fit_subject", _fit_subject_sql())
+def str11(spark: SparkSession, d: str) -> DataFrame:
+    """Whom a headline is about, and by which pattern; unfit names fall through to the next pattern."""
+    return once(rows(spark, d, "title").select("recall_id", X.fit_subject_of(F.col("title")).alias("s"))).select("recall_id", "s.name", "s.rule")
 
 
 _KEY = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(firm), {0}, ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '')".format(quoted(rf"\b({X.NAME_NOISE})\b\.?"))
@@ -287,54 +304,77 @@ _KEY = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(firm), {0
 
 @Q("str12_name_key", f"{E} SELECT recall_id, {_KEY} AS key FROM e")
 def str12(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "firm").select("recall_id", X.name_key(F.col("firm")).alias("key"))
+    return once(rows(spark, d, "firm").select("recall_id", X.name_key(F.col("firm")).alias("key")))
 
 
 @Q("str13_enforcement", f"""{E} SELECT recall_id, CASE WHEN regexp_matches(lower(title), {quoted(X.WARNS)}) THEN 'unilateral_warning' WHEN regexp_matches(lower(title), '\\brecalls\\b|\\bannounce (the )?recall\\b') THEN 'firm_led'
  WHEN regexp_matches(lower(title), '\\brecalled\\b') THEN 'passive_announced' ELSE 'other_action' END AS mode FROM e""")
 def str13(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title").select("recall_id", X.enforcement_mode(F.col("title")).alias("mode"))
+    return once(rows(spark, d, "title").select("recall_id", X.enforcement_mode(F.col("title")).alias("mode")))
 
 
-_TAILS = r"\s*(;|:|\bdue to\b|\bbecause of\b|\bhazard\b|\bviolat\w*|\brisk of\b|\bsold (at|by|on|in)\b|\bimported by\b)"
-_PHRASE = f"""h AS (SELECT recall_id, trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g')) AS t FROM e),
- s AS (SELECT recall_id, CASE WHEN regexp_extract(t, '^(.*?)\\s+recalled\\b', 1) <> '' THEN regexp_extract(t, '^(.*?)\\s+recalled\\b', 1) WHEN regexp_extract(t, '\\brecalls?( of)?\\s+(.*)$', 2) <> '' THEN regexp_extract(t, '\\brecalls?( of)?\\s+(.*)$', 2) ELSE t END AS p FROM h),
- f AS (SELECT recall_id, trim(regexp_split_to_array(p, {quoted(_TAILS)})[1]) AS phrase FROM s)"""
+def phrase_sql(reading: str) -> str:
+    """Tables up to f (recall_id, phrase), from e."""
+    r = {k: quoted(f"(?i){p}") for k, p in X.PHRASES[reading].items()}
+    text = "trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))"
+    text = f"regexp_replace({text}, {r['opening']}, '')" if "opening" in r else text
+    signs = quoted(X.EDGE_SIGNS)
+    last = f"regexp_split_to_array(p, {r['tail']})[1]"
+    last = f"regexp_replace({last}, {r['quantity']}, '')" if "quantity" in r else last
+    return f"""ph AS (SELECT recall_id, {text} AS t FROM e), pv AS (SELECT recall_id, t, regexp_extract(t, {r['verb']}, 0) AS verb, regexp_split_to_array(t, {r['verb']})[1] AS before FROM ph),
+ pa AS (SELECT *, regexp_replace(trim(substr(t, length(before) + length(verb) + 1)), {r['dropped']}, '') AS after FROM pv),
+ ps AS (SELECT recall_id, CASE WHEN verb <> '' AND after <> '' AND NOT regexp_matches(after, {r['passive']}) THEN after ELSE regexp_replace(before, {quoted('(?i)' + X.ANNOUNCES)}, '') END AS p FROM pa),
+ f AS (SELECT recall_id, trim(trim(regexp_replace({last}, '\\s+', ' ', 'g')), {signs}) AS phrase FROM ps)"""
+
+
+_PHRASE = phrase_sql("boundary")
 
 
 @Q("str14_product_phrase", f"{E}, {_PHRASE} SELECT * FROM f")
 def str14(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title").select("recall_id", X.headline_product(F.col("title")).alias("phrase"))
+    """The reading that archetypes are told by."""
+    return once(rows(spark, d, "title").select("recall_id", X.headline_product(F.col("title")).alias("phrase")))
+
+
+@Q("str14_phrase_for_similarity", f"{E}, {phrase_sql('similarity')} SELECT * FROM f")
+def str14b(spark: SparkSession, d: str) -> DataFrame:
+    return once(rows(spark, d, "title").select("recall_id", X.headline_product(F.col("title"), "similarity").alias("phrase")))
+
+
+@Q("str14_phrase_for_topics", f"{E}, {phrase_sql('topics')} SELECT * FROM f")
+def str14c(spark: SparkSession, d: str) -> DataFrame:
+    return once(rows(spark, d, "title").select("recall_id", X.headline_product(F.col("title"), "topics").alias("phrase")))
 
 
 @Q("str15_cut_title", f"{E} SELECT recall_id, regexp_split_to_array(lower(title), '\\b(violat|federal|standard)')[1] AS short FROM e")
 def str15(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title").select("recall_id", X.cut_at(F.lower("title"), r"\b(violat|federal|standard)").alias("short"))
+    return once(rows(spark, d, "title").select("recall_id", X.cut_at(F.lower("title"), r"\b(violat|federal|standard)").alias("short")))
 
 
-_P1, _P2 = case_sql("phrase", X.GARMENTS), case_sql("lower(title)", X.GARMENTS)
+_P1, _P2 = case_sql("lower(phrase)", X.GARMENTS), case_sql("lower(title)", X.GARMENTS)
 
 
 @Q("str16_two_passes", f"{E}, {_PHRASE} SELECT recall_id, coalesce({_P1}, {_P2}, 'unclassified') AS label, CASE WHEN {_P1} IS NOT NULL THEN 'phrase' WHEN {_P2} IS NOT NULL THEN 'title' ELSE 'none' END AS pass FROM f JOIN e USING (recall_id)")
 def str16(spark: SparkSession, d: str) -> DataFrame:
     """The phrase first, the title for what stays unclassified."""
-    e = events(spark, d, "title").select("recall_id", X.first_match([X.headline_product(F.col("title"))], X.GARMENTS, None).alias("a"), X.first_match([F.lower("title")], X.GARMENTS, None).alias("b"))
+    e = rows(spark, d, "title").select("recall_id", F.lower(X.headline_product(F.col("title"))).alias("phrase"), F.lower("title").alias("title"))
+    e = once(e.select("recall_id", X.first_match([F.col("phrase")], X.GARMENTS, None).alias("a"), X.first_match([F.col("title")], X.GARMENTS, None).alias("b")))
     return e.select("recall_id", F.coalesce("a", "b", F.lit("unclassified")).alias("label"), F.when(F.col("a").isNotNull(), "phrase").when(F.col("b").isNotNull(), "title").otherwise("none").alias("pass"))
 
 
 @Q("str17_clean_document", f"""{E}, w AS (SELECT recall_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[''’]s\\b', '', 'g'), '[^a-z\\s\\-]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w,
  list_filter(regexp_split_to_array(lower(coalesce(firm, '')), '\\s+'), lambda x: length(x) > 3) AS g FROM e) SELECT recall_id, coalesce(array_to_string(list_filter(w, lambda x: NOT list_contains(g, x)), ' '), '') AS t FROM w""")
 def str17(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title", "firm").select("recall_id", X.cleaned_document(F.col("title"), F.col("firm")).alias("t"))
+    return once(rows(spark, d, "title", "firm").select("recall_id", X.cleaned_document(F.col("title"), F.col("firm")).alias("t")))
 
 
 @Q("str18_counts", f"""{E} SELECT recall_id, length(title) AS chars, len(regexp_extract_all(lower(title), '[a-z][a-z\\-]+')) AS tokens, len(regexp_split_to_array(trim(title), '\\s+')) AS words,
  len(regexp_extract_all(coalesce(products, ''), '\\|')) + 1 AS entries FROM e""")
 def str18(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "title", "products").select(
+    return once(rows(spark, d, "title", "products").select(
         "recall_id", F.length("title").cast("bigint").alias("chars"), F.size(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-z][a-z\-]+"), F.lit(0))).alias("tokens"),
         F.size(F.split(F.trim("title"), r"\s+")).alias("words"), (F.regexp_count(F.coalesce("products", F.lit("")), F.lit(r"\|")) + 1).alias("entries"),
-    )
+    ))
 
 
 @Q("str19_tidy_list", f"""{E}, s AS (SELECT recall_id, i, x FROM (SELECT recall_id, string_split(coalesce(countries_raw, ''), ';') AS l FROM e), unnest(list_transform(l, lambda v: trim(v))) WITH ORDINALITY AS t(x, i) WHERE x <> ''),
@@ -347,24 +387,24 @@ def str19(spark: SparkSession, d: str) -> DataFrame:
 @Q("str20_any_pattern", f"{E} SELECT recall_id, regexp_matches(concat_ws(' ', title, description, products), '(?i)(zipper|snap|button|drawstring)') AS hit FROM e")
 def str20(spark: SparkSession, d: str) -> DataFrame:
     pooled = F.concat_ws(" ", "title", "description", "products")
-    return events(spark, d, "title", "description", "products").select("recall_id", pooled.rlike("(?i)(zipper|snap|button|drawstring)").alias("hit"))
+    return once(rows(spark, d, "title", "description", "products").select("recall_id", pooled.rlike("(?i)(zipper|snap|button|drawstring)").alias("hit")))
 
 
 @Q("str21_option_flags", f"{E} SELECT recall_id, contains(o, 'refund') AS refund, contains(o, 'repair') AS repair, contains(o, 'replace') AS replace, trim(o) <> '' AS any_option FROM (SELECT recall_id, lower(coalesce(remedy_options, '')) AS o FROM e)")
 def str21(spark: SparkSession, d: str) -> DataFrame:
     o = F.lower(F.coalesce("remedy_options", F.lit("")))
-    return events(spark, d, "remedy_options").select("recall_id", *[o.contains(w).alias(w) for w in ("refund", "repair", "replace")], (F.trim(o) != "").alias("any_option"))
+    return once(rows(spark, d, "remedy_options").select("recall_id", *[o.contains(w).alias(w) for w in ("refund", "repair", "replace")], (F.trim(o) != "").alias("any_option")))
 
 
 @Q("str22_joint_names", f"{E} SELECT recall_id, regexp_matches(lower(coalesce(firm, '')), '\\s+and\\s+|&|,') AS joint FROM e")
 def str22(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d, "firm").select("recall_id", X.is_joint_name(F.col("firm")).alias("joint"))
+    return once(rows(spark, d, "firm").select("recall_id", X.is_joint_name(F.col("firm")).alias("joint")))
 
 
 @Q("str23_ratio")
 def str23(spark: SparkSession, d: str) -> DataFrame:
     """How alike the firm in the headline and the manufacturer are."""
-    return events(spark, d, "firm", "manufacturers").select("recall_id", F.round(X.similarity_ratio(F.lower("firm"), F.lower("manufacturers")), 6).alias("ratio"))
+    return once(rows(spark, d, "firm", "manufacturers").select("recall_id", F.round(X.similarity_ratio(F.lower("firm"), F.lower("manufacturers")), 6).alias("ratio")))
 
 
 @Q("str24_token_overlap", f"""{E}, t AS (SELECT recall_id, list_distinct(string_split(lower(coalesce(firm, '')), ' ')) AS a, list_distinct(string_split(lower(coalesce(manufacturers, '')), ' ')) AS b FROM e),
@@ -372,7 +412,7 @@ def str23(spark: SparkSession, d: str) -> DataFrame:
 def str24(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), " ")
     a, b = words("firm"), words("manufacturers")
-    return events(spark, d, "firm", "manufacturers").select("recall_id", F.round(X.token_jaccard(a, b), 6).alias("jaccard"), F.round(X.token_containment(a, b), 6).alias("containment"))
+    return once(rows(spark, d, "firm", "manufacturers").select("recall_id", F.round(X.token_jaccard(a, b), 6).alias("jaccard"), F.round(X.token_containment(a, b), 6).alias("containment")))
 
 
 @Q("dat1_dates", f"""{E} SELECT recall_id, try_cast(substr(recall_date, 1, 4) AS INTEGER) AS year_of_date, abs(date_diff('day', try_cast(substr(recall_date, 1, 10) AS DATE), CAST(loaded_at AS DATE))) AS days FROM e""")

@@ -69,9 +69,19 @@ def flat_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Cleaned events as sent, repeats included: for queries that reduce them to short columns before `once`."""
+    return table(spark, sf_dir, "apparel_recalls_v2", list(dict.fromkeys(["recall_id", *columns])))
+
+
+def once(df: DataFrame, key: str = "recall_id") -> DataFrame:
+    """Each event once; events that are sent again are unchanged, and so are the columns made of them."""
+    return df.dropDuplicates([key])
+
+
 def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Cleaned events, each once; only the given columns are read."""
-    return table(spark, sf_dir, "apparel_recalls_v2", list(dict.fromkeys(["recall_id", *columns]))).dropDuplicates(["recall_id"])
+    return once(rows(spark, sf_dir, *columns))
 
 
 def raw_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

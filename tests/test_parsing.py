@@ -109,11 +109,11 @@ def test_channel(spark, text, want):
 def test_labels(spark):
     assert one(spark, X.first_match([F.col("a"), F.col("b")], X.HAZARDS), a="choking", b="fire") == "choking_small_parts"
     assert one(spark, X.first_match([F.col("a"), F.col("b")], X.HAZARDS), a=" ", b="fire") == "flammability_burn"
-    assert one(spark, X.earliest_match(F.col("t"), X.GARMENTS), t="robe and nightgown") == "robe"
-    assert one(spark, F.array_join(X.all_matches(F.col("t"), X.GARMENTS), ","), t="robe and nightgown") == "robe,nightgown"
+    assert one(spark, X.earliest_label(X.lexicon_hits(F.col("t"), X.GARMENTS)), t="robe and nightgown") == "robe"
+    assert one(spark, F.array_join(X.labels_in_order(X.lexicon_hits(F.col("t"), X.GARMENTS)), ","), t="robe and nightgown") == "robe,nightgown"
     assert one(spark, X.first_match([F.col("t")], X.GARMENTS), t="robe and nightgown") == "nightgown"
     assert one(spark, X.main_fibre(F.col("t")), t="60% Cotton, 40% polyester") == "cotton"
-    assert one(spark, X.subject_of(F.col("t"))["name"], t="Oak Mills Recalls Robes Due to Burn Hazard") == "oak mills"
+    assert one(spark, X.subject_of(F.col("t")), t="Oak Mills Recalls Robes Due to Burn Hazard") == "Oak Mills"
     assert one(spark, X.name_key(F.col("t")), t="Oak & Elm Apparel, Inc.") == "oak elm"
     assert one(spark, X.similarity_ratio(F.col("a"), F.col("b")), a="abcd", b="bcde") == pytest.approx(0.75)
     assert one(spark, F.array_join(X.tidy_list(F.col("t"), ";", {"Korea": "South Korea"}), ";"), t="Korea; China;Korea") == "South Korea;China"
@@ -142,3 +142,39 @@ def test_sources_and_sinks(spark, tmp_path):
     assert markdown(df.select("id", "t"), {"id": lambda v: f"#{v}"}) == "| id | t |\n| --- | --- |\n| #1 | a\\|b |"
     assert enriched(df, None, "id") is df
     assert enriched(df, df, "id").columns == ["id", "t", "v", "t_extra", "v_extra"]
+
+
+@pytest.mark.parametrize(
+    "title, want",
+    [
+        ("CPSC, Oak Mills Announce Recall of Robes", ("Oak Mills", "cpsc_joint")),
+        ("Oak Mills and CPSC Announce Robe Recall", ("Oak Mills", "cpsc_joint")),
+        ("Oak Mills.com Expands Recall of Robes", ("Oak Mills", "active")),
+        ("Children's Robes Recalled by Elm Co. Due to Burn Hazard", ("Elm Co", "recalled_by")),
+        ("Burn Hazard Prompts Recall of Robes Sold Exclusively by Fir Shop; Style 2", ("Fir Shop", "sold_by")),
+        ("Robes Manufactured by Ash Ltd. for Children", ("Ash Ltd", "manufactured_by")),
+        ("Warning: Robes may burn", (None, "none")),
+        (None, (None, "none")),
+    ],
+)
+def test_fit_subject(spark, title, want):
+    assert tuple(one(spark, X.fit_subject_of(F.col("t")), t=title)) == want
+
+
+@pytest.mark.parametrize(
+    "title, want",
+    [
+        ("Oak Mills Recalls Two Styles of Robes Due to Burn Hazard", ("Styles of Robes", "Two Styles of Robes", "Styles of Robes")),
+        ("Children's Robes Recalled by Elm Co. Due to Burn Hazard", ("Children's Robes",) * 3),
+        ("CPSC Warns Consumers: Stop Using Certain Robes", ("Robes", "CPSC Warns Consumers", "CPSC Warns Consumers")),
+        ("Oak Mills Stops Selling Robes Sold at Stores", ("Oak Mills Stops Selling Robes", "Oak Mills Stops Selling Robes", "Robes")),
+        (None, ("",) * 3),
+    ],
+)
+def test_headline_products(spark, title, want):
+    assert tuple(one(spark, X.headline_product(F.col("t"), r), t=title) for r in ("boundary", "similarity", "topics")) == want
+
+
+def test_channel_by_store_names(spark):
+    assert one(spark, X.sales_channel(F.col("t")), t="Sold at Walmart") == "store_only"
+    assert one(spark, X.first_match([F.lower("t")], [("excluded", X.EXCLUDED), ("apparel", X.APPAREL)], "unmatched"), t="Robe for a water pump") == "excluded"
