@@ -94,17 +94,20 @@ def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
                 del left[s]
         plan.patterns.append((pattern, times))
 
-    for j in sorted(left, reverse=True):
-        while j in left:
-            rest = dict(left)
-            rest[j] -= 1
-            if not rest[j]:
-                del rest[j]
-            beside = _dominating(j, rest, sorted(rest), capacity - j)
-            if beside is None:
-                break
-            pattern = (j, *beside)
-            take(pattern, min(left[s] // pattern.count(s) for s in pattern))
+    fixed = -1
+    while fixed < plan.containers:  # what one pass fixes may let the next one prove more
+        fixed = plan.containers
+        for j in sorted(left, reverse=True):
+            while j in left:
+                rest = dict(left)
+                rest[j] -= 1
+                if not rest[j]:
+                    del rest[j]
+                beside = _dominating(j, rest, sorted(rest), capacity - j)
+                if beside is None:
+                    break
+                pattern = (j, *beside)
+                take(pattern, min(left[s] // pattern.count(s) for s in pattern))
     plan.reduced = plan.containers
 
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -142,8 +145,8 @@ def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pack(items: DataFrame, keys: list[str], size: str, capacity: int) -> DataFrame:
-    """(keys, piece, size, container): where each item goes.
+def pack(items: DataFrame, keys: list[str], size: str, capacity: int) -> tuple[DataFrame, Plan]:
+    """(keys, piece, size, container), where each item goes, and the plan of the containers.
 
     `keys` identify an item. An item larger than the capacity is cut into full containers of its own and one rest that is
     packed like an item (pieces count from 0); no other item is cut. NULL and non-positive sizes take no room: they go to
@@ -194,4 +197,4 @@ def pack(items: DataFrame, keys: list[str], size: str, capacity: int) -> DataFra
     types = dict(pieces.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "piece int, size bigint, container bigint"])
     placed = ranked.select(*keys, "piece", "size", "rank").mapInArrow(place, schema)
-    return placed.unionByName(pieces.where("size = 0").select(*keys, "piece", "size", F.lit(0).cast("bigint").alias("container")))
+    return placed.unionByName(pieces.where("size = 0").select(*keys, "piece", "size", F.lit(0).cast("bigint").alias("container"))), plan

@@ -52,7 +52,8 @@ def mix(docs: DataFrame, key: str, targets: DataFrame, total: float | None = Non
     compared by `source_key`. The first result is (key, source, tokens, copies) of every record of a source with a target;
     the second (source, target_share, max_repeats, tokens_available, tokens_drawn, actual_share, most_copies) of every
     target. No record is used more than max_repeats times. Without `total`, the largest total is drawn at which every target
-    whose source has tokens can be met; the shares of absent sources go to the others in proportion and are reported with 0.
+    whose source has tokens can be met, so the source that is smallest for its target and its cap decides how much is drawn of
+    all; a larger `total` uses more of the others and leaves that source at its cap, short of its share; the shares of absent sources go to the others in proportion and are reported with 0.
     Records of other or NULL sources are left out; records without tokens get no copy. Empty tables give no copies.
     """
     spark = docs.sparkSession

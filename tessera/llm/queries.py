@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.canonical import map_to_reference
 from tessera.llm.containers import pack
-from tessera.llm.mixing import mix
+from tessera.llm.mixing import mix, source_key
 from tessera.llm.names import Lexicon, link_names
-from tessera.llm.neighbours import near_duplicates
+from tessera.llm.neighbours import expanded, grouped, near_duplicates
 from tessera.llm.reading import reading_levels
 from tessera.llm.terms import distinctive_terms, term_frequencies
 from tessera.llm.tokens import token_counts
@@ -39,6 +39,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("recall_id", "term")
 
 
+@REGISTRY.query(
+    "p1_scores",
+    f"""WITH {_TERMS_SQL}, l AS (SELECT recall_id, sum(tf) AS n_terms FROM c GROUP BY 1)
+ SELECT recall_id, term, tf, n_records, round(tf / n_terms * (ln((1 + n) / (1 + n_records)) + 1), 6) AS score FROM c JOIN d USING (term) JOIN l USING (recall_id), n""",
+)
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How distinctive every term of every recall is."""
+    recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description"])
+    return distinctive_terms(recalls, "recall_id", ["title", "description"]).withColumn("score", F.round("score", 6))
+
+
 @REGISTRY.query(
     "p2_found",
     f"""WITH {_TERMS_SQL} SELECT term, CASE WHEN n_records < 4 THEN 'rare' ELSE 'common' END AS mark
@@ -166,19 +177,30 @@ _SETS_SQL = r"""s AS (SELECT recall_id, list_distinct(regexp_extract_all(lower(c
  FROM (SELECT DISTINCT recall_id, title, description, products FROM apparel_recalls_v2 WHERE description IS NOT NULL))"""
 
 
-@REGISTRY.query(
-    "p7_found",
-    f"""WITH {_SETS_SQL}, p AS (SELECT a.recall_id AS recall_id_a, b.recall_id AS recall_id_b, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS i
- FROM s a JOIN s b ON a.recall_id < b.recall_id AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t))
- SELECT recall_id_a, recall_id_b FROM p WHERE i >= 0.7 * (n - i)""",
-)
+_PAIRS_SQL = f"""{_SETS_SQL}, p AS (SELECT a.recall_id AS recall_id_a, b.recall_id AS recall_id_b, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS i
+ FROM s a JOIN s b ON a.recall_id < b.recall_id AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t)),
+ q AS (SELECT recall_id_a, recall_id_b FROM p WHERE i >= 0.7 * (n - i))"""
+
+
+def alike_recalls(spark: SparkSession, sf_dir: str, miss: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description", "products"]).where("description IS NOT NULL")
+    return near_duplicates(recalls, "recall_id", ["title", "description", "products"], 0.7, miss)
+
+
+@REGISTRY.query("p7_found", f"WITH {_PAIRS_SQL} FROM q")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of recalls whose title, description and products have 70 % of their terms in common."""
-    recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description", "products"]).where("description IS NOT NULL")
-    pairs = near_duplicates(recalls, "recall_id", ["title", "description", "products"], share=0.7)
+    pairs = expanded(*alike_recalls(spark, sf_dir))
     return pairs.select(F.col("a").alias("recall_id_a"), F.col("b").alias("recall_id_b"))
 
 
+@REGISTRY.query("p7_groups", f"""WITH RECURSIVE {_PAIRS_SQL}, e AS (SELECT recall_id_a AS a, recall_id_b AS b FROM q UNION SELECT recall_id_b, recall_id_a FROM q),
+ w AS (SELECT recall_id AS node, recall_id AS seen FROM s UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.seen) SELECT node AS recall_id, min(seen) AS "group" FROM w GROUP BY 1""")
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recall with the smallest one that a chain of near-duplicates connects it to."""
+    return grouped(*alike_recalls(spark, sf_dir)).select(F.col("id").alias("recall_id"), "group")
+
+
 # Words for a line of business and their usual short forms.
 TRADES = {
     "sleepwear": "slpwr", "international": "intl", "textiles": "txtls textile", "knitwear": "knitwr", "distribution": "distr dist distributors",
@@ -222,9 +244,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
 
 
-def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, tokens) of every document, counted once and kept in the shared folder."""
+def document_tokens(spark: SparkSession, sf_dir: str, targets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, tokens) of every document, or of those with a target; counted once and kept in the shared folder."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    if targets is not None:
+        docs = docs.join(targets.select(source_key(F.col("source")).alias("wanted")).distinct(), source_key(F.col("source")) == F.col("wanted"), "left_semi")
     return materialize(token_counts(docs, ["doc_id", "source"], "text"), "tokens")
 
 
@@ -234,33 +258,48 @@ CONTAINER = 2_048
 @REGISTRY.query("p8_pack")
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of each document, or of each piece of a document that exceeds a container."""
-    return pack(document_tokens(spark, sf_dir), ["doc_id"], "tokens", CONTAINER).withColumnRenamed("size", "tokens")
+    return pack(document_tokens(spark, sf_dir), ["doc_id"], "tokens", CONTAINER)[0].withColumnRenamed("size", "tokens")
 
 
 @REGISTRY.query("p8_fill")
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the least number that could hold the tokens, and how full they are."""
-    one = p8_pack(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("used"))
+    """Containers used, how many the reduction fixed, the least number that could hold the tokens, and how full they are."""
+    placed, plan = pack(document_tokens(spark, sf_dir), ["doc_id"], "tokens", CONTAINER)
+    one = placed.groupBy("container").agg(F.sum("size").alias("used"))
     every = one.agg(F.count("*").alias("containers"), F.ceil(F.sum("used") / CONTAINER).alias("least_containers"), F.max("used").alias("most_used"), F.avg("used").alias("mean_used"))
-    return every.select("containers", "least_containers", "most_used", F.round(F.col("mean_used") / CONTAINER, 6).alias("fill"))
+    return every.select("containers", F.lit(plan.reduced).alias("reduced"), "least_containers", "most_used", F.round(F.col("mean_used") / CONTAINER, 6).alias("fill"))
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix(document_tokens(spark, sf_dir, targets), "doc_id", targets)
 
 
 @REGISTRY.query("p9_mix")
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is drawn."""
-    return mix(document_tokens(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[0]
+    return mixed_documents(spark, sf_dir)[0]
 
 
 @REGISTRY.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
-    return mix(document_tokens(spark, sf_dir), "doc_id", table(spark, sf_dir, "mix_targets"))[1]
+    return mixed_documents(spark, sf_dir)[1]
+
+
+def read_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where(F.col("lang") == "en").where(words >= 20)
+    return reading_levels(docs.select("doc_id", "text"), table(spark, sf_dir, "reading_labels", ["doc_id", "reading_level"]))
 
 
 @REGISTRY.query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading level of every English document of at least 20 words."""
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where(F.col("lang") == "en").where(words >= 20)
-    levels = reading_levels(docs.select("doc_id", "text"), table(spark, sf_dir, "reading_labels", ["doc_id", "reading_level"]))
-    return levels.select("doc_id", "reading_level").where("reading_level IS NOT NULL")
+    return read_documents(spark, sf_dir)[0].select("doc_id", "reading_level").where("reading_level IS NOT NULL")
+
+
+@REGISTRY.query("p10_report")
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds, residual and held-out agreement of the propagation."""
+    return read_documents(spark, sf_dir)[1]

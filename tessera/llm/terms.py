@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 TERM = r"[a-z][a-z\-]+"
 
 
@@ -62,7 +64,7 @@ def distinctive_terms(df: DataFrame, key: str, fields: list[str], min_tf: int =
     defaults every term of every record has one. Ties keep equal scores. Empty tables and records without terms give none.
     """
     n = df.agg(F.count_distinct(key)).first()[0]
-    terms = record_terms(df, key, fields)
+    terms = materialize(record_terms(df, key, fields), "terms")
     counts = terms.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("n_records"))
     counts = counts.where((F.col("n_records") >= min_records) & (F.col("n_records") <= max_share * n))
     kept = F.filter("terms", lambda t: t["tf"] >= min_tf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,20 +14,22 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a vocabulary file of ranks, kept once per Python process."""
+    """The tokenizer of a vocabulary file of ranks, kept per Python process."""
     import tiktoken
 
-    kept = tiktoken.__dict__.setdefault("_kept_encodings", {})
-    if path not in kept:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        kept[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[path]
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, keys: list[str], text: str, path: str = VOCABULARY) -> DataFrame:
-    """(keys, tokens): tokens of each row's whole text; NULL and empty texts have none. One row comes out per row in."""
+def token_counts(df: DataFrame, keys: list[str], text: str, path: str | None = None) -> DataFrame:
+    """(keys, tokens): tokens of each row's whole text; NULL and empty texts have none. One row comes out per row in.
+
+    `path` is a vocabulary file that every executor can read, by default that of the session's `spark.tessera.vocabulary`.
+    """
+    path = path or df.sparkSession.conf.get("spark.tessera.vocabulary", VOCABULARY)
     types = dict(df.dtypes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
