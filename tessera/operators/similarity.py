@@ -14,27 +14,45 @@ def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """The n-letter pieces of each word, padded by one blank on either side."""
+def char_ngrams(text: Column, least: int, most: int | None = None) -> Column:
+    """The pieces of `least` to `most` letters of each word, padded by one blank on either side; a shorter word is one piece."""
     padded = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))))
 
+    def pieces(w: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
+        return each if n == least else F.when(F.length(w) >= n, each).otherwise(F.array().cast("array<string>"))
 
-def tfidf(counts: DataFrame, key: str, min_records: int = 1) -> DataFrame:
-    """(key, term, w, df): 1 + ln(tf) times ln((1+N)/(1+df)) + 1, normalised to length 1 per record."""
-    n = counts.select(key).distinct().count()
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_records)
+    return F.flatten(F.transform(padded, lambda w: F.concat(*[pieces(w, n) for n in range(least, (most or least) + 1)])))
+
+
+def word_ngrams(text: Column) -> Column:
+    """The words of two letters or digits or more of a text, and the pairs of neighbours among them."""
+    words = F.regexp_extract_all(text, F.lit(r"\w\w+"), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+
+def tfidf(counts: DataFrame, key: str, min_records: int = 1, copies: DataFrame | None = None) -> DataFrame:
+    """(key, term, w, df): 1 + ln(tf) times ln((1+N)/(1+df)) + 1, normalised to length 1 per record. `copies` (key, copies)
+    says how many records each key stands for; without it, one."""
+    if copies is None:
+        n, held = counts.select(key).distinct().count(), F.count("*")
+    else:
+        n, counts, held = copies.agg(F.sum("copies")).first()[0] or 0, counts.join(copies, key), F.sum("copies")
+    df = counts.groupBy("term").agg(held.alias("df")).where(F.col("df") >= min_records)
     raw = counts.join(df, "term").withColumn("x", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
     return raw.select(key, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).alias("w"), "df")
 
 
-def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame | None = None, only: str = "true", hot: int = 1_000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame | None = None, only: str = "true", hot: int = 1_000, depth: int = 2) -> DataFrame:
     """(a, b, similarity) of all a < b whose unit vectors have a cosine of `least` or more and for which `only` holds, a
     condition on the columns of `traits` (key, ...), which end in `_a` and `_b`.
 
     Terms stand in one order, rarest first. A vector is filed under each two of its terms t, u for which the length of t, u
     and all terms after u is `least` or more, and under each term that has this weight alone. The first two terms that a
-    pair at `least` shares, or the only one, file both its vectors, so no pair is lost, however common its terms are. The
+    pair at `least` shares, or the only one, file both its vectors, so no pair is lost, however common its terms are. With a
+    `depth` of 1 a vector is filed under each single term t for which the length of t and all after it is `least` or more,
+    which is the better choice for vectors of many terms; the first term that a pair shares files both. The
     same lengths bound the cosine of those that meet; it is summed over all terms for those who pass. A place of more than
     `hot` vectors is divided into blocks that meet pairwise.
     """
@@ -44,8 +62,10 @@ def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame
     first = own.where(F.col("rest") >= floor).select(key, F.col("term").alias("t"), F.col("w").alias("wt"), F.col("df").alias("dt"))
     after = own.select(key, F.col("term").alias("u"), F.col("w").alias("wu"), F.col("df").alias("du"), F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)).alias("r"), "rest")
     two = first.join(after, key).where(((F.col("dt") < F.col("du")) | ((F.col("dt") == F.col("du")) & (F.col("t") < F.col("u")))) & (F.col("wt") * F.col("wt") + F.col("rest") >= floor))
+    whole = own.where(F.col("rest") >= floor).select(key, F.xxhash64("term").alias("place"), F.col("w").alias("wt"), F.lit(0.0).alias("wu"), F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)).alias("r"))
     one = first.where(F.col("wt") >= least - 1e-9).select(key, F.xxhash64("t").alias("place"), "wt", F.lit(0.0).alias("wu"), F.lit(0.0).alias("r"))
-    filed = materialize(two.select(key, F.xxhash64("t", "u").alias("place"), "wt", "wu", "r").unionByName(one), "filed")
+    filed = two.select(key, F.xxhash64("t", "u").alias("place"), "wt", "wu", "r").unionByName(one) if depth == 2 else whole
+    filed = materialize(filed, "filed")
     sizes = filed.groupBy("place").agg(F.count("*").alias("m")).where("m > 1").select("place", F.ceil(F.col("m") / hot).cast("int").alias("nb"))
     placed = filed.join(sizes, "place").withColumn("mine", F.pmod(F.xxhash64(key), "nb").cast("int"))
     if traits is not None:
@@ -62,6 +82,31 @@ def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def counted_matches(members: DataFrame, links: DataFrame, cls: str, differ: str, day: str, width: int, same: list[str] = []) -> DataFrame:
+    """(a, b, same, differ, day, q, n): for each group of q members of class a that are equal in `same`, `differ` and `day`, how
+    many members n of class b are equal in `same`, not equal in `differ` and at most `width` days away.
+
+    `links` (a, b) are pairs of classes; every class is linked with itself, too, and pairs count in both directions. Members
+    with a NULL in any of the columns match nothing. No pair of members is formed: n is a difference of running totals over
+    all members in order of class and day, so that a class with a third of all members is spread over several tasks.
+    """
+    from tessera.operators.series import running
+
+    known = members.where(" AND ".join(f"{c} IS NOT NULL" for c in (cls, differ, day, *same)))
+    g = materialize(known.groupBy(cls, *same, differ, day).agg(F.count("*").alias("q")), "groups")
+    both = links.select("a", "b").union(links.select("b", "a")).union(g.select(F.col(cls).alias("a"), F.col(cls).alias("b")).distinct()).distinct()
+    asked = g.withColumnRenamed(cls, "a").join(both, "a")
+    ends = F.explode(F.array(F.struct((F.col(day) + width).alias("at"), F.lit(1).alias("sign")), F.struct((F.col(day) - width - 1).alias("at"), F.lit(-1).alias("sign"))))
+    asked = asked.withColumn("end", ends).select("a", "b", *same, differ, day, "q", "end.at", "end.sign", F.lit(0).alias("held"), F.lit(1).alias("kind"))
+    there = g.select(F.lit(None).cast(dict(g.dtypes)[cls]).alias("a"), F.col(cls).alias("b"), *same, differ, day, F.lit(0).cast("bigint").alias("q"), F.col(day).alias("at"), F.lit(0).alias("sign"), F.col("q").cast("int").alias("held"), F.lit(0).alias("kind"))
+    every = materialize(asked.unionByName(there), "asked")
+    parts = [
+        running(every, ["b", *same, *extra, "at", "kind"], {"upto": "held"}).where("kind = 1").withColumn("n", F.col("upto") * F.col("sign") * weight)
+        for extra, weight in (([], 1), ([differ], -1))
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("a", "b", *same, differ, day, "q").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def name_matches(names: DataFrame, key: str, count: str, generic: list[str], rare: int = 3) -> DataFrame:
     """(key_a, key_b, rule, jaccard, containment, ratio) of different name keys that mean the same entity.
 

@@ -13,66 +13,133 @@ from tessera.operators.shares import mode_of
 from tessera.plans.registry import Registry
 from tessera.plans.relational_queries import r6
 from tessera.plans.text_queries import E, phrase_sql
-from tessera.session import table
-from tessera.sources.events import events
+from tessera.session import materialize, table
+from tessera.sources.events import events, once, rows
 
 REGISTRY = Registry()
 Q = REGISTRY.query
 GENERIC = ["store", "shop", "brands", "global", "sales", "products", "retail", "holdings", "the", "and", "of", "for", "home", "goods", "garments", "textiles", "footwear"]
 
 
-def title_terms(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d, "title").select("recall_id", F.lower(headline_product(F.col("title"), "similarity")).alias("phrase"))
-    return S.term_counts(e, "recall_id", F.regexp_extract_all("phrase", F.lit(r"[a-z][a-z\-]+"), F.lit(0)))
+# --- similar product phrases: phrases are compared once, however many events carry one ---------------------------------
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """(recall_id, phrase, class, firm, day, country, online) of events with a phrase of more than three letters; the class is
+    the smallest event of the same phrase, the day counts from 1970."""
+    raw = rows(spark, d, "title", "firm_key", "recall_date", "primary_country", "sales_channel")
+    day = F.datediff(F.to_date(F.try_to_timestamp(F.substring("recall_date", 1, 10))), F.lit("1970-01-01").cast("date"))
+    e = once(raw.select("recall_id", F.lower(headline_product(F.col("title"), "similarity")).alias("phrase"), F.col("firm_key").alias("firm"), day.alias("day"), F.col("primary_country").alias("country"), (F.col("sales_channel") == "online_only").alias("online")))
+    e = e.where(F.length("phrase") > 3)
+    return materialize(e.join(e.groupBy("phrase").agg(F.min("recall_id").alias("class")), "phrase"), "phrases")
 
 
-_TF = f"""{E}, {phrase_sql("similarity")}, c AS (SELECT recall_id, term, count(*) AS tf FROM (SELECT recall_id, unnest(regexp_extract_all(lower(phrase), '[a-z][a-z\\-]+')) AS term FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT recall_id) AS n FROM c),
+def phrase_vectors(p: DataFrame, terms, min_records: int = 1) -> DataFrame:
+    """Weights of the terms of each class of equal phrases, record counts being over all events."""
+    classes = p.groupBy("class").agg(F.first("phrase").alias("phrase"), F.count("*").alias("copies"))
+    return S.tfidf(S.term_counts(classes, "class", terms), "class", min_records, classes.select("class", "copies"))
+
+
+def phrase_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The events with their phrases' classes, and (a, b, similarity) of classes that are alike and have events near in time."""
+    p = phrases(spark, d)
+    spans = p.groupBy("class").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    near = f"lo_a - hi_b <= {DAYS} AND lo_b - hi_a <= {DAYS}"
+    return p, materialize(S.similar_pairs(phrase_vectors(p, S.word_ngrams(F.col("phrase"))), "class", ALIKE, spans, near), "links")
+
+
+ALIKE, DAYS = 0.6, 730
+_WORDS = "regexp_extract_all(phrase, '\\w\\w+')"
+_PH = f"""{E}, {phrase_sql("similarity")}, g AS (SELECT recall_id, lower(phrase) AS phrase, firm_key AS firm, date_diff('day', DATE '1970-01-01', try_cast(substr(recall_date, 1, 10) AS DATE)) AS day, primary_country AS country, sales_channel = 'online_only' AS online
+ FROM f JOIN e USING (recall_id) WHERE length(phrase) > 3), p AS (SELECT *, min(recall_id) OVER (PARTITION BY phrase) AS class FROM g)"""
+_TF = f"""{_PH}, w AS (SELECT recall_id, {_WORDS} AS w FROM p), l AS (SELECT recall_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT recall_id, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n FROM p),
  df AS (SELECT term, count(*) AS df FROM c GROUP BY 1), x AS (SELECT recall_id, term, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN df USING (term), n), v AS (SELECT recall_id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY recall_id)) AS w FROM x)"""
+_SIM = f"""{_TF}, z AS (SELECT x.recall_id AS a, y.recall_id AS b, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.term = y.term AND x.recall_id <> y.recall_id GROUP BY ALL),
+ k AS (SELECT z.a, z.b, z.s, x.country = y.country AS same_country, x.online AND y.online AS online, x.phrase AS pa, y.phrase AS pb FROM z JOIN p x ON x.recall_id = a JOIN p y ON y.recall_id = b WHERE s >= {ALIKE} - 1e-9 AND x.firm <> y.firm AND abs(x.day - y.day) <= {DAYS})"""
 
 
-@Q("er4_tfidf", f"{_TF} SELECT recall_id, term, round(w, 6) AS w FROM v")
+@Q("er4_tfidf", f"{_TF} SELECT p.class, term, round(any_value(w), 6) AS w FROM v JOIN p USING (recall_id) GROUP BY ALL")
 def er4(spark: SparkSession, d: str) -> DataFrame:
-    return S.tfidf(title_terms(spark, d), "recall_id").select("recall_id", "term", r6("w", "w"))
+    """Weights of the words and word pairs of each phrase."""
+    p = phrases(spark, d)
+    return phrase_vectors(p, S.word_ngrams(F.col("phrase"))).select("class", "term", r6("w", "w"))
 
 
-_RARE = 40
+@Q("er4_char_tfidf", f"""{_PH}, w AS (SELECT class, ' ' || unnest(list_filter(regexp_split_to_array(any_value(phrase), '\s+'), lambda x: x <> '')) || ' ' AS w, count(*) AS m FROM p GROUP BY class), s AS (SELECT class, m, w, unnest([3, 4, 5]) AS k FROM w),
+ l AS (SELECT class, m, substr(w, i, k) AS term FROM (SELECT *, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM s) WHERE k = 3 OR length(w) >= k), c AS (SELECT class, m, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n FROM p), df AS (SELECT term, sum(m) AS df FROM c GROUP BY 1 HAVING sum(m) >= 2),
+ x AS (SELECT class, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN df USING (term), n) SELECT class, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY class)), 6) AS w FROM x""")
+def er4c(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the pieces of three to five letters of each phrase's words that two events have."""
+    p = phrases(spark, d)
+    return phrase_vectors(p, S.char_ngrams(F.col("phrase"), 3, 5), 2).select("class", "term", r6("w", "w"))
 
 
-@Q("jn9_similar_pairs", f"""{_TF}, p AS (SELECT DISTINCT a.recall_id AS a, b.recall_id AS b FROM v a JOIN v b ON a.term = b.term AND a.recall_id < b.recall_id WHERE a.df <= {_RARE}), z AS (SELECT p.a, p.b, sum(x.w * y.w) AS s FROM p JOIN v x ON x.recall_id = p.a JOIN v y ON y.recall_id = p.b AND y.term = x.term GROUP BY ALL)
- SELECT a, b, round(s, 6) AS similarity FROM z JOIN e x ON x.recall_id = a JOIN e y ON y.recall_id = b WHERE s >= 0.6 AND x.firm_key IS DISTINCT FROM y.firm_key AND abs(x.year - y.year) <= 2""")
+@Q("jn9_similar_links", f"{_SIM}, ln AS (SELECT a AS recall_id, count(*) AS links FROM k GROUP BY 1) SELECT recall_id, class, coalesce(links, 0) AS links FROM p LEFT JOIN ln USING (recall_id)")
 def jn9(spark: SparkSession, d: str) -> DataFrame:
-    """Alike product phrases of different firms within two years. The SQL beside it sees only pairs with a term of at most 40 records."""
-    e = events(spark, d, "firm_key", "year")
-    pairs = S.similar_pairs(S.tfidf(title_terms(spark, d), "recall_id"), "recall_id", 0.6, e.select("recall_id", "year"), "abs(year_a - year_b) <= 2")
-    side = lambda k: e.select(F.col("recall_id").alias(k), F.col("firm_key").alias(f"f{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("NOT fa <=> fb").select("a", "b", r6("similarity", "similarity"))
+    """Each event with the class of its phrase and the number of events of other firms within two years whose phrases are alike."""
+    p, links = phrase_links(spark, d)
+    n = S.counted_matches(p, links, "class", "firm", "day", DAYS).groupBy(F.col("a").alias("class"), "firm", "day").agg(F.sum("n").alias("links"))
+    return p.join(n, ["class", "firm", "day"], "left").select("recall_id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @Q("er4_char_ngrams")
 def er4b(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of three-letter pieces of firm keys."""
-    e = events(spark, d, "firm_key").where("firm_key IS NOT NULL").select("firm_key").distinct()
-    grams = S.term_counts(e, "firm_key", S.char_ngrams(F.col("firm_key"), 3))
-    return S.similar_pairs(S.tfidf(grams, "firm_key", 2), "firm_key", 0.8)
+    """Each firm key with the number of keys that are alike by their pieces of three to five letters."""
+    e = once(rows(spark, d, "firm_key").where("firm_key IS NOT NULL").select("firm_key"), "firm_key")
+    grams = S.term_counts(e, "firm_key", S.char_ngrams(F.col("firm_key"), 3, 5))
+    pairs = S.similar_pairs(S.tfidf(grams, "firm_key", 2), "firm_key", 0.8, depth=1)
+    n = pairs.select(F.col("a").alias("firm_key")).union(pairs.select("b")).groupBy("firm_key").agg(F.count("*").alias("links"))
+    return e.join(n, "firm_key", "left").select("firm_key", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+# Words of products, which tell no maker, however few phrases hold them.
+PRODUCT_WORDS = """toddlers toddler youth women womens woman men mens man baby babies unisex junior infant infants kids children childrens boys girls
+cotton fleece flannel knit knitted woven denim velour terry organic bamboo hooded drawstring drawstrings zip zippered footed printed print holiday winter
+summer spring fall christmas halloween two piece three long short sleeve sleeves style styles assorted various models model number numbers heated electric
+weighted infrared cordless rechargeable chenille velvet wool silk satin polyester nylon leather suede metal plastic wooden waist hood hoods neck cuff cuffs
+collar zipper zippers snap snaps button buttons pocket pockets garment garments apparel clothing outfit outfits teddy bear bears doll dolls toy toys
+necklace necklaces jewellery athletic safety water sport sports novelty decorative""".split()
+
+
+def rare_words(p: DataFrame) -> DataFrame:
+    """(class, term) of the words that at most 3 events, or 2 % of all, have, but for PRODUCT_WORDS."""
+    words = p.groupBy("class").agg(F.first("phrase").alias("phrase"), F.count("*").alias("m"))
+    words = words.select("class", "m", F.explode(F.array_distinct(F.regexp_extract_all("phrase", F.lit("[a-z0-9']{3,}"), F.lit(0)))).alias("term"))
+    df = words.groupBy("term").agg(F.sum("m").alias("df")).where(F.col("df") <= max(3, round(RARE * p.count()))).where(~F.col("term").isin(PRODUCT_WORDS))
+    return words.join(df, "term").select("class", "term", "df")
+
+
+RARE = 0.02
+_LISTED = ", ".join(f"'{w}'" for w in PRODUCT_WORDS)
+_RARE_SQL = f"""t AS (SELECT DISTINCT recall_id, class, unnest(regexp_extract_all(phrase, '[a-z0-9'']{{3,}}')) AS term FROM p), rt AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) <= greatest(3, round({RARE} * (SELECT count(*) FROM p))) AND term NOT IN ({_LISTED})),
+ rw AS (SELECT DISTINCT recall_id, class, term, df FROM t JOIN rt USING (term))"""
 
 
-@Q("er5_rare_tokens", f"{_TF} SELECT term, df FROM df, n WHERE df <= greatest(3, 0.02 * n) AND length(term) > 3")
+@Q("er5_rare_tokens", f"{_PH}, {_RARE_SQL} SELECT DISTINCT term, df FROM rw")
 def er5(spark: SparkSession, d: str) -> DataFrame:
-    c = title_terms(spark, d)
-    n = c.select("recall_id").distinct().count()
-    return c.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") <= max(3.0, 0.02 * n)) & (F.length("term") > 3))
+    return rare_words(phrases(spark, d)).select("term", "df").distinct()
 
 
-@Q("er6_tiers", f"""{_TF}, p AS (SELECT DISTINCT a.recall_id AS a, b.recall_id AS b FROM v a JOIN v b ON a.term = b.term AND a.recall_id < b.recall_id WHERE a.df <= 10)
- SELECT CASE WHEN x.firm_key = y.firm_key THEN 'brand_match' WHEN x.hazard_category = y.hazard_category AND x.sales_channel = 'online_only' AND y.sales_channel = 'online_only' THEN 'category_match_online' ELSE 'other' END AS tier, count(*) AS n FROM p JOIN e x ON x.recall_id = a JOIN e y ON y.recall_id = b GROUP BY 1""")
+@Q("er6_tiers", f"""{_SIM}, {_RARE_SQL}, sh AS (SELECT DISTINCT k.a, k.b FROM k JOIN rw x ON x.recall_id = k.a JOIN rw y ON y.recall_id = k.b AND y.term = x.term)
+ SELECT CASE WHEN same_country AND sh.a IS NOT NULL THEN 'brand_match' WHEN same_country AND s >= 0.8 - 1e-9 AND online THEN 'category_match_online' ELSE 'other_high_similarity' END AS tier, count(*) AS n FROM k LEFT JOIN sh ON sh.a = k.a AND sh.b = k.b WHERE k.a < k.b GROUP BY 1""")
 def er6(spark: SparkSession, d: str) -> DataFrame:
-    rare = S.tfidf(title_terms(spark, d), "recall_id").where("df <= 10").select("recall_id", "term")
-    pairs = rare.select(F.col("recall_id").alias("a"), "term").join(rare.select(F.col("recall_id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    e = events(spark, d, "firm_key", "hazard_category", "sales_channel")
-    side = lambda k: e.select(F.col("recall_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("firm_key", "hazard_category", "sales_channel")])
-    online = (F.col("sales_channel_a") == "online_only") & (F.col("sales_channel_b") == "online_only")
-    tier = F.when(F.col("firm_key_a") == F.col("firm_key_b"), "brand_match").when((F.col("hazard_category_a") == F.col("hazard_category_b")) & online, "category_match_online").otherwise("other")
-    return pairs.join(side("a"), "a").join(side("b"), "b").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    """Pairs of alike events of different firms within two years by tier, counted from the classes of their phrases."""
+    p, links = phrase_links(spark, d)
+    rare = materialize(rare_words(p).select("class", "term"), "rare")
+    own = rare.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
+    shared = links.select("a", "b").join(rare.withColumnRenamed("class", "a"), "a").join(rare.withColumnRenamed("class", "b"), ["b", "term"]).select("a", "b").distinct()
+    marks = links.join(shared.withColumn("rare", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("rare", F.lit(False)).alias("rare"), (F.col("similarity") >= 0.8 - 1e-9).alias("close"))
+    itself = p.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct().join(own.withColumn("rare", F.lit(True)), ["a", "b"], "left")
+    marks = marks.unionByName(marks.select(F.col("b").alias("a"), F.col("a").alias("b"), "rare", "close")).unionByName(itself.select("a", "b", F.coalesce("rare", F.lit(False)).alias("rare"), F.lit(True).alias("close")))
+    marks = materialize(marks, "marks")
+
+    def pairs(same: list[str], only: str) -> DataFrame:
+        hits = S.counted_matches(p, links, "class", "firm", "day", DAYS, same).join(marks, ["a", "b"]).where(only)
+        return hits.agg((F.coalesce(F.sum(F.col("q") * F.col("n")), F.lit(0)) / 2).cast("bigint").alias("n"))
+
+    brand = pairs(["country"], "rare").select("n", F.lit("brand_match").alias("tier"))
+    online = pairs(["country", "online"], "NOT rare AND close AND online").select("n", F.lit("category_match_online").alias("tier"))
+    both = materialize(brand.unionByName(online), "tiers")
+    rest = pairs([], "true").unionByName(both.select((-F.col("n")).alias("n"))).agg(F.sum("n").alias("n"))
+    return both.unionByName(rest.select("n", F.lit("other_high_similarity").alias("tier"))).where("n > 0").select("tier", "n")
 
 
 def keyed_names(spark: SparkSession, d: str) -> DataFrame:
@@ -93,13 +160,14 @@ def er2(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(linked, keys["key"] == linked["node"], "left").select("key", F.coalesce("component", "key").alias("entity"))
 
 
-@Q("er2_components", """WITH RECURSIVE ed AS (SELECT DISTINCT 'c' || customer AS a, 'n' || nation AS b FROM (SELECT o_custkey % 997 AS customer, o_orderkey % 41 AS nation FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 7 = o_orderkey % 7)),
+@Q("er2_components", """WITH RECURSIVE ed AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey || '/' || l_suppkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity >= 45),
  bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), walk AS (SELECT a AS node, a AS seen FROM bo UNION SELECT w.node, bo.b FROM walk w JOIN bo ON bo.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY 1""")
 def er2b(spark: SparkSession, d: str) -> DataFrame:
-    """Components of a sparse graph of orders."""
-    o = table(spark, d, "orders", ["o_orderkey", "o_custkey"]).where("o_orderkey % 3 = 0 AND o_custkey % 7 = o_orderkey % 7")
-    edges = o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 997).cast("string")).alias("a"), F.concat(F.lit("n"), (F.col("o_orderkey") % 41).cast("string")).alias("b"))
-    return components(edges)
+    """Orders connected by large returned lines of the same part and supplier."""
+    o = table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity"])
+    o = o.where("l_returnflag = 'R' AND l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00' AND l_quantity >= 45")
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    return components(o.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), part.alias("b")))
 
 
 @Q("er3_display_names", f"{E}, n AS (SELECT firm_key, firm AS v, count(*) AS n FROM e WHERE firm_key IS NOT NULL AND firm IS NOT NULL GROUP BY ALL) SELECT firm_key, v AS mode FROM n QUALIFY row_number() OVER (PARTITION BY firm_key ORDER BY n DESC, v) = 1")

@@ -28,8 +28,8 @@ def test_similar_pairs_equal_brute_force(spark):
     docs = {i: rng.choices(common, k=rng.randint(1, 3)) + rng.choices(rare, k=rng.choice((0, 0, 1, 2))) for i in range(240)}
     want = {p for p, s in cosines(docs).items() if s >= 0.6}
     counts = S.term_counts(spark.createDataFrame(list(docs.items()), "id int, terms array<string>"), "id", F.col("terms"))
-    for hot in (1_000, 7):
-        got = [(r["a"], r["b"]) for r in S.similar_pairs(S.tfidf(counts, "id"), "id", 0.6, hot=hot).collect()]
+    for hot, depth in ((1_000, 2), (7, 2), (1_000, 1), (7, 1)):
+        got = [(r["a"], r["b"]) for r in S.similar_pairs(S.tfidf(counts, "id"), "id", 0.6, hot=hot, depth=depth).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     # every record holds the one term, more of them than any earlier bound
     alike = spark.createDataFrame([(i, ["robe"]) for i in range(100)], "id int, terms array<string>")
@@ -53,3 +53,28 @@ def test_name_matches_equal_brute_force(spark):
             want.add((a, b))
     got = S.name_matches(spark.createDataFrame(rows, "key string, n int, joint boolean"), "key", "n", ["home", "goods"])
     assert {(r["key_a"], r["key_b"]) for r in got.collect()} == want
+
+
+def test_counted_matches_equal_brute_force(spark):
+    rng = random.Random(2)
+    # one class holds a third of the members
+    rows = [(i, rng.choice((0, 0, rng.randrange(6))), rng.choice("abc"), rng.randrange(40), rng.choice(("x", "y", None))) for i in range(150)] + [(900, 1, None, 5, "x"), (901, None, "a", 5, "x")]
+    members = spark.createDataFrame(rows, "id int, cls int, firm string, day int, country string")
+    pairs = [(0, 1), (2, 3), (3, 0)]
+    links = spark.createDataFrame(pairs, "a int, b int")
+    linked = {*pairs, *[(b, a) for a, b in pairs], *[(c, c) for c in range(6)]}
+    for same in ([], ["country"]):
+        want = {}
+        for x, y in itertools.permutations(rows, 2):
+            if None not in (x[1], x[2], y[1], y[2]) and (x[1], y[1]) in linked and x[2] != y[2] and abs(x[3] - y[3]) <= 4 and (not same or x[4] is not None and x[4] == y[4]):
+                k = (x[1], y[1], *([x[4]] if same else []), x[2], x[3])
+                want[k] = want.get(k, 0) + 1
+        got = {(r["a"], r["b"], *(r[c] for c in same), r["firm"], r["day"]): r["q"] * r["n"] for r in S.counted_matches(members, links, "cls", "firm", "day", 4, same).collect()}
+        assert got == want
+    assert S.counted_matches(members.limit(0), links, "cls", "firm", "day", 4).count() == 0
+
+
+def test_char_ngrams(spark):
+    df = spark.createDataFrame([("Ab  c", 1)], "t string, i int")
+    assert df.select(S.char_ngrams(F.col("t"), 3, 5).alias("g")).first()["g"] == [" ab", "ab ", " ab ", " c "]
+    assert df.select(S.word_ngrams(F.lit("red, robe of a x1")).alias("g")).first()["g"] == ["red", "robe", "of", "x1", "red robe", "robe of", "of x1"]
