@@ -105,8 +105,17 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 
 
 def _lgamma(x):
-    """Log gamma function of each entry."""
-    return np.array([math.lgamma(v) for v in np.ravel(x)], float).reshape(np.shape(x))
+    """Log gamma function of each positive entry: Stirling's series beyond ten, to which smaller entries are lifted."""
+    x = np.asarray(x, float)
+    low = x < 10
+    z = np.where(low, x + 10, x)
+    inv = 1 / (z * z)
+    series = (1 / 12 - inv * (1 / 360 - inv * (1 / 1260 - inv * (1 / 1680 - inv * (1 / 1188 - inv * 691 / 360_360))))) / z
+    out = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series
+    lifted = np.ones_like(x)
+    for k in range(10):
+        lifted = lifted * np.where(low, x + k, 1.0)
+    return out - np.log(lifted)
 
 
 def log_poisson(y, mu):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.special import log_half_normal, log_negbin, log_normal, log_poisson
+from tessera.functions.special import _lgamma, log_half_normal, log_negbin, log_normal, log_poisson
 
 LogDensity = Callable[[np.ndarray], float]
 DRAWS = "chain int, draw int, param string, value double"
@@ -83,8 +83,8 @@ def fit(spark: SparkSession, log_density: LogDensity, names: Sequence[str], star
 
 def rhat(draws: DataFrame) -> DataFrame:
     """(param, rhat): split R-hat; the last draw of an odd chain is left out."""
-    n = Window.partitionBy("param", "chain")
-    half = draws.withColumn("h", F.floor(F.count("*").over(n) / 2)).withColumn("part", F.floor(F.col("draw") / F.col("h"))).where("part < 2")
+    n = draws.groupBy("param", "chain").agg(F.floor(F.count("*") / 2).alias("h"))
+    half = draws.join(n, ["param", "chain"]).withColumn("part", F.floor(F.col("draw") / F.col("h"))).where("part < 2")
     each = half.groupBy("param", "chain", "part").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     s = each.groupBy("param").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.max("n").alias("n"))
     return s.select("param", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w")).alias("rhat"))
@@ -219,6 +219,8 @@ class HierarchicalRates:
     def __init__(self, kind: str, y: np.ndarray, exposure: np.ndarray, group: np.ndarray, time: np.ndarray) -> None:
         self.kind, self.y, self.x, self.g, self.t = kind, np.asarray(y, float), np.log(np.asarray(exposure, float)), np.asarray(group), np.asarray(time)
         self.groups, self.times = int(self.g.max()) + 1, int(self.t.max()) + 1
+        self.different, self.at = np.unique(self.y, return_inverse=True)
+        self.constant = _lgamma(self.y + 1)
         self.names = ["mean"]
         if kind != "pooled":
             self.names += ["log_sd", *[f"group_{i}" for i in range(self.groups)]]
@@ -248,10 +250,19 @@ class HierarchicalRates:
         return eta
 
     def pointwise(self, p: np.ndarray) -> np.ndarray:
-        mu = np.exp(np.clip(self.log_rate(p) + self.x, -30, 30))
+        eta = np.clip(self.log_rate(p) + self.x, -30, 30)
         if self.kind in ("pooled", "poisson"):
-            return log_poisson(self.y, mu)
-        return log_negbin(self.y, mu, math.exp(min(max(p[2 + self.groups], -10), 15)))
+            return self.y * eta - np.exp(eta) - self.constant
+        phi = math.exp(min(max(p[2 + self.groups], -10), 15))
+        far = np.log(phi + np.exp(eta))
+        return (_lgamma(self.different + phi) - math.lgamma(phi))[self.at] - self.constant + phi * (math.log(phi) - far) + self.y * (eta - far)
+
+    def blocks(self) -> list[list[int]]:
+        """Parameters that a chain moves together: group and time effects in small blocks, the others on their own."""
+        runs: dict[str, list[int]] = {}
+        for i, name in enumerate(self.names):
+            runs.setdefault(name.rstrip("0123456789"), []).append(i)
+        return [r[i : i + 6] for r in runs.values() for i in range(0, len(r), 6)]
 
     def __call__(self, p: np.ndarray) -> float:
         prior = float(log_normal(p[0], self.start[0], 3.0))
@@ -298,6 +309,67 @@ class LogitTrend:
         return float((self.k * eta - self.n * np.log1p(np.exp(eta))).sum() + log_normal(p, 0.0, self.scale).sum())
 
 
+class TopicTrend:
+    """Counts by year and topic: Dirichlet-multinomial shares whose logits against the last topic have a level, a trend per
+    decade and a random walk, of which level and trend are projected out; and a dispersion."""
+
+    def __init__(self, counts: np.ndarray, years: np.ndarray) -> None:
+        self.counts, years = np.asarray(counts, float), np.asarray(years, float)
+        self.t, self.k = self.counts.shape[0], self.counts.shape[1] - 1
+        self.z = (years - years.mean()) / 10
+        line = np.column_stack([np.ones(self.t), self.z])
+        self.walk = (np.eye(self.t) - line @ np.linalg.pinv(line)) @ np.tril(np.ones((self.t, self.t)))
+        k = range(self.k)
+        self.names = [*(f"level_{i}" for i in k), *(f"trend_{i}" for i in k), *(f"log_sd_{i}" for i in k), *(f"w_{i}_{j}" for i in k for j in range(self.t)), "log_phi"]
+        share = np.maximum(self.counts.sum(0) / self.counts.sum(), 1e-3)
+        self.start = np.zeros(len(self.names))
+        self.start[: self.k] = np.log(share[:-1] / share[-1])
+        self.start[2 * self.k : 3 * self.k], self.start[-1] = math.log(0.25), math.log(40.0)
+
+    def shares(self, p: np.ndarray) -> np.ndarray:
+        """Shares by year and topic."""
+        k = self.k
+        w = p[3 * k : -1].reshape(k, self.t)
+        eta = p[:k] + np.outer(self.z, p[k : 2 * k]) + (self.walk @ w.T) * np.exp(p[2 * k : 3 * k])
+        eta = np.column_stack([eta, np.zeros(self.t)])
+        e = np.exp(eta - eta.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def __call__(self, p: np.ndarray) -> float:
+        k = self.k
+        if abs(p[-1]) > 12 or (np.abs(p[2 * k : 3 * k]) > 6).any():
+            return -math.inf
+        a = math.exp(p[-1]) * np.maximum(self.shares(p), 1e-12)
+        total, n = a.sum(1), self.counts.sum(1)
+        ll = (_lgamma(total) - _lgamma(total + n)).sum() + (_lgamma(a + self.counts) - _lgamma(a)).sum()
+        prior = log_normal(p[:k], 0.0, 2.0).sum() + log_normal(p[k : 2 * k], 0.0, 1.5).sum() + log_normal(p[2 * k : 3 * k], math.log(0.25), 0.75).sum()
+        return float(ll + prior + log_normal(p[3 * k : -1]).sum() + log_normal(p[-1], math.log(40.0), 1.5))
+
+    def blocks(self) -> list[list[int]]:
+        """The three parameters of each topic, its walk by four years, the dispersion."""
+        k, base = self.k, 3 * self.k
+        own = [[i, k + i, 2 * k + i] for i in range(k)]
+        walks = [list(range(base + i * self.t + j, base + i * self.t + min(j + 4, self.t))) for i in range(k) for j in range(0, self.t, 4)]
+        return [*own, *walks, [len(self.names) - 1]]
+
+
+class HyperWalk:
+    """Log step and level deviations of a latent walk, by evidence interpolated between the points of a grid."""
+
+    def __init__(self, steps: np.ndarray, levels: np.ndarray, evidence: np.ndarray) -> None:
+        self.steps, self.levels, self.evidence = (np.asarray(v, float) for v in (steps, levels, evidence))
+        self.names = ["log_step", "log_level"]
+        best = np.unravel_index(np.argmax(self.evidence), self.evidence.shape)
+        self.start = np.array([self.steps[best[0]], self.levels[best[1]]])
+
+    def __call__(self, p: np.ndarray) -> float:
+        if not (self.steps[0] <= p[0] <= self.steps[-1] and self.levels[0] <= p[1] <= self.levels[-1]):
+            return -math.inf
+        along = np.array([np.interp(p[0], self.steps, self.evidence[:, j]) for j in range(len(self.levels))])
+        e = float(np.interp(p[1], self.levels, along))
+        return e + float(log_half_normal(math.exp(p[0]), 1.0)) + p[0] + float(log_half_normal(math.exp(p[1]), 2.0)) + p[1]
+
+
 def latent_walk_evidence(k: np.ndarray, n: np.ndarray, sd: float, level_sd: float = 2.0) -> tuple[float, np.ndarray, np.ndarray]:
     """(log evidence, mode, variances) of logit shares that follow a random walk with this step, by Laplace's method."""
     t = len(k)

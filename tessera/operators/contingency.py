@@ -13,6 +13,9 @@ from tessera.functions.special import chi2_sf, column
 from tessera.operators.series import running
 
 
+LEVELS = 10_000  # most columns of a table that is filled up
+
+
 def counted(df: DataFrame, *by: str) -> DataFrame:
     """(by, o): counts of the combinations without NULL; the only step that sees rows."""
     return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*by).agg(F.count("*").alias("o"))
@@ -42,8 +45,17 @@ def association(cells: DataFrame, row: str, col: str, by: Sequence[str] = (), p_
 
 def full_grid(cells: DataFrame, row: str, col: str) -> DataFrame:
     """Every combination of the levels that occur, missing counts being 0; as long as the levels' product."""
-    rows, cols = cells.select(row).distinct(), cells.select(col).distinct()
-    return rows.join(F.broadcast(cols)).join(cells, [row, col], "left").na.fill(0, ["o"])  # levels of a table, not data
+    rows, cols = cells.select(row).distinct(), cells.select(F.collect_set(col).alias("__cols"))
+    levels = cols.select(F.size("__cols")).first()[0]
+    if levels > LEVELS:
+        raise ValueError(f"a full table takes {LEVELS} columns at most, this has {levels}")
+    wide = rows.join(F.broadcast(cols)).select(row, F.explode("__cols").alias(col))  # one row of LEVELS entries at most
+    return wide.join(cells, [row, col], "left").na.fill(0, ["o"])
+
+
+def filled(cells: DataFrame, row: str, col: str) -> DataFrame:
+    """The table without the rows and columns whose counts are all zero."""
+    return _margins(cells, row, col).where("__r > 0 AND __c > 0").drop("__r", "__c", "__n")
 
 
 def residuals(cells: DataFrame, row: str, col: str) -> DataFrame:
@@ -106,6 +118,26 @@ def decomposition(df: DataFrame, flag: Column, group: str, later: Column) -> Dat
     return parts.agg(F.sum("c").alias("composition"), F.sum("r").alias("rate"), (F.sum("c") + F.sum("r")).alias("total"))
 
 
+def split_change(cube: np.ndarray) -> dict[str, float]:
+    """The same from counts by (time, group, flag): composition, rate and total."""
+    size = cube.sum(-1)
+    n = size.sum(-1, keepdims=True)
+    w, r = np.divide(size, n, out=np.zeros_like(size, float), where=n > 0), np.divide(cube[..., 1], size, out=np.zeros_like(size, float), where=size > 0)
+    parts = {"composition": float(((w[1] - w[0]) * (r[0] + r[1]) / 2).sum()), "rate": float(((w[0] + w[1]) / 2 * (r[1] - r[0])).sum())}
+    return parts | {"total": sum(parts.values())}
+
+
+def gini_of(x: np.ndarray, m: np.ndarray) -> float:
+    """Gini coefficient of ascending sizes x, m times each."""
+    n, before = m.sum(), np.cumsum(m) - m
+    return float(2 * (x * (m * before + m * (m + 1) / 2)).sum() / (n * (x * m).sum()) - (n + 1) / n)
+
+
+def interval(value: str, p: float = 0.95) -> list[Column]:
+    """lo and hi of the central percentile interval."""
+    return [F.percentile(value, F.lit((1 - p) / 2)).alias("lo"), F.percentile(value, F.lit((1 + p) / 2)).alias("hi")]
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval of k out of n, within [0, 1]; NULL for n = 0."""
     p = F.try_divide(k, n)

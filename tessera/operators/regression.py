@@ -99,24 +99,34 @@ def logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, names: list[str] | Non
     return Fit(names or [f"x{i}" for i in range(x.shape[1])], beta, np.linalg.pinv(h), value(beta), 1.0, int(len(n) - x.shape[1]))
 
 
-def multinomial(x: np.ndarray, counts: np.ndarray, names: list[str], levels: list[str], ridge: float = 1e-3) -> Fit:
-    """Multinomial logit against the first level with a ridge prior, by Newton steps with halving."""
+def multinomial_shares(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Shares of the levels, the first being the reference, under a multinomial logit."""
+    eta = np.column_stack([np.zeros(len(x)), x @ beta.reshape(-1, x.shape[1]).T])
+    e = np.exp(eta - eta.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def multinomial(x: np.ndarray, counts: np.ndarray, names: list[str], levels: list[str], ridge: float = 1e-3, intercept_ridge: float | None = None) -> Fit:
+    """Multinomial logit against the first level with a ridge prior, by Newton steps with halving; the log likelihood is
+    without the prior."""
     d, m = x.shape[1], counts.shape[1] - 1
     n = counts.sum(1)
+    prior = np.tile(np.r_[ridge if intercept_ridge is None else intercept_ridge, np.full(d - 1, ridge)], m)
 
     def probs(b: np.ndarray) -> np.ndarray:
-        eta = np.column_stack([np.zeros(len(x)), x @ b.reshape(m, d).T])
-        e = np.exp(eta - eta.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+        return multinomial_shares(x, b)
+
+    def loglik(b: np.ndarray) -> float:
+        return float((counts * np.log(np.maximum(probs(b), 1e-300))).sum())
 
     def value(b: np.ndarray) -> float:
-        return float((counts * np.log(np.maximum(probs(b), 1e-300))).sum() - ridge * (b @ b) / 2)
+        return loglik(b) - float(prior @ (b * b)) / 2
 
     beta = np.zeros(m * d)
     for _ in range(100):
         p = probs(beta)
-        grad = np.concatenate([x.T @ (counts[:, j + 1] - n * p[:, j + 1]) for j in range(m)]) - ridge * beta
-        h = ridge * np.eye(m * d)
+        grad = np.concatenate([x.T @ (counts[:, j + 1] - n * p[:, j + 1]) for j in range(m)]) - prior * beta
+        h = np.diag(prior)
         for i in range(m):
             for j in range(m):
                 w = n * p[:, i + 1] * ((i == j) - p[:, j + 1])
@@ -127,4 +137,4 @@ def multinomial(x: np.ndarray, counts: np.ndarray, names: list[str], levels: lis
         beta = beta + scale * step
         if np.abs(scale * step).max() < 1e-9:
             break
-    return Fit([f"{lv}:{c}" for lv in levels[1:] for c in names], beta, np.linalg.inv(h), value(beta), 1.0, int(n.sum()) - m * d)
+    return Fit([f"{lv}:{c}" for lv in levels[1:] for c in names], beta, np.linalg.inv(h), loglik(beta), 1.0, int(n.sum()) - m * d)

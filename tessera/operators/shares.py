@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.operators.series import running
 
 
+LEVELS = 100_000  # most levels that a spine is made for
+
+
 def share(flag: Column) -> Column:
     """The share of rows where a flag holds among those where it isn't NULL."""
     return F.avg(flag.cast("int"))
@@ -24,7 +27,10 @@ def spine(df: DataFrame, on: str, lo: int, hi: int, counts: Sequence[str], level
     base = df.sparkSession.range(lo, hi + 1).select(F.col("id").cast("int").alias(on))
     keys = [on]
     if levels is not None:
-        base, keys = base.join(F.broadcast(levels)), [on, *levels.columns]
+        every = levels.distinct().agg(F.collect_list(F.struct(*levels.columns)).alias("__levels"))
+        if (n := every.select(F.size("__levels")).first()[0]) > LEVELS:
+            raise ValueError(f"a spine takes {LEVELS} levels at most, these are {n}")
+        base, keys = base.join(F.broadcast(every)).select(on, F.inline("__levels")), [on, *levels.columns]  # one row of LEVELS at most
     return base.join(df, keys, "left").na.fill(0, list(counts))
 
 

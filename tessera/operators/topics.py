@@ -6,92 +6,184 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, NGram, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, NGram, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 5_000  # most terms a topic model keeps, the most frequent ones; its factors are this wide
+from tessera.operators.similarity import tfidf
+from tessera.session import materialize
 
+# English words without a meaning of their own.
+STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do
+does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more
+most must my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them
+themselves then there these they this those through to too under until up upon us very was we were what when where which while who whom why will with within
+without would you your yours yourself yourselves""".split()
+VOCABULARY = 50_000  # most terms that a topic model keeps, the most frequent ones; its factors are this wide
 
-def vectors(docs: DataFrame, text: str, min_df: int = 3, max_share: float = 0.6, stop: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """(documents with `features`, vocabulary): words and word pairs without stop words, within the frequency bounds."""
-    tokens = docs.withColumn("words", F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z\-]+"), F.lit(0)))
-    kept = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=[*StopWordsRemover.loadDefaultStopWords("english"), *stop]).transform(tokens)
-    pairs = NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs"))
-    model = CountVectorizer(inputCol="terms", outputCol="features", minDF=min_df, maxDF=max_share, vocabSize=VOCABULARY).fit(pairs)
-    return model.transform(pairs).drop("words", "kept", "pairs"), model.vocabulary
-
-
-def factorise(cells: DataFrame, doc: str, term: str, value: str, k: int, rounds: int = 15, seed: int = 1) -> tuple[DataFrame, np.ndarray, list[str]]:
-    """(document weights, term factors, terms) of a nonnegative factorisation by alternating multiplicative updates.
 
-    Documents stay distributed; the factors of the bounded vocabulary are broadcast, and each round sends back two matrices
-    of that size. A document's weights are solved from its own cells.
-    """
-    spark = cells.sparkSession
-    terms = [r[0] for r in cells.groupBy(term).agg(F.sum(value).alias("s")).orderBy(F.desc("s"), term).limit(VOCABULARY).collect()]
-    index = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], f"`{term}` string, j int")
-    rows = cells.join(F.broadcast(index), term).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("j", F.col(value).cast("double").alias("v")))).alias("c"))
-    from tessera.session import materialize
-
-    rows = materialize(rows, "rows")
-    h = np.random.default_rng(seed).random((k, len(terms))) + 0.1
-
-    def weights(c, base: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        j = np.array([x["j"] for x in c])
-        v = np.array([x["v"] for x in c])
-        b = base[:, j] @ v
-        w = np.full(k, 1.0 / k)
-        for _ in range(30):
-            w = w * b / np.maximum(gram @ w, 1e-12)
-        return j, v, w
-
-    def sums(current: np.ndarray):
-        handle = spark.sparkContext.broadcast(current)
+def vectors(docs: DataFrame, text: str, min_df: int = 3, max_share: float = 0.6, stop: Sequence[str] = (), size: int = VOCABULARY) -> tuple[DataFrame, list[str], dict]:
+    """(documents with `features` and `terms`, vocabulary, report): words and word pairs without stop words, within the
+    frequency bounds; of more than `size` terms the most frequent. The report says how many terms there are, how many are kept,
+    and what share of all occurrences these hold."""
+    tokens = docs.withColumn("words", F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z\-]+"), F.lit(0)))
+    kept = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=[*STOP_WORDS, *stop]).transform(tokens)
+    pairs = materialize(NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs")).drop("words", "kept", "pairs"), "terms")
+    n = pairs.count()
+    counts = pairs.select(F.monotonically_increasing_id().alias("i"), F.explode("terms").alias("term")).groupBy("i", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    fit = materialize(counts.where((F.col("df") >= min_df) & (F.col("df") <= max_share * n)), "vocabulary")
+    vocabulary = [r["term"] for r in fit.orderBy(F.desc("tf"), "term").limit(size).collect()]  # `size` terms at most
+    total = fit.agg(F.count("*"), F.sum("tf")).first()
+    held = fit.orderBy(F.desc("tf"), "term").limit(size).agg(F.sum("tf")).first()[0]
+    report = {"terms": total[0], "kept": len(vocabulary), "share": float(held / total[1]) if total[1] else 0.0}
+    if not vocabulary:
+        raise ValueError("no term lies within the frequency bounds")
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features")
+    return model.transform(pairs), vocabulary, report
+
+
+def weighted(docs: DataFrame, key: str, vocabulary: Sequence[str]) -> DataFrame:
+    """(key, term, w) of the terms in the vocabulary: 1 + ln(tf) times ln((1+N)/(1+df)) + 1, of length 1 per document."""
+    known = docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
+    cells = docs.select(key, F.explode("terms").alias("term")).join(known, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return tfidf(cells, key).select(key, "term", "w")
+
+
+class Factors:
+    """Documents' cells in the shared folder, and what is summed over them for given factors of the terms."""
+
+    def __init__(self, cells: DataFrame, doc: str, term: str, value: str, terms: Sequence[str] | None = None) -> None:
+        self.spark, self.doc = cells.sparkSession, doc
+        self.terms = list(terms) if terms is not None else [r[0] for r in cells.groupBy(term).agg(F.sum(value).alias("s")).orderBy(F.desc("s"), term).collect()]  # VOCABULARY at most, by `vectors`
+        if len(self.terms) > VOCABULARY:
+            raise ValueError(f"factors take {VOCABULARY} terms at most")
+        index = self.spark.createDataFrame([(t, i) for i, t in enumerate(self.terms)], f"`{term}` string, j int")
+        rows = cells.join(index, term).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("j", F.col(value).cast("double").alias("v")))).alias("c"))
+        self.rows = materialize(rows.select(doc, "c.j", "c.v"), "rows")  # a document's own terms
+
+    def sums(self, width: int, of) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all documents of `of` (terms' places, values) -> (width, terms) rows to add at these places, and a rest."""
+        n = len(self.terms)
 
         def run(batches):
             import pandas as pd
 
-            base = handle.value
-            gram, num, wtw = base @ base.T, np.zeros_like(base), np.zeros((k, k))
+            at, rest = np.zeros((width, n)), None
             for b in batches:
-                for c in b["c"]:
-                    j, v, w = weights(c, base, gram)
-                    num[:, j] += np.outer(w, v)
-                    wtw += np.outer(w, w)
-            yield pd.DataFrame({"i": range(2 * k), "v": [*num, *wtw]})
-
-        parts = rows.mapInPandas(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("s"))
-        num, wtw = np.zeros_like(current), np.zeros((k, k))
+                for j, v in zip(b["j"], b["v"]):
+                    add, more = of(np.asarray(j), np.asarray(v))
+                    at[:, j] += add
+                    rest = more if rest is None else rest + more
+            if rest is not None:
+                yield pd.DataFrame({"i": range(width + 1), "v": [*at, np.ravel(rest)]})
+
+        parts = self.rows.select("j", "v").mapInPandas(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("s"))
+        out, rest = np.zeros((width, n)), {}
         for r in parts.toLocalIterator():  # as many as the factors have entries
-            if r["i"] < k:
-                num[r["i"], r["j"]] = r["s"]
+            if r["i"] < width:
+                out[r["i"], r["j"]] = r["s"]
             else:
-                wtw[r["i"] - k, r["j"]] = r["s"]
-        return num, wtw
+                rest[r["j"]] = r["s"]
+        return out, np.array([rest[x] for x in sorted(rest)])
+
 
+def singular_start(f: Factors, k: int, rounds: int = 4) -> np.ndarray:
+    """Nonnegative factors of the terms from the leading singular vectors, found by subspace iteration over the documents: of
+    each pair of vectors the heavier of its positive and negative parts, zeros being the mean."""
+    n = len(f.terms)
+    k = min(k, n)
+    v = np.linalg.qr(np.random.default_rng(0).standard_normal((n, k)))[0].T
     for _ in range(rounds):
-        num, wtw = sums(h)
-        h = h * num / np.maximum(wtw @ h, 1e-12)
-        norm = np.maximum(h.sum(1, keepdims=True), 1e-12)
-        h = h / norm
-    final = spark.sparkContext.broadcast(h)
+        handle = f.spark.sparkContext.broadcast(v)
+
+        def step(j, x):
+            w = handle.value[:, j] @ x
+            return np.outer(w, x), np.outer(w, w)
+
+        y, gram = f.sums(k, step)
+        values, turn = np.linalg.eigh(gram.reshape(k, k))
+        order = np.argsort(-values)
+        v = np.linalg.qr((turn[:, order].T @ y).T)[0].T
+    handle = f.spark.sparkContext.broadcast(v)
+
+    def parts(j, x):
+        u = handle.value[:, j] @ x
+        return np.zeros((k, len(j))), np.concatenate([np.maximum(u, 0) ** 2, np.minimum(u, 0) ** 2])
+
+    _, squares = f.sums(k, parts)
+    up, down = np.sqrt(squares[:k]), np.sqrt(squares[k:])
+    h = np.zeros((k, n))
+    for i in range(k):
+        plus, minus = np.maximum(v[i], 0), np.maximum(-v[i], 0)
+        a, b = up[i] * np.linalg.norm(plus), down[i] * np.linalg.norm(minus)
+        part, weight = (plus, a) if a >= b else (minus, b)
+        h[i] = np.sqrt(weight) * part / max(np.linalg.norm(part), 1e-12)
+    mean = max(float(h.mean()), 1e-9)
+    return np.where(h > 1e-9, h, mean)
+
+
+def _weights(j: np.ndarray, v: np.ndarray, base: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    b = base[:, j] @ v
+    w = np.full(len(base), 1.0 / len(base))
+    for _ in range(30):
+        w = w * b / np.maximum(gram @ w, 1e-12)
+    return w
+
+
+def factorise(cells: DataFrame, doc: str, term: str, value: str, k: int, rounds: int = 15, start: str = "singular", seed: int = 1) -> tuple[DataFrame, np.ndarray, list[str]]:
+    """(document weights, term factors, terms) of a nonnegative factorisation by alternating multiplicative updates, from the
+    singular vectors or from a `random` start.
+
+    Documents stay distributed; the factors of the bounded vocabulary are broadcast, and each round sends back two matrices
+    of that size. A document's weights are solved from its own cells.
+    """
+    f = Factors(cells, doc, term, value)
+    k = min(k, len(f.terms))
+    h = singular_start(f, k) if start == "singular" else np.random.default_rng(seed).random((k, len(f.terms))) + 0.1
+    for _ in range(rounds):
+        handle = f.spark.sparkContext.broadcast((h, h @ h.T))
+
+        def update(j, v):
+            w = _weights(j, v, *handle.value)
+            return np.outer(w, v), np.outer(w, w)
+
+        num, wtw = f.sums(k, update)
+        h = h * num / np.maximum(wtw.reshape(k, k) @ h, 1e-12)
+        h = h / np.maximum(h.sum(1, keepdims=True), 1e-12)
+    return _solved(f, h), h, f.terms
+
+
+def _solved(f: Factors, h: np.ndarray) -> DataFrame:
+    handle = f.spark.sparkContext.broadcast((h, h @ h.T))
+    doc = f.doc
 
     def solve(batches):
         import pandas as pd
 
-        base = final.value
-        gram = base @ base.T
         for b in batches:
-            yield pd.DataFrame({doc: b[doc], "weights": [list(weights(c, base, gram)[2]) for c in b["c"]]})
+            yield pd.DataFrame({doc: b[doc], "weights": [list(_weights(np.asarray(j), np.asarray(v), *handle.value)) for j, v in zip(b["j"], b["v"])]})
+
+    return f.rows.mapInPandas(solve, f"`{doc}` {dict(f.rows.dtypes)[doc]}, weights array<double>")
 
-    kind = dict(rows.dtypes)[doc]
-    return rows.mapInPandas(solve, f"`{doc}` {kind}, weights array<double>"), h, terms
 
+def residual(cells: DataFrame, doc: str, term: str, value: str, h: np.ndarray, terms: Sequence[str]) -> float:
+    """The norm of what the factors leave of other documents, each solved for its own weights."""
+    f = Factors(cells, doc, term, value, terms)
+    handle = f.spark.sparkContext.broadcast((h, h @ h.T))
 
-def lda(docs: DataFrame, k: int, rounds: int = 15, seed: int = 1):
-    """A latent Dirichlet allocation model and its log perplexity."""
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(docs)
+    def left(j, v):
+        base, gram = handle.value
+        w = _weights(j, v, base, gram)
+        return np.zeros((1, len(j))), np.array([v @ v - 2 * (w @ base[:, j]) @ v + w @ gram @ w])
+
+    rest = f.sums(1, left)[1]
+    return float(np.sqrt(max(rest[0], 0.0))) if len(rest) else 0.0
+
+
+def lda(docs: DataFrame, k: int, rounds: int = 25, seed: int = 1):
+    """A latent Dirichlet allocation model by variational updates over all documents at a time, and its log perplexity."""
+    # the whole collection is the batch, and a decay of nearly zero lets each update replace the last
+    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0, learningDecay=1e-6, learningOffset=1.0).fit(docs)
     return model, model.logPerplexity(docs)
 
 
@@ -109,20 +201,38 @@ def topic_name(terms: Sequence[str], n: int = 3) -> str:
     return " / ".join(out)
 
 
-def cophenetic(consensus: np.ndarray) -> float:
-    """Correlation of a consensus matrix's distances with those of its average-linkage tree; for small matrices."""
-    n = len(consensus)
-    d = 1 - consensus
-    groups, size = {i: [i] for i in range(n)}, n
-    height = np.zeros((n, n))
-    while len(groups) > 1:
-        keys = list(groups)
-        i, j = min(((a, b) for x, a in enumerate(keys) for b in keys[x + 1 :]), key=lambda p: (d[np.ix_(groups[p[0]], groups[p[1]])].mean(), p))
-        at = d[np.ix_(groups[i], groups[j])].mean()
-        height[np.ix_(groups[i], groups[j])] = at
-        height[np.ix_(groups[j], groups[i])] = at
-        groups[size] = groups.pop(i) + groups.pop(j)
-        size += 1
-    upper = np.triu_indices(n, 1)
-    x, y = d[upper], height[upper]
-    return 1.0 if x.std() < 1e-12 or y.std() < 1e-12 else float(np.corrcoef(x, y)[0, 1])
+def cophenetic(labels: Sequence[Sequence], sizes: Sequence[int]) -> float:
+    """Correlation of the consensus distances of all documents with those of their average-linkage tree.
+
+    `labels` are the different rows of topics that documents got over the runs (None where a document was left out), `sizes`
+    how many documents have each row; these are equal to each other in every run, so that the tree begins with them.
+    """
+    x = np.array([[-1 if v is None else v for v in row] for row in labels])
+    m = np.array(sizes, float)
+    n = len(x)
+    there = x >= 0
+    runs = (there[:, None] & there[None]).sum(-1)
+    same = ((x[:, None] == x[None]) & there[:, None] & there[None]).sum(-1)
+    d = 1 - np.divide(same, runs, out=np.zeros_like(same, float), where=runs > 0)
+    np.fill_diagonal(d, np.where(there.any(1), 0.0, 1.0))
+    height, far = np.zeros((n, n)), d.copy()
+    np.fill_diagonal(far, np.inf)
+    weight, members, alive = m.copy(), [[i] for i in range(n)], np.ones(n, bool)
+    for _ in range(n - 1):
+        i, j = sorted(np.unravel_index(np.argmin(far), far.shape))
+        for a in members[i]:
+            height[a, members[j]] = far[i, j]
+            height[members[j], a] = far[i, j]
+        far[i] = (weight[i] * far[i] + weight[j] * far[j]) / (weight[i] + weight[j])
+        far[:, i] = far[i]
+        far[i, i], alive[j] = np.inf, False
+        far[j], far[:, j] = np.inf, np.inf
+        weight[i] += weight[j]
+        members[i] += members[j]
+    np.fill_diagonal(height, np.diag(d))
+    w = np.outer(m, m) / 2
+    np.fill_diagonal(w, m * (m - 1) / 2)
+    w = w / max(w.sum(), 1e-12)
+    dx, dy = d - (w * d).sum(), height - (w * height).sum()
+    spread = np.sqrt((w * dx * dx).sum() * (w * dy * dy).sum())
+    return 1.0 if spread < 1e-12 else float((w * dx * dy).sum() / spread)

@@ -455,6 +455,22 @@ def set3(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d, "firm_key", "title").where("firm_key IS NOT NULL").groupBy("firm_key").agg(F.min_by("title", "recall_id").alias("title"))
 
 
+@Q("fig1_annual_by_segment", f"""{E}, y AS (SELECT CAST(y AS INTEGER) AS year, segment, count(recall_id) AS n FROM range(1974, 2027) t(y) CROSS JOIN (SELECT DISTINCT segment FROM e WHERE segment IS NOT NULL) s LEFT JOIN (SELECT recall_id, year AS ey, segment AS es FROM e) f ON ey = y AND es = segment GROUP BY ALL)
+ SELECT year, segment, n, CASE WHEN count(*) OVER w = 5 THEN round(avg(n) OVER w, 6) END AS mean5 FROM y WINDOW w AS (PARTITION BY segment ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def fig1(spark: SparkSession, d: str) -> DataFrame:
+    """Every year of every segment with its five-year centred mean."""
+    return jn6(spark, d).select("year", "segment", "n", r6(series.centred_mean("n", "year", 2, ["segment"]), "mean5"))
+
+
+@Q("fig5_share_matrix", f"""{E}, n AS (SELECT hazard_category AS h, sales_channel AS c, count(*) AS n FROM e WHERE hazard_category IS NOT NULL AND sales_channel IS NOT NULL GROUP BY ALL), t AS (SELECT h, sum(n) AS t FROM n GROUP BY 1)
+ SELECT h AS hazard_category, {", ".join(f"round(coalesce(sum(n) FILTER (WHERE c = '{c}'), 0) / max(t), 6) AS {c}" for c in CHANNELS)} FROM n JOIN t USING (h) GROUP BY 1""")
+def fig5(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of channel shares within each hazard, absent pairs being 0."""
+    e = events(spark, d, "hazard_category", "sales_channel").where("hazard_category IS NOT NULL AND sales_channel IS NOT NULL")
+    c = shares.wide(shares.crosstab(e, "hazard_category", "sales_channel"), "hazard_category", "sales_channel", CHANNELS, F.first("row_share"))
+    return c.select("hazard_category", *[F.coalesce(F.round(x, 6), F.lit(0.0)).alias(x) for x in CHANNELS])
+
+
 @Q("fig2_first_pivot", f"{E} SELECT archetype, " + ", ".join(f"min(recall_id) FILTER (WHERE segment = '{s}') AS {s}" for s in ("apparel", "home_textile")) + ", count(*) AS total FROM e GROUP BY 1")
 def fig2(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "archetype", "segment")
