@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.operators.shares import ranking_metrics
 from tessera.session import materialize
 
-THREADS = 4  # fits that run side by side; their tasks share the cluster
+THREADS = 8  # fits that run side by side; their tasks share the cluster
 
 
 def side_by_side(f: Callable, items: Iterable) -> list:
