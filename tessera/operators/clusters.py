@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -10,16 +11,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.learning import side_by_side
+
 
 def features(df: DataFrame, columns: list[str]) -> DataFrame:
     """`df` with the columns as one vector."""
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
-def kmeans(vectors: DataFrame, k: int, starts: int = 3, seed: int = 1):
-    """The best of several k-means models by the sum of squares."""
-    models = [KMeans(k=k, seed=seed + s).fit(vectors) for s in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def kmeans(vectors: DataFrame, ks: Sequence[int], starts: int = 10, seed: int = 1) -> dict:
+    """For each number of clusters the best of several k-means models by the sum of squares; fits run side by side."""
+    fits = side_by_side(lambda job: (job[0], KMeans(k=job[0], seed=seed + job[1]).fit(vectors)), [(k, s) for k in ks for s in range(starts)])
+    return {k: min((m for n, m in fits if n == k), key=lambda m: m.summary.trainingCost) for k in ks}
 
 
 def kmeans_bic(model, d: int) -> float:

@@ -163,7 +163,7 @@ def npmi(docs: DataFrame, key: str, terms: str, top: DataFrame) -> DataFrame:
     `docs`: key and an array of terms; `top`: (topic, term), a short list. Counts have one added.
     """
     n = docs.count()
-    held = docs.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(F.broadcast(top.select("term").distinct()), "term")
+    held = docs.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(top.select("term").distinct(), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     co = held.select(key, F.col("term").alias("x")).join(held.select(key, F.col("term").alias("y")), key).where("x < y").groupBy("x", "y").agg(F.count("*").alias("co"))
     pairs = top.select("topic", F.col("term").alias("x")).join(top.select("topic", F.col("term").alias("y")), "topic").where("x < y")

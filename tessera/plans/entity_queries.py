@@ -9,6 +9,7 @@ from tessera.functions.text import headline_product, is_joint_name, name_key
 from tessera.operators import clusters as K
 from tessera.operators import similarity as S
 from tessera.operators.graph import components
+from tessera.operators.learning import side_by_side
 from tessera.operators.shares import mode_of
 from tessera.plans.registry import Registry
 from tessera.plans.relational_queries import r6
@@ -186,23 +187,49 @@ def cl1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def traits(spark: SparkSession, d: str) -> DataFrame:
-    return K.features(S.standardised(table(spark, d, "repeat_offenders", ["firm_id", *TRAITS]), "firm_id", TRAITS), TRAITS).cache()
+    """Firms with their standardised traits as columns and as one vector."""
+    return K.features(materialize(S.standardised(table(spark, d, "repeat_offenders", ["firm_id", *TRAITS]), "firm_id", TRAITS), "traits"), TRAITS)
+
+
+CLUSTERS = range(2, 13)
 
 
 @Q("cl2_kmeans_bic")
 def cl2(spark: SparkSession, d: str) -> DataFrame:
-    """Information criterion by number of clusters."""
-    x = traits(spark, d)
-    rows = [(k, float(m.summary.trainingCost), K.kmeans_bic(m, len(TRAITS))) for k in range(2, 7) for m in [K.kmeans(x, k, 2)]]
-    return spark.createDataFrame(rows, "k int, cost double, bic double")
+    """Information criterion by number of clusters, each the best of ten starts."""
+    best = K.kmeans(traits(spark, d), CLUSTERS)
+    return spark.createDataFrame([(k, float(m.summary.trainingCost), K.kmeans_bic(m, len(TRAITS))) for k, m in best.items()], "k int, cost double, bic double")
 
 
 @Q("cl3_mixtures")
 def cl3(spark: SparkSession, d: str) -> DataFrame:
     """Full and diagonal covariances side by side."""
     x = traits(spark, d)
-    rows = [(k, float(K.mixture(x, k)[1]), float(K.diagonal_mixture(x.select(*TRAITS), TRAITS, k, 12)[3])) for k in (2, 3)]
-    return spark.createDataFrame(rows, "k int, bic_full double, bic_diagonal double")
+    found = side_by_side(lambda k: (k, float(K.mixture(x, k)[1]), float(K.diagonal_mixture(x.select(*TRAITS), TRAITS, k, 20)[3])), CLUSTERS)
+    return spark.createDataFrame(found, "k int, bic_full double, bic_diagonal double")
+
+
+REPORTED = 4
+
+
+@Q("cl4_kmeans_and_mixture")
+def cl4b(spark: SparkSession, d: str) -> DataFrame:
+    """How far the clusters of k-means and of the mixture of normals agree."""
+    x = traits(spark, d)
+    a = K.kmeans(x, [REPORTED])[REPORTED].transform(x).withColumnRenamed("prediction", "a").select("firm_id", "features", "a")
+    both = K.mixture(x, REPORTED)[0].transform(a).withColumnRenamed("prediction", "b")
+    return S.agreement(both, "a", "b")
+
+
+@Q("cl5_named_clusters")
+def cl5b(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of k-means with their size and a name by rule, numbered where several get the same one."""
+    x = traits(spark, d)
+    own = K.kmeans(x, [REPORTED])[REPORTED].transform(x).select("firm_id", F.col("prediction").alias("cluster"))
+    g = own.join(table(spark, d, "repeat_offenders", ["firm_id", "share_online_only", "share_violation"]), "firm_id").groupBy("cluster").agg(F.count("*").alias("firms"), F.avg("share_online_only").alias("o"), F.avg("share_violation").alias("v"))
+    g = g.select("cluster", "firms", F.when(F.col("v") > 0.35, "violators").when(F.col("o") > 0.2, "online sellers").otherwise("general").alias("base"))
+    i = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("firms"), "cluster"))
+    return g.select("cluster", "firms", F.concat("base", F.when(i > 1, F.concat(F.lit(" "), i.cast("string"))).otherwise("")).alias("name"))
 
 
 @Q("cl4_agreement", "WITH c AS (SELECT firm_id % 3 AS a, CASE WHEN share_violation > 0.5 THEN 1 ELSE 0 END AS b, count(*) AS n FROM repeat_offenders GROUP BY ALL), m AS (SELECT a, max(n) AS m, sum(n) AS n FROM c GROUP BY 1) SELECT round(sum(m) / sum(n), 6) AS agreement FROM m")

@@ -89,7 +89,7 @@ def jn7(spark: SparkSession, d: str) -> DataFrame:
 @Q("jn8_lookup", f"{E} SELECT iso_alpha3, count(*) AS n FROM e JOIN country_reference ON primary_country = country_name GROUP BY 1")
 def jn8(spark: SparkSession, d: str) -> DataFrame:
     ref = table(spark, d, "country_reference", ["country_name", "iso_alpha3"])
-    return events(spark, d, "primary_country").join(F.broadcast(ref), F.col("primary_country") == F.col("country_name")).groupBy("iso_alpha3").agg(F.count("*").alias("n"))  # a fixed list
+    return events(spark, d, "primary_country").join(ref, F.col("primary_country") == F.col("country_name")).groupBy("iso_alpha3").agg(F.count("*").alias("n"))
 
 
 @Q("jn11_reattach", f"{E}, m AS (SELECT recall_id, avg(n_chars) AS chars FROM documents WHERE recall_id IS NOT NULL GROUP BY 1) SELECT recall_id, round(chars, 6) AS chars, year, segment FROM m LEFT JOIN e USING (recall_id)")
@@ -335,7 +335,7 @@ def agg28(spark: SparkSession, d: str) -> DataFrame:
 def agg29(spark: SparkSession, d: str) -> DataFrame:
     a = events(spark, d, "countries_raw").select(F.explode(F.split("countries_raw", ";")).alias("v")).select(F.trim("v").alias("v")).where("v <> ''").distinct()
     ref = table(spark, d, "country_reference").select(F.col("country_name").alias("v"), F.lit(False).alias("only_before"))
-    return a.join(F.broadcast(ref), "v", "left").na.fill(True, ["only_before"])  # a fixed list
+    return a.join(ref, "v", "left").na.fill(True, ["only_before"])
 
 
 # --- windows ---------------------------------------------------------------------------------------------------------

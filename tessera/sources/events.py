@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +22,13 @@ RAW_EVENT = T.StructType(
 EXPOSURE = T.StructType([T.StructField("Country", T.StringType()), T.StructField("Year", T.IntegerType()), T.StructField("DATA_VALUE", T.DoubleType())])
 
 
-def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    """Nested events from a JSON array file or folder of such files (a leading byte-order mark is skipped); no inference."""
-    return spark.read.schema(RAW_EVENT).option("multiLine", True).json(path)
+def read_raw_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested events from a JSON array file or folder of such files (a leading byte-order mark is skipped); no inference.
+
+    An array can only be read from its beginning, so each such file is one task. With `lines`, every line is an event, and
+    files of any size are split over all tasks: large collections should come this way, or as a folder of many files.
+    """
+    return spark.read.schema(RAW_EVENT).option("multiLine", not lines).json(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -34,10 +36,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that the session knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def read_first(spark: SparkSession, candidates: list[tuple[str, str]]) -> DataFrame:
     """The first existing parquet source of (version, path), with its version in `source_version`."""
     for version, path in candidates:
-        if os.path.exists(path):
+        if exists(spark, path):
             return spark.read.parquet(path).withColumn("source_version", F.lit(version))
     raise FileNotFoundError(f"none of {[p for _, p in candidates]} exists")
 

@@ -6,7 +6,7 @@ import json
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 LIMIT = 10_000
 
@@ -37,10 +37,19 @@ def plain(value):
     return value if value is None or isinstance(value, (bool, int, str)) else str(value)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file through the session's file systems, so that a path means the same here as in any query."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Write a small result as one JSON array."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([plain(r.asDict(True)) for r in small(df)], f, ensure_ascii=False, allow_nan=False)
+    write_text(df.sparkSession, path, json.dumps([plain(r.asDict(True)) for r in small(df)], ensure_ascii=False, allow_nan=False))
 
 
 def markdown(df: DataFrame, formats: dict[str, Callable] | None = None) -> str:
