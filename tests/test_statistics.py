@@ -110,7 +110,103 @@ def test_components(spark):
 
 def test_topics():
     assert topic_name(["robe", "robes", "bath robe", "towel"]) == "robe / towel"
-    assert cophenetic(np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1.0]])) == pytest.approx(1)
+    assert cophenetic([[0, 0], [1, 1]], [2, 1]) == pytest.approx(1)
+
+
+def plain_cophenetic(labels):
+    """Average linkage over single documents."""
+    n = len(labels)
+    d = np.ones((n, n))
+    for i in range(n):
+        for j in range(n):
+            both = [(a, b) for a, b in zip(labels[i], labels[j]) if a is not None and b is not None]
+            d[i, j] = 1 - (np.mean([a == b for a, b in both]) if both else 0)
+    groups, height = [[i] for i in range(n)], np.zeros((n, n))
+    while len(groups) > 1:
+        far = {(a, b): d[np.ix_(groups[a], groups[b])].mean() for a in range(len(groups)) for b in range(a + 1, len(groups))}
+        a, b = min(far, key=lambda k: (round(far[k], 12), k))
+        for i in groups[a]:
+            for j in groups[b]:
+                height[i, j] = height[j, i] = far[a, b]
+        groups[a] += groups.pop(b)
+    upper = np.triu_indices(n, 1)
+    return np.corrcoef(d[upper], height[upper])[0, 1]
+
+
+def test_consensus_of_groups_equals_that_of_documents():
+    rows = [([0, 0, 1], 4), ([0, 1, 1], 2), ([1, 1, None], 3), ([1, None, 0], 1)]
+    every = [r for r, m in rows for _ in range(m)]
+    assert cophenetic([r for r, _ in rows], [m for _, m in rows]) == pytest.approx(plain_cophenetic(every))
+
+
+def test_factors_find_blocks_of_terms(spark):
+    from tessera.operators.topics import Factors, factorise, residual, singular_start
+
+    rng = np.random.default_rng(2)
+    rows = [(d, f"{'abc'[d % 3]}{t}", float(rng.integers(1, 5))) for d in range(60) for t in rng.choice(6, 4, replace=False)]
+    cells = spark.createDataFrame(rows, "doc int, term string, w double")
+    start = singular_start(Factors(cells, "doc", "term", "w"), 3)
+    assert start.shape == (3, 18) and (start > 0).all()
+    w, h, terms = factorise(cells, "doc", "term", "w", 3, 10)
+    kinds = [{terms[j][0] for j in np.argsort(-row)[:6]} for row in h]
+    assert sorted(map(sorted, kinds)) == [["a"], ["b"], ["c"]] and w.count() == 60
+    x = np.zeros((60, len(terms)))
+    for d, t, v in rows:
+        x[d, terms.index(t)] = v
+    got = {r["doc"]: r["weights"] for r in w.collect()}
+    assert residual(cells, "doc", "term", "w", h, terms) == pytest.approx(np.linalg.norm(x - np.array([got[d] for d in range(60)]) @ h), rel=1e-6)
+    # the leading singular vectors, up to their sign
+    u, s, v = np.linalg.svd(x)
+    assert abs(start[0] / np.linalg.norm(start[0]) @ np.abs(v[0])) > 0.9
+
+
+def test_log_gamma():
+    x = np.array([1e-3, 0.5, 1.0, 2.0, 9.99, 10.0, 123.4, 1e6])
+    assert S._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
+
+
+def test_rates_by_sorted_values_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    y, x, g = rng.poisson(4, 60).astype(float), rng.uniform(1, 9, 60), np.arange(60) % 7
+    model = B.HierarchicalRates("walk", y, x, g, np.arange(60) % 5)
+    p = model.start + rng.normal(size=len(model.start)) * 0.1
+    mu, phi = np.exp(model.log_rate(p) + np.log(x)), math.exp(p[2 + model.groups])
+    assert model.pointwise(p) == pytest.approx(S.log_negbin(y, mu, phi))
+    assert sorted(i for b in model.blocks() for i in b) == list(range(len(model.names)))
+
+
+def test_topic_trend_follows_shares(spark):
+    years = np.arange(2000, 2020)
+    up = 1 / (1 + np.exp(-(years - 2010) / 4))
+    counts = np.round(np.column_stack([100 * up, 100 * (1 - up)]))
+    model = B.TopicTrend(counts, years)
+    assert sorted(i for b in model.blocks() for i in b) == list(range(len(model.names)))
+    s = {r["param"]: r["mean"] for r in B.summary(B.sample(spark, model, model.names, model.start, chains=2, tune=300, draws=300, blocks=model.blocks()).cache()).collect()}
+    assert s["trend_0"] == pytest.approx(2.5, abs=0.6)
+
+
+def test_resampling():
+    cube = np.array([[[5, 5], [8, 2]], [[2, 8], [5, 5]]], float)
+    parts = C.split_change(cube)
+    assert parts["total"] == pytest.approx(13 / 20 - 7 / 20) and parts["composition"] == pytest.approx(0)
+    assert C.gini_of(np.array([1.0, 2.0, 7.0, 9.0]), np.array([1.0, 2.0, 1.0, 1.0])) == pytest.approx(2 * (1 + 4 + 6 + 28 + 45) / (5 * 21) - 6 / 5)
+
+
+def test_margins_that_are_empty_go(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "y", 0), ("b", "x", 0), ("b", "y", 0), ("c", "x", 0), ("c", "y", 0)], "r string, c string, o bigint")
+    assert [tuple(r) for r in C.filled(df, "r", "c").collect()] == [("a", "x", 3)]
+
+
+def test_learning_tools(spark):
+    from tessera.operators import learning as L
+
+    df = spark.createDataFrame([(i, float(i % 7), "u" if i % 3 else "v") for i in range(500)], "id int, x double, k string")
+    for rows in (500, 10 * L.BUCKET):  # one bucket, and ten
+        moved = L.permuted(df, "id", "x", 3, rows)
+        assert sorted(r["x"] for r in moved.collect()) == sorted(r["x"] for r in df.collect()) and moved.count() == 500
+        assert moved.join(df.select("id", F.col("x").alias("was")), "id").where("x <> was").count() > 300
+    assert L.grid_of(df, "k") == ["u", "v"] and L.grid_of(df, "x", 3) == [0.0, 3.0, 6.0]
+    assert L.drawn(L.SPACES["forest"], 3) == L.drawn(L.SPACES["forest"], 3) and len(L.drawn(L.SPACES["forest"], 3)) == 3
 
 
 def test_streams(spark, tmp_path):
