@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import similarity_ratio, token_containment, token_jaccard
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -76,35 +76,53 @@ def similar_pairs(vectors: DataFrame, key: str, least: float, traits: DataFrame
     left, right = (cells.select(*at, *[F.col(c).alias(f"{c}_{x}") for c in cells.columns if c not in at]) for x in "ab")
     reach = F.col("wt_a") * F.col("wt_b") + F.col("wu_a") * F.col("wu_b") + F.sqrt(F.col("r_a") * F.col("r_b"))
     met = left.join(right, at).where(F.col(f"{key}_a") < F.col(f"{key}_b")).where("i = j OR mine_a <> mine_b").where(only).where(reach >= least - 1e-9)
-    met = met.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
+    met = materialize(met.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct(), "met")
+    release(filed)
     both = met.join(own.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), "a")
     both = both.join(own.select(F.col(key).alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+FEW = 16  # groups of a class that are looked at one by one
+
+
 def counted_matches(members: DataFrame, links: DataFrame, cls: str, differ: str, day: str, width: int, same: list[str] = []) -> DataFrame:
     """(a, b, same, differ, day, q, n): for each group of q members of class a that are equal in `same`, `differ` and `day`, how
     many members n of class b are equal in `same`, not equal in `differ` and at most `width` days away.
 
     `links` (a, b) are pairs of classes; every class is linked with itself, too, and pairs count in both directions. Members
-    with a NULL in any of the columns match nothing. No pair of members is formed: n is a difference of running totals over
-    all members in order of class and day, so that a class with a third of all members is spread over several tasks.
+    with a NULL in any of the columns match nothing. A group is compared with the groups of a class of FEW or less; for a
+    larger class n is a difference of running totals over all members in order of class and day, so that no pair of groups is
+    formed, and a class with a third of all members is spread over several tasks. Both ways give the same.
     """
     from tessera.operators.series import running
 
     known = members.where(" AND ".join(f"{c} IS NOT NULL" for c in (cls, differ, day, *same)))
     g = materialize(known.groupBy(cls, *same, differ, day).agg(F.count("*").alias("q")), "groups")
-    both = links.select("a", "b").union(links.select("b", "a")).union(g.select(F.col(cls).alias("a"), F.col(cls).alias("b")).distinct()).distinct()
-    asked = g.withColumnRenamed(cls, "a").join(both, "a")
+    sizes = materialize(g.groupBy(cls).agg(F.count("*").alias("groups")), "sizes")
+    itself = sizes.where("groups > 1").select(F.col(cls).alias("a"), F.col(cls).alias("b"))  # a lone group differs from none
+    both = links.select("a", "b").union(links.select("b", "a")).union(itself).distinct().join(sizes.select(F.col(cls).alias("b"), "groups"), "b")
+    asked = materialize(g.withColumnRenamed(cls, "a").join(both, "a"), "asked")
+    out = ["a", "b", *same, differ, day, "q"]
+
+    there = g.select(F.col(cls).alias("b"), *same, F.col(differ).alias("__differ"), F.col(day).alias("__day"), F.col("q").alias("__n"))
+    near = asked.where(F.col("groups") <= FEW).join(there, ["b", *same]).where((F.col(differ) != F.col("__differ")) & (F.abs(F.col(day) - F.col("__day")) <= width))
+    found = near.groupBy(*out).agg(F.sum("__n").alias("n"))
+
+    many = asked.where(F.col("groups") > FEW)
+    if many.isEmpty():
+        return found
     ends = F.explode(F.array(F.struct((F.col(day) + width).alias("at"), F.lit(1).alias("sign")), F.struct((F.col(day) - width - 1).alias("at"), F.lit(-1).alias("sign"))))
-    asked = asked.withColumn("end", ends).select("a", "b", *same, differ, day, "q", "end.at", "end.sign", F.lit(0).alias("held"), F.lit(1).alias("kind"))
-    there = g.select(F.lit(None).cast(dict(g.dtypes)[cls]).alias("a"), F.col(cls).alias("b"), *same, differ, day, F.lit(0).cast("bigint").alias("q"), F.col(day).alias("at"), F.lit(0).alias("sign"), F.col("q").cast("int").alias("held"), F.lit(0).alias("kind"))
-    every = materialize(asked.unionByName(there), "asked")
+    ends = many.withColumn("end", ends).select(*out, "end.at", "end.sign", F.lit(0).alias("held"), F.lit(1).alias("kind"))
+    own = g.join(sizes.where(F.col("groups") > FEW).select(cls), cls)
+    own = own.select(F.lit(None).cast(dict(g.dtypes)[cls]).alias("a"), F.col(cls).alias("b"), *same, differ, day, F.lit(0).cast("bigint").alias("q"), F.col(day).alias("at"), F.lit(0).alias("sign"), F.col("q").cast("int").alias("held"), F.lit(0).alias("kind"))
+    every = materialize(ends.unionByName(own), "ends")
     parts = [
         running(every, ["b", *same, *extra, "at", "kind"], {"upto": "held"}).where("kind = 1").withColumn("n", F.col("upto") * F.col("sign") * weight)
         for extra, weight in (([], 1), ([differ], -1))
     ]
-    return parts[0].unionByName(parts[1]).groupBy("a", "b", *same, differ, day, "q").agg(F.sum("n").alias("n")).where("n > 0")
+    counted = parts[0].unionByName(parts[1]).groupBy(*out).agg(F.sum("n").alias("n")).where("n > 0")
+    return found.unionByName(counted)
 
 
 def name_matches(names: DataFrame, key: str, count: str, generic: list[str], rare: int = 3) -> DataFrame:

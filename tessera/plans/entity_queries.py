@@ -29,7 +29,7 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     raw = rows(spark, d, "title", "firm_key", "recall_date", "primary_country", "sales_channel")
     day = F.datediff(F.to_date(F.try_to_timestamp(F.substring("recall_date", 1, 10))), F.lit("1970-01-01").cast("date"))
     e = once(raw.select("recall_id", F.lower(headline_product(F.col("title"), "similarity")).alias("phrase"), F.col("firm_key").alias("firm"), day.alias("day"), F.col("primary_country").alias("country"), (F.col("sales_channel") == "online_only").alias("online")))
-    e = e.where(F.length("phrase") > 3)
+    e = materialize(e.where(F.length("phrase") > 3), "events")
     return materialize(e.join(e.groupBy("phrase").agg(F.min("recall_id").alias("class")), "phrase"), "phrases")
 
 
@@ -84,11 +84,11 @@ def jn9(spark: SparkSession, d: str) -> DataFrame:
 @Q("er4_char_ngrams")
 def er4b(spark: SparkSession, d: str) -> DataFrame:
     """Each firm key with the number of keys that are alike by their pieces of three to five letters."""
-    e = once(rows(spark, d, "firm_key").where("firm_key IS NOT NULL").select("firm_key"), "firm_key")
-    grams = S.term_counts(e, "firm_key", S.char_ngrams(F.col("firm_key"), 3, 5))
-    pairs = S.similar_pairs(S.tfidf(grams, "firm_key", 2), "firm_key", 0.8, depth=1)
-    n = pairs.select(F.col("a").alias("firm_key")).union(pairs.select("b")).groupBy("firm_key").agg(F.count("*").alias("links"))
-    return e.join(n, "firm_key", "left").select("firm_key", F.coalesce("links", F.lit(0)).alias("links"))
+    e = once(rows(spark, d, "firm_key").where("firm_key IS NOT NULL").select("firm_key"), "firm_key").withColumn("id", F.xxhash64("firm_key"))
+    grams = S.term_counts(e, "id", S.char_ngrams(F.col("firm_key"), 3, 5)).withColumn("term", F.xxhash64("term"))
+    pairs = S.similar_pairs(S.tfidf(grams, "id", 2), "id", 0.8, depth=1)
+    n = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("links"))
+    return e.join(n, "id", "left").select("firm_key", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 # Words of products, which tell no maker, however few phrases hold them.

@@ -63,14 +63,15 @@ def test_counted_matches_equal_brute_force(spark):
     pairs = [(0, 1), (2, 3), (3, 0)]
     links = spark.createDataFrame(pairs, "a int, b int")
     linked = {*pairs, *[(b, a) for a, b in pairs], *[(c, c) for c in range(6)]}
-    for same in ([], ["country"]):
-        want = {}
+    for same, few in (([], 16), (["country"], 16), ([], 3), (["country"], 0)):
+        S.FEW, want = few, {}
         for x, y in itertools.permutations(rows, 2):
             if None not in (x[1], x[2], y[1], y[2]) and (x[1], y[1]) in linked and x[2] != y[2] and abs(x[3] - y[3]) <= 4 and (not same or x[4] is not None and x[4] == y[4]):
                 k = (x[1], y[1], *([x[4]] if same else []), x[2], x[3])
                 want[k] = want.get(k, 0) + 1
         got = {(r["a"], r["b"], *(r[c] for c in same), r["firm"], r["day"]): r["q"] * r["n"] for r in S.counted_matches(members, links, "cls", "firm", "day", 4, same).collect()}
         assert got == want
+    S.FEW = 16
     assert S.counted_matches(members.limit(0), links, "cls", "firm", "day", 4).count() == 0
 
 
