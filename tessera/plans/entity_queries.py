@@ -64,7 +64,7 @@ def er4(spark: SparkSession, d: str) -> DataFrame:
     return phrase_vectors(p, S.word_ngrams(F.col("phrase"))).select("class", "term", r6("w", "w"))
 
 
-@Q("er4_char_tfidf", f"""{_PH}, w AS (SELECT class, ' ' || unnest(list_filter(regexp_split_to_array(any_value(phrase), '\s+'), lambda x: x <> '')) || ' ' AS w, count(*) AS m FROM p GROUP BY class), s AS (SELECT class, m, w, unnest([3, 4, 5]) AS k FROM w),
+@Q("er4_char_tfidf", f"""{_PH}, w AS (SELECT class, ' ' || unnest(list_filter(regexp_split_to_array(any_value(phrase), '\\s+'), lambda x: x <> '')) || ' ' AS w, count(*) AS m FROM p GROUP BY class), s AS (SELECT class, m, w, unnest([3, 4, 5]) AS k FROM w),
  l AS (SELECT class, m, substr(w, i, k) AS term FROM (SELECT *, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM s) WHERE k = 3 OR length(w) >= k), c AS (SELECT class, m, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n FROM p), df AS (SELECT term, sum(m) AS df FROM c GROUP BY 1 HAVING sum(m) >= 2),
  x AS (SELECT class, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN df USING (term), n) SELECT class, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY class)), 6) AS w FROM x""")
 def er4c(spark: SparkSession, d: str) -> DataFrame:
