@@ -134,25 +134,31 @@ def name_matches(names: DataFrame, key: str, count: str, generic: list[str], rar
     on the rarest three-letter pieces that keys of that similarity must share, so no rule loses a pair.
     """
     base = names.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(F.split(key, " ")).alias("t"), F.col("joint").alias("j")).dropDuplicates(["k"])
-    base = materialize(base, "keys")
-    words = base.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
+    base = materialize(base.withColumn("id", F.xxhash64("k")).withColumn("l", F.length("k").cast("int")), "keys")
+    # keys meet as numbers; the names themselves join the pairs that are left
+    words = base.select("id", "l", F.size("t").alias("n"), F.explode("t").alias("w"))
     listed = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
-    place = F.row_number().over(Window.partitionBy("k").orderBy("df", "w"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
     overlap = listed.withColumn("i", place).where("i <= n - ceil(0.6 * n - 1e-9) + 1")
     # of l letters and at most 0.54 / 0.46 of them on the other side, d = 0.08 * l / 0.46 are unmatched; each spoils three pieces
-    pieces = base.where(F.length("k") >= 6).select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - 2), lambda i: F.substr(F.col("k"), i, F.lit(3)))).alias("g"))
-    pieces = pieces.groupBy("k", "g").agg(F.count("*").cast("int").alias("n")).select("k", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("w"))
-    near = pieces.join(pieces.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("i", place).where("i <= 3 * floor(0.08 * length(k) / 0.46 + 1e-9) + 1")
-
-    def meet(x: DataFrame, informative: Column) -> DataFrame:
-        held = x.where("df >= 2")
-        return held.select(F.col("k").alias("ka"), "w", informative.alias("informative")).join(held.select(F.col("k").alias("kb"), "w"), "w").where("ka < kb").select("ka", "kb", "informative")
-
-    close = "least(length(ka), length(kb)) >= 0.46 * (length(ka) + length(kb)) - 1e-9"
-    found = meet(listed.where(F.col("df") <= rare), ~F.col("w").isin(generic)).union(meet(overlap, F.lit(False))).union(meet(near, F.lit(False)).where(close))
-    pairs = found.groupBy("ka", "kb").agg(F.max("informative").alias("informative"))
-    a, b = base.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("j").alias("ja")), base.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("j").alias("jb"))
-    full = pairs.join(a, "ka").join(b, "kb").withColumn("jaccard", token_jaccard(F.col("ta"), F.col("tb"))).withColumn("containment", token_containment(F.col("ta"), F.col("tb")))
+    pieces = base.where("l >= 6").select("id", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("l") - 2), lambda i: F.substr(F.col("k"), i, F.lit(3)))).alias("g"))
+    pieces = pieces.groupBy("id", "l", "g").agg(F.count("*").cast("int").alias("n")).select("id", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("w"))
+    near = pieces.join(pieces.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("i", place).where("i <= 3 * floor(0.08 * l / 0.46 + 1e-9) + 1")
+
+    def meet(x: DataFrame, informative: Column, only: str = "true") -> DataFrame:
+        held = x.where("df >= 2").withColumn("h", F.xxhash64("w"))
+        left, right = held.select("h", F.col("id").alias("a"), F.col("l").alias("la"), informative.alias("informative")), held.select("h", F.col("id").alias("b"), F.col("l").alias("lb"))
+        return left.join(right, "h").where("a < b").where(only).select("a", "b", "informative")
+
+    close = "least(la, lb) >= 0.46 * (la + lb) - 1e-9"
+    found = meet(listed.where(F.col("df") <= rare), ~F.col("w").isin(generic)).union(meet(overlap, F.lit(False))).union(meet(near, F.lit(False), close))
+    pairs = found.groupBy("a", "b").agg(F.max("informative").alias("informative"))
+    side = lambda x: base.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("t").alias(f"t{x}"), F.col("j").alias(f"j{x}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    # the smaller key first
+    turned = F.col("ka") > F.col("kb")
+    full = full.select("informative", "ta", "tb", "ja", "jb", F.when(turned, F.col("kb")).otherwise(F.col("ka")).alias("ka"), F.when(turned, F.col("ka")).otherwise(F.col("kb")).alias("kb"))
+    full = full.withColumn("jaccard", token_jaccard(F.col("ta"), F.col("tb"))).withColumn("containment", token_containment(F.col("ta"), F.col("tb")))
     contained = (F.col("containment") == 1) & F.col("informative") & (F.least(F.length("ka"), F.length("kb")) >= 4) & ~F.col("ja") & ~F.col("jb")
     # letters that match are in the same order, so no more edits than unmatched letters
     alike = (F.col("jaccard") > 0) & (F.levenshtein("ka", "kb") <= 0.08 * (F.length("ka") + F.length("kb")) + 1e-9)

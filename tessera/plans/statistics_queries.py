@@ -282,11 +282,21 @@ def ct15(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d, "segment", "is_violation").groupBy("segment").agg(r6((F.count_if("is_violation") + 0.5) / (F.count("*") + 1), "mean"))
 
 
-@Q("ct15_jeffreys_interval")
+def _beta_cdf_sql(x: str) -> str:
+    """Beta distribution of a and b up to x, by Simpson's rule over 2,000 steps."""
+    return f"({x} / 6000 * list_sum(list_transform(range(1, 2001), lambda i: CASE WHEN i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((a - 1) * ln({x} * i / 2000) + (b - 1) * ln(1 - {x} * i / 2000) + lgamma(a + b) - lgamma(a) - lgamma(b)))))"
+
+
+_BETA_MID = _beta_cdf_sql("((lo + hi) / 2)")
+
+
+@Q("ct15_jeffreys_interval", f"""{E.replace("WITH e", "WITH RECURSIVE e", 1)}, g AS (SELECT segment, count(*) FILTER (WHERE is_violation) + 0.5::DOUBLE AS a, count(*) - count(*) FILTER (WHERE is_violation) + 0.5::DOUBLE AS b FROM e GROUP BY 1), q AS (SELECT segment, a, b, p FROM g, (VALUES (0.025), (0.975)) t(p)),
+ z AS (SELECT segment, a, b, p, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM q UNION ALL SELECT segment, a, b, p, CASE WHEN {_BETA_MID} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_BETA_MID} < p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM z WHERE i < 40)
+ SELECT segment, round(max(lo) FILTER (WHERE p < 0.5), 5) AS lo, round(max(lo) FILTER (WHERE p > 0.5), 5) AS hi FROM z WHERE i = 40 GROUP BY 1""")
 def ct15b(spark: SparkSession, d: str) -> DataFrame:
     g = events(spark, d, "segment", "is_violation").groupBy("segment").agg(F.count_if("is_violation").alias("k"), F.count("*").alias("n"))
     q = lambda p: special.column(lambda k, n: special.beta_ppf(p, k + 0.5, n - k + 0.5), F.col("k"), F.col("n"))
-    return g.select("segment", q(0.025).alias("lo"), q(0.975).alias("hi"))
+    return g.select("segment", F.round(q(0.025), 5).alias("lo"), F.round(q(0.975), 5).alias("hi"))
 
 
 @Q("ct16_trend", f"{E}, g AS (SELECT year AS x, count(*) AS n, count(*) FILTER (WHERE is_violation) AS k FROM e WHERE year IS NOT NULL GROUP BY 1), s AS (SELECT sum(n) n, sum(k) k, sum(x*k) xk, sum(x*n) xn, sum(x*x*n) xxn FROM g) SELECT round((xk - k/n*xn) / sqrt(k/n*(1-k/n)*(xxn - xn*xn/n)), 6) AS z FROM s")
