@@ -134,23 +134,25 @@ def name_matches(names: DataFrame, key: str, count: str, generic: list[str], rar
     on the rarest three-letter pieces that keys of that similarity must share, so no rule loses a pair.
     """
     base = names.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(F.split(key, " ")).alias("t"), F.col("joint").alias("j")).dropDuplicates(["k"])
-    base = materialize(base.withColumn("id", F.xxhash64("k")).withColumn("l", F.length("k").cast("int")), "keys")
+    letters = F.expr("aggregate(split(k, ''), 0, (s, c) -> s | shiftleft(1, pmod(ascii(c), 32)))")  # which letters a key has
+    base = materialize(base.withColumn("id", F.xxhash64("k")).withColumn("l", F.length("k").cast("int")).withColumn("m", letters), "keys")
     # keys meet as numbers; the names themselves join the pairs that are left
-    words = base.select("id", "l", F.size("t").alias("n"), F.explode("t").alias("w"))
+    words = base.select("id", "l", "m", F.size("t").alias("n"), F.explode("t").alias("w"))
     listed = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
     overlap = listed.withColumn("i", place).where("i <= n - ceil(0.6 * n - 1e-9) + 1")
     # of l letters and at most 0.54 / 0.46 of them on the other side, d = 0.08 * l / 0.46 are unmatched; each spoils three pieces
-    pieces = base.where("l >= 6").select("id", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("l") - 2), lambda i: F.substr(F.col("k"), i, F.lit(3)))).alias("g"))
-    pieces = pieces.groupBy("id", "l", "g").agg(F.count("*").cast("int").alias("n")).select("id", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("w"))
+    pieces = base.where("l >= 6").select("id", "l", "m", F.explode(F.transform(F.sequence(F.lit(1), F.col("l") - 2), lambda i: F.substr(F.col("k"), i, F.lit(3)))).alias("g"))
+    pieces = pieces.groupBy("id", "l", "m", "g").agg(F.count("*").cast("int").alias("n")).select("id", "l", "m", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("w"))
     near = pieces.join(pieces.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("i", place).where("i <= 3 * floor(0.08 * l / 0.46 + 1e-9) + 1")
 
     def meet(x: DataFrame, informative: Column, only: str = "true") -> DataFrame:
         held = x.where("df >= 2").withColumn("h", F.xxhash64("w"))
-        left, right = held.select("h", F.col("id").alias("a"), F.col("l").alias("la"), informative.alias("informative")), held.select("h", F.col("id").alias("b"), F.col("l").alias("lb"))
+        left, right = held.select("h", F.col("id").alias("a"), F.col("l").alias("la"), F.col("m").alias("ma"), informative.alias("informative")), held.select("h", F.col("id").alias("b"), F.col("l").alias("lb"), F.col("m").alias("mb"))
         return left.join(right, "h").where("a < b").where(only).select("a", "b", "informative")
 
-    close = "least(la, lb) >= 0.46 * (la + lb) - 1e-9"
+    # each letter that only one key has is unmatched
+    close = "least(la, lb) >= 0.46 * (la + lb) - 1e-9 AND bit_count(ma ^ mb) <= 0.08 * (la + lb) + 1e-9"
     found = meet(listed.where(F.col("df") <= rare), ~F.col("w").isin(generic)).union(meet(overlap, F.lit(False))).union(meet(near, F.lit(False), close))
     pairs = found.groupBy("a", "b").agg(F.max("informative").alias("informative"))
     side = lambda x: base.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("t").alias(f"t{x}"), F.col("j").alias(f"j{x}"))
