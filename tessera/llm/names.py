@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import combinations
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -217,20 +218,38 @@ def variants(word: str, k: int) -> set[str]:
     return {"".join(c for i, c in enumerate(word) if i not in out) for n in range(min(k, len(word)) + 1) for out in combinations(range(len(word)), n)}
 
 
-def _pieces(word: str) -> list[str]:
-    """Beginning and end of a word, of three letters, in short words also of two."""
-    sizes = (2,) if len(word) == 4 else (2, 3) if len(word) <= 6 else (3,)
-    return [x for n in sizes for x in ("<" + word[:n], ">" + word[-n:])]
+def segments(text: str) -> Iterator[tuple[str, str]]:
+    """(key, role) of a long text: its three parts, filed with their place and the whole length (role `i`), and the pieces that
+    such parts become in a text up to two letters longer (role empty). Two edits leave one part whole, so that of two texts
+    within two edits the longer one has a key that is a part of the shorter one."""
+    for more in range(3):
+        size, start = len(text) - more, 0
+        for part in range(3):
+            length = size // 3 + (part >= 3 - size % 3)
+            for at in range(max(start - part, start + more - 2 + part, 0), min(start + part, start + more + 2 - part, len(text) - length) + 1):
+                yield f"{size} {part} {text[at : at + length]}", "" if more or at != start else "i"
+            start += length
 
 
-def shards(words: tuple[str, ...]) -> Iterator[tuple[str, str, str, str]]:
-    """(shard, word, other, rest): where a core of any number of words is filed. Two cores within the bounds meet in one of
-    their shards, whatever the order of their words:
+def word_shards(word: str) -> Iterator[tuple[str, str, str, str]]:
+    """Where single words meet if they are near: by what is left when letters are left out, long ones by their parts."""
+    if reach(word) and len(word) < 14:
+        for v in variants(word, reach(word)):
+            yield f"1 {v}", word, "", ""
+    if len(word) >= 12:
+        for key, role in segments(word):
+            yield f"+ {key}", word, "", role
+
+
+def shards(words: tuple[str, ...], near: Mapping[str, Iterable[str]] = MappingProxyType({})) -> Iterator[tuple[str, str, str, str]]:
+    """(shard, word, other, rest): where a core of any number of words is filed; `near` has, of a word, the words alike that sort
+    before it. Two cores of full words within the bounds always meet in one of their shards, whatever the order of the words:
 
     `=`: all words but one are equal, and that one is near, or one is the beginning of the other (a cut-off word);
-    `~`: two words carry a slip that spares the beginning or the end of each; the rest is near, too;
+    `~`: two words or more carry slips; of two alike words the first in order is a name for both, so the cores meet under the
+    names of any two of their words;
     `1`: single words of less than ten letters, by what is left when letters are left out;
-    `+`: eight letters or more, the words run together or torn apart; the slips spare the first or last five letters of the whole.
+    `+`: eight letters or more, the words run together or torn apart, by the parts of the whole.
     """
     whole = [w.rstrip(".") for w in words]
     if len(words) == 1 and len(words[0]) < 10 and not words[0].endswith("."):
@@ -244,13 +263,13 @@ def shards(words: tuple[str, ...]) -> Iterator[tuple[str, str, str, str]]:
         a, b = words[i], words[j]
         if not a.endswith(".") and not b.endswith(".") and min(len(a), len(b)) >= 4:
             rest = " ".join(sorted(w for n, w in enumerate(words) if n not in (i, j)))
-            for x in _pieces(a):
-                for y in _pieces(b):
+            for x in (a, *near.get(a, ())):
+                for y in (b, *near.get(b, ())):
                     yield "~ " + " ".join(sorted((x, y))), a, b, rest
     for joined in {"".join(whole), "".join(whole[::-1])}:
         if len(joined) >= 8:
-            yield f"+ <{joined[:5]}", joined, "", ""
-            yield f"+ >{joined[-5:]}", joined, "", ""
+            for key, role in segments(joined):
+                yield f"+ {key}", joined, "", role
 
 
 def _near(a: list[str], b: list[str]) -> bool:
@@ -292,7 +311,7 @@ def _match(rows: list[tuple]) -> Iterator[tuple[str, str, str, str]]:
     both = kind == "~" and not divided  # a divided shard holds the words in both orders
     trie = Trie()
     for i, r in enumerate(rows):
-        if not r[2].endswith("."):
+        if not r[2].endswith(".") and (kind != "+" or r[4] == "i"):  # of long texts, the parts are searched by the pieces
             trie.add(r[2], i)
             if both:
                 trie.add(r[3], ~i)
@@ -316,13 +335,13 @@ def _match(rows: list[tuple]) -> Iterator[tuple[str, str, str, str]]:
             continue
         for j, e in trie.near(r[2], _AUTOMATA[k]):
             s, turned = rows[j if j >= 0 else ~j], j < 0
-            if s[1] <= r[1] or not agree(r, s) or not alike(r[2], s[3] if turned else s[2], e):
+            if (s[1] <= r[1] and kind != "+") or not agree(r, s) or not alike(r[2], s[3] if turned else s[2], e):
                 continue
             if kind == "~":
                 rest = s[2] if turned else s[3]
                 if not alike(r[3], rest, distance(r[3], rest, 2)) or not _near(r[4].split(), s[4].split()):
                     continue
-            yield r[1], s[1], "", ""
+            yield min(r[1], s[1]), max(r[1], s[1]), "", ""
 
 
 _FILED = "node string, trades array<string>, givens array<string>, shard string, word string, other string, rest string"
@@ -356,18 +375,13 @@ def _divide(shard: str, word: str, other: str, rest: str) -> Iterator[tuple[str,
             yield f"{shard}\t{v}", other, word, rest
 
 
-def spelling_links(cores: DataFrame, hot: int = 2_000) -> DataFrame:
-    """(a, b) of nodes whose cores are within the bounds; `cores`: node, words, trades, givens.
-
-    The cores are filed in shards; every shard is a trie that each of its own cores searches. A shard of more than `hot` cores
-    is divided by what its words have in common when letters are left out, which words within the bound always have, so its
-    cost follows its size; a place that is still crowded is divided into blocks that meet pairwise. A cut-off word is linked
-    after all this, if all full words under it are spellings of one. No division changes the result.
-    """
-    spark = cores.sparkSession
-    start = cores.select("node", "trades", "givens", F.array_join("words", " ").alias("words"))
-    filed = materialize(_placed(start, lambda words: shards(tuple(words.split(" ")))), "filed")
-    sizes = filed.groupBy("shard").agg(F.count_distinct("node").alias("m")).where("m > 1")
+def _met(start: DataFrame, cut, hot: int) -> DataFrame:
+    """(a, b, cut, full): what `_match` finds in the shards that `cut` makes of `start` (node, trades, givens, ...)."""
+    spark = start.sparkSession
+    filed = materialize(_placed(start, cut), "filed")
+    # a shard of pieces that are nobody's part links nothing
+    parts_too = F.col("shard").startswith("+") & (F.max(F.col("rest") == "i") == F.lit(False))
+    sizes = filed.groupBy("shard").agg(F.count_distinct("node").alias("m"), parts_too.alias("idle")).where("m > 1 AND NOT idle").select("shard", "m")
     sizes = materialize(sizes, "sizes")
     crowded = sizes.where(F.col("m") > hot)
     cells = filed.join(sizes.where(F.col("m") <= hot).select("shard"), "shard").select(F.col("shard").alias("cell"), "node", "word", "other", "rest", "trades", "givens", F.lit(0).alias("blk"))
@@ -398,7 +412,27 @@ def spelling_links(cores: DataFrame, hot: int = 2_000) -> DataFrame:
             yield found(held)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    met = materialize(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(search, "a string, b string, cut string, full string"), "met")
+    return materialize(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(search, "a string, b string, cut string, full string"), "met")
+
+
+def spelling_links(cores: DataFrame, hot: int = 2_000) -> DataFrame:
+    """(a, b) of nodes whose cores are within the bounds; `cores`: node, words, trades, givens.
+
+    The different words of the cores are linked first, then the cores are filed in shards by their words and these links; every
+    shard is a trie that each of its own cores searches. A shard of more than `hot` cores is divided by what its words have in
+    common when letters are left out, which words within the bound always have, so its cost follows its size; a place that is
+    still crowded is divided into blocks that meet pairwise. A cut-off word is linked after all this, if all full words under
+    it are spellings of one. No pair within the bounds is left out, and no division changes the result.
+    """
+    spark = cores.sparkSession
+    each = cores.where(F.size("words") > 1).select("node", F.explode(F.array_distinct("words")).alias("word")).where(~F.col("word").endswith("."))
+    none = F.array().cast("array<string>")
+    alone = each.select("word").distinct().select(F.col("word").alias("node"), none.alias("trades"), none.alias("givens"), "word")
+    near = _met(alone, word_shards, hot).select(F.col("b").alias("word"), "a").groupBy("word").agg(F.collect_set("a").alias("before"))
+    near = each.join(near, "word").groupBy("node").agg(F.collect_list(F.struct("word", "before")).alias("near"))
+    start = cores.select("node", "trades", "givens", F.array_join("words", " ").alias("words")).join(near, "node", "left")
+    met = _met(start, lambda words, near: shards(tuple(words.split(" ")), {x["word"]: x["before"] for x in near or ()}), hot)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -157,6 +157,37 @@ def test_cut_off_words_see_through_slips(spark):
     assert not [e for e in every if "morn. sharedword" in e]  # two names
 
 
+def test_no_slip_hides_a_name(spark):
+    from tessera.llm.names import alike, segments, spelling_links
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    ends = lambda w: w[0] + w[2:-2] + "z" + w[-1]  # both ends hit
+    cores = [("oakfieldish", "brimstonely"), ("okfieldizh", "birmstonley"), ("lanternhillwetherby",), ("lnternhillwetherbyy",)]
+    cores += [("thrushwood", "marlpit"), ("htrushwoodmarlpti",), ("marlpitthrushwodo",)]  # torn apart, a swap at one end or two
+    for n in (1, 2, 3, 4):
+        for _ in range(15):
+            words = [word(rng.randint(7, 15)) for _ in range(n)]
+            other = [ends(w) for w in words]
+            rng.shuffle(other)
+            cores += [tuple(words), tuple(other)]
+    slips = lambda a, b: alike(a, b, distance(a, b, 2))
+    whole = lambda a: {x for x in ("".join(a), "".join(a[::-1])) if len(x) >= 8}
+    near = lambda a, b: (len(a) == len(b) and any(all(map(slips, a, p)) for p in itertools.permutations(b))) or any(slips(x, y) for x in whole(a) for y in whole(b))
+    want = {tuple(sorted((" ".join(sorted(a)), " ".join(sorted(b))))) for a, b in itertools.combinations(cores, 2) if near(a, b)}
+    df = spark.createDataFrame([(" ".join(sorted(c)), list(c), [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>")
+    for hot in (2_000, 1):
+        assert {tuple(r) for r in spelling_links(df, hot).collect()} == want
+    assert len(want) >= 62
+    for _ in range(3_000):
+        a = b = word(rng.randint(8, 20))
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(b))
+            b = b[:i] + rng.choice(("", "x", b[i] + "x")) + b[i + 1 :]
+        a, b = sorted((a, b), key=len)
+        assert {k for k, role in segments(a) if role} & {k for k, _ in segments(b)}
+
+
 def texts(n: int, seed: int) -> list[str]:
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
