@@ -18,6 +18,9 @@ GROUPS = 32  # token groups; a point has one count per group
 LEAF = 64  # points of an R-tree leaf
 FANOUT = 16  # nodes under an inner node
 HOT_SLOTS = 1 << 16
+SLOTS = 1 << 16  # slots of tokens whose frequency is estimated, in a sample of so many records
+SAMPLE = 20_000
+LEVELS = 3  # tokens in common by which crowded cells are divided, at most
 
 
 def _terms(text: str) -> Column:
@@ -144,47 +147,29 @@ class CountTree:
                     node_q, node = node_q[ok], node[ok]
 
 
-def _packed(column: pa.Array) -> np.ndarray:
-    """The packed counts of an Arrow column as rows of bytes, without an object per row."""
+def _packed(column: pa.Array, width: int) -> np.ndarray:
+    """A binary Arrow column of `width` bytes a value as rows of bytes, without an object per row."""
     _, places, data = column.buffers()
     at = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, GROUPS // 2) if len(column) else np.empty((0, GROUPS // 2), np.uint8)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, width) if len(column) else np.empty((0, width), np.uint8)
 
 
-def _tree_join(share: float):
-    """Arrow batches sorted by cell -> candidate pairs; whole cells are buffered up to a block, then searched as one tree."""
-
-    def search(cols: list[np.ndarray]) -> pa.RecordBatch:
-        cell, same, size, blk, scale, packed = cols
-        # short numbers where they hold every count, which halves the memory that is read
-        counts = np.empty((len(packed), GROUPS), np.int16 if 15 * int(scale.max()) < 1 << 15 else np.int32)
-        counts[:, 0::2], counts[:, 1::2] = packed & 15, packed >> 4
-        counts *= scale[:, None].astype(counts.dtype)
-        order = np.lexsort((counts[:, 0], counts[:, 1], counts[:, 2], size, cell))
-        cell, same, size, blk, counts = cell[order], same[order], size[order], blk[order], counts[order]
-        tree = CountTree(cell, size.astype(np.int32), counts)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in tree.pairs(share):
-            # of a divided cell, one side is compared with the other; the diagonal is compared with itself
-            ok = (same[a] != same[b]) & ((blk[a] != blk[b]) | (blk[a] == 0))
-            left.append(np.minimum(same[a[ok]], same[b[ok]]))
-            right.append(np.maximum(same[a[ok]], same[b[ok]]))
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _by_cell(search, names: tuple[str, ...], packed: str, width: int):
+    """Arrow batches sorted by cell -> what `search` makes of whole cells, buffered up to a block; `names` begin with cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
         rows = 0
 
         def take(upto_key) -> list:
-            cols = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            cols = [np.concatenate([h[i] for h in held]) for i in range(len(names) + 1)]
             cut = len(cols[0]) if upto_key is None else int(np.searchsorted(cols[0], upto_key))
             done, rest = [c[:cut] for c in cols], [c[cut:] for c in cols]
             held[:] = [rest] if len(rest[0]) else []
             return done
 
         for b in batches:
-            held.append([*(b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "same", "n", "blk", "scale")), _packed(b.column("counts"))])
+            held.append([*(b.column(c).to_numpy(zero_copy_only=False) for c in names), _packed(b.column(packed), width)])
             rows += b.num_rows
             if rows >= 200_000:
                 done = take(held[-1][0][-1])
@@ -199,6 +184,50 @@ def _tree_join(share: float):
     return run
 
 
+def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    """Different pairs of content hashes, the smaller one first."""
+    a, b = np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _tree_join(share: float):
+    """Arrow batches sorted by cell -> candidate pairs; the cells of a block are searched as one tree."""
+
+    def search(cols: list[np.ndarray]) -> pa.RecordBatch:
+        cell, same, size, blk, scale, packed = cols
+        # short numbers where they hold every count, which halves the memory that is read
+        counts = np.empty((len(packed), GROUPS), np.int16 if 15 * int(scale.max()) < 1 << 15 else np.int32)
+        counts[:, 0::2], counts[:, 1::2] = packed & 15, packed >> 4
+        counts *= scale[:, None].astype(counts.dtype)
+        order = np.lexsort((counts[:, 0], counts[:, 1], counts[:, 2], size, cell))
+        cell, same, size, blk, counts = cell[order], same[order], size[order], blk[order], counts[order]
+        tree = CountTree(cell, size.astype(np.int32), counts)
+        left, right = [], []
+        for a, b in tree.pairs(share):
+            # of a divided cell, one side is compared with the other; the diagonal is compared with itself
+            ok = (same[a] != same[b]) & ((blk[a] != blk[b]) | (blk[a] == 0))
+            left.append(same[a[ok]])
+            right.append(same[b[ok]])
+        return _pairs(left, right)
+
+    return _by_cell(search, ("cell", "same", "n", "blk", "scale"), "counts", GROUPS // 2)
+
+
+def _crowded(points: DataFrame, column: str, hot: int) -> DataFrame | None:
+    """(key, nb): the keys that more than `hot` points have, and into how many blocks these go; None if there are none."""
+    key = F.col(column).alias("key")
+    slot = F.pmod("key", F.lit(HOT_SLOTS))
+    # a crowded key makes its slot crowded; only keys of such slots need a count of their own
+    slots = points.select(key).groupBy(slot.alias("slot")).count().where(F.col("count") > hot).select("slot")
+    slots = materialize(slots, "slots")
+    if slots.isEmpty():
+        return None
+    crowded = points.select(key).withColumn("slot", slot).join(slots, "slot", "left_semi").groupBy("key").count().where(F.col("count") > hot)
+    crowded = materialize(crowded.select("key", F.ceil(F.col("count") / hot).cast("int").alias("nb")), "hot")
+    return None if crowded.isEmpty() else crowded
+
+
 def candidate_pairs(sigs: DataFrame, share: float, hot: int = 20_000) -> DataFrame:
     """(a, b) content hashes, a < b, of token sets that share a band and whose group counts allow the similarity.
 
@@ -206,65 +235,169 @@ def candidate_pairs(sigs: DataFrame, share: float, hot: int = 20_000) -> DataFra
     into blocks of `hot` rows at most on average, every block meets itself and every other one in a cell of its own, so
     that no task holds the whole group and no pair is lost.
     """
-    spark = sigs.sparkSession
     points = sigs.where("n > 0").dropDuplicates(["same"]).select("same", "n", "scale", "counts", F.explode(F.array_distinct("keys")).alias("key"))
-    slot = F.pmod("key", F.lit(HOT_SLOTS))
-    # a crowded key makes its slot crowded; only keys of such slots need a count of their own
-    slots = points.groupBy(slot.alias("slot")).count().where(F.col("count") > hot).select("slot")
-    slots = materialize(slots, "slots")
-    if slots.isEmpty():
-        crowded = None
-    else:
-        crowded = points.withColumn("slot", slot).join(slots, "slot", "left_semi").groupBy("key").count().where(F.col("count") > hot)
-        crowded = materialize(crowded.select("key", F.ceil(F.col("count") / hot).cast("int").alias("nb")), "hot")
+    crowded = _crowded(points, "key", hot)
+    rows = points.withColumnRenamed("key", "cell")
+    return _search(_in_blocks(rows, crowded), _tree_join(share))
+
+
+def _in_blocks(rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """`rows` (cell, same, ...) with `blk`, those of the cells in `crowded` (key, nb) placed in blocks that meet pairwise."""
     if crowded is None or crowded.isEmpty():
-        cells = points.select(F.col("key").alias("cell"), "same", "n", F.lit(0).alias("blk"), "scale", "counts")
-    else:
-        placed = points.join(crowded, "key", "left").withColumn("mine", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("same"), "nb").cast("int")))
-        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("nb"), F.lit(1)) - 1))
-        placed = placed.withColumn("other", other)
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        cell = F.when(F.col("nb").isNull(), F.col("key")).otherwise(F.xxhash64("key", low, high))
-        # 0 on the diagonal; off it 1 and 2 tell the two blocks apart
-        blk = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        cells = placed.select(cell.alias("cell"), "same", "n", blk.alias("blk"), "scale", "counts")
-    return _search(cells, share)
-
-
-def _search(cells: DataFrame, share: float) -> DataFrame:
+        return rows.withColumn("blk", F.lit(0))
+    placed = rows.join(crowded.withColumnRenamed("key", "cell"), "cell", "left").withColumn("mine", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("same"), "nb").cast("int")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("nb"), F.lit(1)) - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    cell = F.when(F.col("nb").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high))
+    # 0 on the diagonal; off it 1 and 2 tell the two blocks apart
+    blk = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return placed.select(cell.alias("cell"), *[c for c in rows.columns if c != "cell"], blk.alias("blk"))
+
+
+def _search(cells: DataFrame, search) -> DataFrame:
     spark = cells.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_tree_join(share), "a bigint, b bigint")
+    found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(search, "a bigint, b bigint")
     return found.distinct()
 
 
-def all_candidate_pairs(sigs: DataFrame, share: float, block: int = 10_000) -> DataFrame:
-    """The same without bands: every pair of different token sets whose sizes and group counts allow the similarity.
+def token_order(hashed: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(place of each slot of tokens, from the rarest to the commonest; words of a bit set) of a collection of n records.
 
-    The sets are ordered by size and cut into blocks; two blocks meet in a cell of their own unless their sizes differ too
-    much. Nothing is lost, but the work grows with the square of the collection.
+    The slot of a token is the top of its hash. Slots are counted in a sample of SAMPLE records: any order serves, one near
+    to the true one costs least. A bit set has two words, and more where records have more than ninety terms on average.
     """
-    points = sigs.where("n > 0").dropDuplicates(["same"]).select("same", "n", "scale", "counts")
-    sizes = points.groupBy("n").count().orderBy("n").collect()  # as many as there are different sizes of records
-    bounds, blocks, at = {}, {}, 0
-    for n, m in sizes:
-        first, last = at // block, (at + m - 1) // block
-        blocks[n] = (at, first, last)
-        at += m
-        for i in range(first, last + 1):
-            lo, hi = bounds.get(i, (n, n))
-            bounds[i] = (min(lo, n), max(hi, n))
-    if not blocks:
-        return sigs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    meets = {i: [j for j in bounds if max(bounds[i][0], bounds[j][0]) * share <= min(bounds[i][1], bounds[j][1])] for i in bounds}
-    spark = sigs.sparkSession
-    spans = spark.createDataFrame([(n, first, last - first + 1) for n, (_, first, last) in blocks.items()], "n int, first int, width int")
-    met = spark.createDataFrame([(i, js) for i, js in meets.items()], "mine int, others array<int>")
-    placed = points.join(spans, "n").withColumn("mine", (F.col("first") + F.pmod(F.xxhash64("same"), "width")).cast("int"))
-    placed = placed.join(met, "mine").withColumn("other", F.explode("others"))
-    blk = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    cell = F.least("mine", "other").cast("bigint") * 1_000_000 + F.greatest("mine", "other")
-    return _search(placed.select(cell.alias("cell"), "same", "n", blk.alias("blk"), "scale", "counts"), share)
+    every = max(1, n // SAMPLE)
+    sample = hashed.where(F.pmod(F.xxhash64("id", F.lit("order")), F.lit(every)) == 0).select(F.explode("tokens").alias("t"))
+    seen = np.zeros(SLOTS, np.int64)
+    for r in sample.groupBy(F.shiftrightunsigned("t", 48).alias("slot")).count().collect():  # SLOTS rows at most
+        seen[r["slot"]] = r["count"]
+    place = np.empty(SLOTS, np.uint16)
+    place[np.argsort(seen, kind="stable")] = np.arange(SLOTS)
+    return place, min(16, max(2, math.ceil(seen.sum() / max(1, n / every) / 45)))
+
+
+def least_shared(share: float) -> int:
+    """Tokens that two different sets have in common at least, if their similarity is `share`: with i of them, the sets have
+    i + 1 tokens or more together."""
+    return math.ceil(share / (1 - share) - 1e-9) if share < 1 else LEVELS
+
+
+def prefixes(docs: DataFrame, place: np.ndarray, words: int, share: float) -> DataFrame:
+    """(id, n, same, bits, keys) of (id, tokens, same): size, content hash, bit set and first tokens of each token set.
+
+    Tokens are put in the order of `place`, then of the rest of their hash; two sets with a similarity of `share` have a token
+    in common among the first n - share * n + 1 of each, and a second one among one more. A bit tells whether an odd number
+    of tokens falls into its place, so two sets differ in as many tokens as their bit sets do in bits, or more.
+    """
+    more = min(LEVELS, least_shared(share)) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[starts[0] : starts[-1]]
+            starts = starts - starts[0]
+            n = np.diff(starts)
+            doc = np.repeat(np.arange(len(n)), n)
+            # the place instead of the slot: still one number for each token
+            flat = place[flat >> np.uint64(48)].astype(np.uint64) << np.uint64(48) | flat & np.uint64((1 << 48) - 1)
+            flat = flat[np.lexsort((flat, doc))]
+            bit = ((flat & np.uint64((1 << 48) - 1)) % np.uint64(64 * words)).astype(np.int64)
+            odd = np.bincount(doc * 64 * words + bit, minlength=len(n) * 64 * words).astype(np.uint8) & 1
+            bits = np.packbits(odd)
+            first = np.where(n > 0, np.minimum(n, n - np.ceil(share * n - 1e-9).astype(np.int64) + 1 + more), 0)
+            ends = np.concatenate([[0], np.cumsum(first)])
+            at = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[:-1], first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id"),
+                    pa.array(n.astype(np.int32)),
+                    b.column("same"),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(n), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at].view(np.int64))),
+                ],
+                names=["id", "n", "same", "bits", "keys"],
+            )
+
+    return docs.mapInArrow(run, "id bigint, n int, same bigint, bits binary, keys array<bigint>")
+
+
+def near_bits(size: np.ndarray, most: np.ndarray, bits: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of the sets of one cell, x being as large as y or larger, whose bit sets allow the similarity.
+
+    `most` is the size of the largest set that a set can be alike to, given the token it is filed by. Blocks of sets meet as
+    tables of counts of different bits.
+    """
+    limit = (1 - share) / (1 + share)
+    cap = np.minimum(size, most)
+    xs, ys = np.argsort(cap, kind="stable"), np.flatnonzero(most >= size)
+    ys = ys[np.argsort(size[ys], kind="stable")]
+    sizes, left, right = size[ys], [np.ascontiguousarray(w) for w in bits[xs].T], [np.ascontiguousarray(w) for w in bits[ys].T]
+    kind = np.uint8 if len(left) < 4 else np.uint16
+    bound = np.minimum(np.floor(limit * (size[xs].astype(np.int64) + cap[xs]) + 1e-9), np.iinfo(kind).max).astype(kind)[:, None]
+    for i in range(0, len(xs), 32):
+        x = slice(i, i + 32)
+        low = int(np.searchsorted(sizes, math.ceil(share * int(size[xs[x]].min()) - 1e-9)))
+        high = int(np.searchsorted(sizes, int(cap[xs[x]].max()), "right"))
+        for j in range(low, high, 4096):
+            y = slice(j, min(j + 4096, high))
+            odd = np.bitwise_count(left[0][x, None] ^ right[0][None, y]).astype(kind, copy=False)
+            for u, v in zip(left[1:], right[1:]):
+                odd += np.bitwise_count(u[x, None] ^ v[None, y])
+            at = np.flatnonzero(odd <= bound[x])
+            if len(at):
+                width = y.stop - j
+                a, b = xs[i + at // width], ys[j + at % width]
+                ok = (size[b] <= cap[a]) & (size[a] <= most[b]) & (size[b] >= share * size[a] - 1e-9)
+                ok &= odd.ravel()[at] <= limit * (size[a].astype(np.int64) + size[b]) + 1e-9
+                yield a[ok], b[ok]
+
+
+def _bit_join(share: float, words: int):
+    """Arrow batches sorted by cell -> candidate pairs of each cell."""
+
+    def search(cols: list[np.ndarray]) -> pa.RecordBatch:
+        cell, same, size, blk, most, packed = cols
+        bits = np.ascontiguousarray(packed).view(np.uint64)
+        ends = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+        left, right = [], []
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            for a, b in near_bits(size[lo:hi], most[lo:hi], bits[lo:hi], share) if hi - lo > 1 else ():
+                a, b = a + lo, b + lo
+                ok = (same[a] != same[b]) & ((blk[a] != blk[b]) | (blk[a] == 0))
+                left.append(same[a[ok]])
+                right.append(same[b[ok]])
+        return _pairs(left, right)
+
+    return _by_cell(search, ("cell", "same", "n", "blk", "most"), "bits", 8 * words)
+
+
+def all_candidate_pairs(sigs: DataFrame, share: float, words: int, hot: int = 20_000) -> DataFrame:
+    """(a, b) content hashes, a < b, of all pairs of different token sets whose sizes and bit sets allow the similarity.
+
+    Sets meet in the cell of the first token they share. A cell of more than `hot` sets is divided by the second one, then by
+    the third one, and after that into blocks that meet pairwise; as many tokens as that are always shared. Nothing is lost.
+    """
+    start = sigs.where("n > 0").dropDuplicates(["same"])
+    rows = start.select("same", "n", "bits", "keys", F.posexplode("keys").alias("at", "cell"))
+    levels, done = min(LEVELS, least_shared(share)), []
+    for level in range(1, levels + 1):
+        most = F.floor((F.col("n") - F.col("at") + level - 1) * F.lit((1 + share) / share) - F.col("n") + 1e-9).cast("int")
+        rows = rows.withColumn("most", most).where(F.col("most") >= F.ceil(F.col("n") * F.lit(share) - 1e-9))
+        full = _crowded(rows, "cell", hot)
+        flat = rows.select("cell", "same", "n", "most", "bits")
+        if full is None or level == levels:
+            done.append(_in_blocks(flat, full))
+            break
+        done.append(_in_blocks(flat.join(full.select(F.col("key").alias("cell")), "cell", "left_anti"), None))
+        inside = rows.join(full.select(F.col("key").alias("cell")), "cell").withColumnRenamed("at", "before").withColumnRenamed("cell", "path")
+        rows = inside.select("same", "n", "bits", "keys", "before", "path", F.posexplode("keys").alias("at", "key")).where(F.col("at") > F.col("before"))
+        rows = rows.select("same", "n", "bits", "keys", "at", F.xxhash64("path", "key").alias("cell"))
+    cells = done[0]
+    for d in done[1:]:
+        cells = cells.unionByName(d)
+    return _search(cells, _bit_join(share, words))
 
 
 def near_duplicates(df: DataFrame, key: str, fields: list[str], share: float = 0.7, miss: float = 0.01) -> tuple[DataFrame, DataFrame]:
@@ -274,20 +407,26 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], share: float = 0
     Terms are the runs of TERM in the fields joined by one space, NULL being empty. Repeated rows of a key are one record (one
     that holds several texts is in the class of each); rows with a NULL key are left out; a record without a term is a class
     of its own and has no link. Every surviving candidate is verified on its exact terms, so no false link comes out; a true
-    one is missed with probability `miss` at most at the threshold, and less above; with `miss` = 0 none is missed, at a cost
-    that grows with the square of the collection. Columns of other names are not read. An empty table gives no rows.
+    one is missed with probability `miss` at most at the threshold, and less above; with `miss` = 0 none is missed. Columns of
+    other names are not read. An empty table gives no rows.
 
-    Plan: token hashes -> count vectors and band keys (one compact row per record, kept in the shared folder) -> cells of
-    equal band keys, each searched by a count-vector R-tree -> exact verification of the term sets that take part.
+    Plan: token hashes -> one compact row per record, kept in the shared folder -> cells -> exact verification of the term
+    sets that take part. With `miss` = 0 the rows are first tokens from the rarest on and bit sets, the cells are those of a
+    shared token, and bit sets are compared; else they are count vectors and band keys, the cells those of equal band keys,
+    and each is searched by a count-vector R-tree.
     """
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]).alias("text"))
 
     # the generators keep the optimizer from evaluating the terms once per reference
     tokens = F.sort_array(F.array_distinct(F.transform(_terms("text"), lambda t: F.xxhash64(t))))
     hashed = source.select("id", F.explode(F.array(tokens)).alias("tokens")).select("id", "tokens", F.xxhash64("tokens").alias("same"))
-    bands, rows = band_plan(share, miss, band_rows(source.count())) if miss else (1, 1)
-    sigs = materialize(signatures(hashed, bands, rows), "sig")
-    pairs = materialize(candidate_pairs(sigs, share) if miss else all_candidate_pairs(sigs, share), "pairs")
+    if miss:
+        sigs = materialize(signatures(hashed, *band_plan(share, miss, band_rows(source.count()))), "sig")
+        pairs = materialize(candidate_pairs(sigs, share), "pairs")
+    else:
+        place, words = token_order(hashed, source.count())
+        sigs = materialize(prefixes(hashed, place, words, share), "sig")
+        pairs = materialize(all_candidate_pairs(sigs, share, words), "pairs")
     ids = sigs.select("id", F.when(F.col("n") > 0, F.col("same")).alias("same")).distinct()
     first = materialize(ids.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class")), "first")
 

@@ -182,7 +182,7 @@ _PAIRS_SQL = f"""{_SETS_SQL}, p AS (SELECT a.recall_id AS recall_id_a, b.recall_
  q AS (SELECT recall_id_a, recall_id_b FROM p WHERE i >= 0.7 * (n - i))"""
 
 
-def alike_recalls(spark: SparkSession, sf_dir: str, miss: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def alike_recalls(spark: SparkSession, sf_dir: str, miss: float = 0) -> tuple[DataFrame, DataFrame]:
     recalls = table(spark, sf_dir, "apparel_recalls_v2", ["recall_id", "title", "description", "products"]).where("description IS NOT NULL")
     return near_duplicates(recalls, "recall_id", ["title", "description", "products"], 0.7, miss)
 

@@ -261,6 +261,36 @@ def test_tree_bounds_never_lose(spark):
     assert got == want
 
 
+def test_no_pair_at_the_threshold_is_missed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4_000)]
+    rows = []
+    for i in range(0, 3_000, 2):  # 17 terms each, 14 of 20 in common
+        words = rng.sample(vocabulary, 20)
+        rows += [(i, " ".join(words[:17]), " ", None), (i + 1, "", " ".join(words[3:]), "")]
+    spark.createDataFrame(rows, "recall_id bigint, title string, description string, products string").write.parquet(f"{tmp_path}/apparel_recalls_v2.parquet")
+    got = {tuple(r) for r in entry.queries()["p7_found"](spark, str(tmp_path)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 3_000, 2)}
+
+
+def test_cells_of_shared_tokens_lose_no_pair(spark):
+    t = texts(60, 16) + [f"{w} red" for w in ("blue robe", "blue robe coat", "robe coat")] + ["red", "blue red"]
+    hashes = {w: i for i, w in enumerate(sorted({w for x in t for w in x.split()}))}
+    mixed = lambda w: ((hashes[w] * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64)) - (1 << 63)
+    docs = spark.createDataFrame([(i, sorted(mixed(w) for w in set(x.split())), i) for i, x in enumerate(t)], "id bigint, tokens array<bigint>, same bigint")
+    for share, words in ((0.7, 2), (0.7, 4), (0.5, 2), (0.9, 3), (0.95, 2)):
+        want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(t), 2) if share <= jaccard(x, y) < 1}
+        place, _ = N.token_order(docs, len(t))
+        sigs = N.prefixes(docs, place, words, share)
+        for hot in (20_000, 12, 3, 1):
+            assert want <= {tuple(r) for r in N.all_candidate_pairs(sigs, share, words, hot).collect()}
+        assert len(want) >= 3
+    links, members = N.near_duplicates(spark.createDataFrame(list(enumerate(t)), "id bigint, title string"), "id", ["title"], 1.0, 0)
+    assert links.count() == 0 and members.count() == len(t)
+
+
 def optimum(items: list[int], capacity: int) -> int:
     items = sorted(items, reverse=True)
     best = [len(items)]
