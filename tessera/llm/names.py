@@ -366,7 +366,7 @@ def _placed(filed: DataFrame, cut) -> DataFrame:
 
 def _divide(shard: str, word: str, other: str, rest: str) -> Iterator[tuple[str, str, str, str]]:
     """The places of a row of a crowded shard: by the word with letters left out, and by its beginning for cut-off words."""
-    if shard[0] == "=" and len(word) >= 4:
+    if shard[0] == "=" and len(word) >= 3:
         yield f"{shard}\t^{word[:3]}", word, other, rest
     if not word.endswith("."):
         for v in variants(word, reach(word)):
@@ -416,7 +416,7 @@ def _met(start: DataFrame, cut, hot: int) -> DataFrame:
 
 
 def spelling_links(cores: DataFrame, hot: int = 2_000) -> DataFrame:
-    """(a, b) of nodes whose cores are within the bounds; `cores`: node, words, trades, givens.
+    """(a, b) of nodes whose cores are within the bounds; `cores`: node, words, trades, givens, a row for each order of the words.
 
     The different words of the cores are linked first, then the cores are filed in shards by their words and these links; every
     shard is a trie that each of its own cores searches. A shard of more than `hot` cores is divided by what its words have in
@@ -486,7 +486,7 @@ def link_names(names: DataFrame, column: str = "name", lexicon: Lexicon = Lexico
                 [
                     b.column("name"),
                     pa.array([" ".join(sorted(c.words)) for c in cores], pa.string()),
-                    pa.array([list(c.words) for c in cores], pa.list_(pa.string())),
+                    pa.array([list(min(c.words, c.words[::-1])) for c in cores], pa.list_(pa.string())),  # run together both ways
                     pa.array([c.trade or "" for c in cores], pa.string()),
                     pa.array([" ".join(c.given) for c in cores], pa.string()),
                 ],
@@ -498,22 +498,23 @@ def link_names(names: DataFrame, column: str = "name", lexicon: Lexicon = Lexico
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for own, words, combos in zip(*(b.column(c).to_pylist() for c in ("own", "words", "combos"))):
+            for own, orders, combos in zip(*(b.column(c).to_pylist() for c in ("own", "orders", "combos"))):
                 keys = [(c["trade"], tuple(c["given"].split())) for c in combos]
                 groups = _clusters(keys)
                 for g in dict.fromkeys(groups):
                     inside = [k for k, x in zip(keys, groups) if x == g]
                     node = own if len(set(groups)) == 1 else f"{own} ({min(' '.join((t, *gs)) for t, gs in inside)})"
                     trades, givens = sorted({t for t, _ in inside if t}), sorted({x for _, gs in inside for x in gs})
-                    rows += [(own, c["trade"], c["given"], node, words, trades, givens) for c, x in zip(combos, groups) if x == g]
-            kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["own", "trade", "given", "node", "words", "trades", "givens"])
+                    rows += [(own, c["trade"], c["given"], node, orders, trades, givens) for c, x in zip(combos, groups) if x == g]
+            kinds = [pa.string()] * 4 + [pa.list_(pa.list_(pa.string()))] + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["own", "trade", "given", "node", "orders", "trades", "givens"])
 
-    # the facts of equal words are as many as the lexicon allows
-    facts = parsed.groupBy("own").agg(F.min("words").alias("words"), F.collect_set(F.struct("trade", "given")).alias("combos"))
-    nodes = facts.mapInArrow(split, "own string, trade string, given string, node string, words array<string>, trades array<string>, givens array<string>")
+    # the facts of equal words are as many as the lexicon allows, the orders as many as the words
+    facts = parsed.groupBy("own").agg(F.collect_set("words").alias("orders"), F.collect_set(F.struct("trade", "given")).alias("combos"))
+    nodes = facts.mapInArrow(split, "own string, trade string, given string, node string, orders array<array<string>>, trades array<string>, givens array<string>")
     nodes = materialize(nodes, "nodes")
-    cores = nodes.groupBy("node").agg(F.min("words").alias("words"), F.min("trades").alias("trades"), F.min("givens").alias("givens"))
+    typed = nodes.select("node", "trades", "givens", F.explode("orders").alias("words"))
+    cores = typed.groupBy("node", "words").agg(F.min("trades").alias("trades"), F.min("givens").alias("givens"))
     linked = components(spelling_links(cores, hot)).withColumnRenamed("component", "entity")
     placed = nodes.select("own", "trade", "given", "node").join(linked, "node", "left").select("own", "trade", "given", F.coalesce("entity", "node").alias("entity"))
     return parsed.select("name", "own", "trade", "given").join(placed, ["own", "trade", "given"]).select("name", "entity")

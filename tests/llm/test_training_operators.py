@@ -188,6 +188,19 @@ def test_no_slip_hides_a_name(spark):
         assert {k for k, role in segments(a) if role} & {k for k, _ in segments(b)}
 
 
+def test_every_order_and_short_beginning_counts(spark):
+    from tessera.llm.names import spelling_links
+
+    names = ["Stonemill Harborside Valleyview", "Harborside Valleyview Stonemill", "Valleyview Stonemill Harborside"]
+    names += [n.replace(" ", "") for n in names]  # each order run together
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for hot in (2_000, 1):
+        assert grouped({r["name"]: r["entity"] for r in link_names(df, hot=hot).collect()}) == [sorted(names)]
+    cores = [("oak", w) for w in ("abc", "abc.", "marlpit")]
+    df = spark.createDataFrame([(" ".join(sorted(c)), list(c), [], []) for c in cores], "node string, words array<string>, trades array<string>, givens array<string>")
+    assert [{tuple(r) for r in spelling_links(df, hot).collect()} for hot in (2_000, 1)] == [{("abc. oak", "abc oak")}] * 2
+
+
 def texts(n: int, seed: int) -> list[str]:
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
