@@ -20,6 +20,8 @@ most must my myself no nor not now of off on once only or other our ours ourselv
 themselves then there these they this those through to too under until up upon us very was we were what when where which while who whom why will with within
 without would you your yours yourself yourselves""".split()
 VOCABULARY = 50_000  # most terms that a topic model keeps, the most frequent ones; its factors are this wide
+BLOCK = 4096  # terms of which one row of partial sums holds all factors
+SENT = 1 << 25  # bytes of partial sums that the driver takes at a time
 
 
 def vectors(docs: DataFrame, text: str, min_df: int = 3, max_share: float = 0.6, stop: Sequence[str] = (), size: int = VOCABULARY) -> tuple[DataFrame, list[str], dict]:
@@ -61,70 +63,113 @@ class Factors:
         rows = cells.join(index, term).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("j", F.col(value).cast("double").alias("v")))).alias("c"))
         self.rows = materialize(rows.select(doc, "c.j", "c.v"), "rows")  # a document's own terms
 
-    def sums(self, width: int, of) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over all documents of `of` (terms' places, values) -> (width, terms) rows to add at these places, and a rest."""
-        n = len(self.terms)
+    def sums(self, given, of, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all documents, a batch at a time: `of` (given, document of each cell, number of documents, terms' places,
+        values) -> (width, documents) weights and `size` more numbers. Gives (width, terms): weights times values; and these numbers.
+
+        Each task sends the driver its own sums; there are no more tasks than cores, and fewer where their sums would exceed SENT.
+        """
+        n, handle = len(self.terms), self.spark.sparkContext.broadcast(given)
 
         def run(batches):
-            import pandas as pd
+            import pyarrow as pa
 
-            at, rest = np.zeros((width, n)), None
+            at, rest, seen = np.zeros((width, n)), np.zeros(size), False
             for b in batches:
-                for j, v in zip(b["j"], b["v"]):
-                    add, more = of(np.asarray(j), np.asarray(v))
-                    at[:, j] += add
-                    rest = more if rest is None else rest + more
-            if rest is not None:
-                yield pd.DataFrame({"i": range(width + 1), "v": [*at, np.ravel(rest)]})
-
-        parts = self.rows.select("j", "v").mapInPandas(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("s"))
-        out, rest = np.zeros((width, n)), {}
-        for r in parts.toLocalIterator():  # as many as the factors have entries
-            if r["i"] < width:
-                out[r["i"], r["j"]] = r["s"]
+                i, j, v = _cells(b)
+                w, more = of(handle.value, i, b.num_rows, j, v)
+                for r in range(width):
+                    at[r] += np.bincount(j, w[r, i] * v, n)
+                rest, seen = rest + more, True
+            if seen:
+                kinds = pa.schema([("block", pa.int32()), ("s", pa.binary())])
+                yield pa.RecordBatch.from_pydict({"block": [-1], "s": [rest.tobytes()]}, kinds)
+                for c in range(0, n if width else 0, BLOCK):
+                    yield pa.RecordBatch.from_pydict({"block": [c], "s": [at[:, c : c + BLOCK].tobytes()]}, kinds)
+
+        tasks = min(self.spark.sparkContext.defaultParallelism, max(1, SENT // (8 * (width * n + size))))
+        out, rest = np.zeros((width, n)), np.zeros(size)
+        for r in self.rows.select("j", "v").coalesce(tasks).mapInArrow(run, "block int, s binary").collect():  # SENT bytes at most, or one task's sums
+            s = np.frombuffer(r["s"])
+            if r["block"] < 0:
+                rest += s
             else:
-                rest[r["j"]] = r["s"]
-        return out, np.array([rest[x] for x in sorted(rest)])
+                out[:, r["block"] : r["block"] + BLOCK] += s.reshape(width, -1)
+        handle.destroy()
+        return out, rest
+
+
+def _cells(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each cell in an Arrow batch of rows, its row, its term's place and its value."""
+    j, v = batch.column("j"), batch.column("v")
+    return np.repeat(np.arange(batch.num_rows), j.value_lengths().to_numpy(zero_copy_only=False)), j.flatten().to_numpy(), v.flatten().to_numpy()
+
+
+def _products(base: np.ndarray, i: np.ndarray, n: int, j: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(factors, documents): the factors' products with each document."""
+    return np.array([np.bincount(i, row[j] * v, n) for row in base])
+
+
+def _places(ks: Sequence[int]) -> list[slice]:
+    """Where the factors of each model are when those of all models stand below each other."""
+    ends = np.cumsum(ks).tolist()
+    return [slice(e - k, e) for k, e in zip(ks, ends)]
+
+
+def _grams(w: np.ndarray, places: Sequence[slice]) -> np.ndarray:
+    return np.concatenate([(w[p] @ w[p].T).ravel() for p in places])
+
+
+def _squares(numbers: np.ndarray, ks: Sequence[int]) -> list[np.ndarray]:
+    return [x.reshape(k, k) for k, x in zip(ks, np.split(numbers, np.cumsum([k * k for k in ks])[:-1]))]
 
 
 def singular_start(f: Factors, k: int, rounds: int = 4) -> np.ndarray:
     """Nonnegative factors of the terms from the leading singular vectors, found by subspace iteration over the documents: of
     each pair of vectors the heavier of its positive and negative parts, zeros being the mean."""
+    return singular_starts(f, [k], rounds)[0]
+
+
+def singular_starts(f: Factors, ks: Sequence[int], rounds: int = 4) -> list[np.ndarray]:
+    """The same for several numbers of factors in the same passes."""
     n = len(f.terms)
-    k = min(k, n)
-    v = np.linalg.qr(np.random.default_rng(0).standard_normal((n, k)))[0].T
+    ks = [min(k, n) for k in ks]
+    places, width = _places(ks), sum(ks)
+    each = [np.linalg.qr(np.random.default_rng(0).standard_normal((n, k)))[0].T for k in ks]
+
+    def step(v, i, m, j, x):
+        w = _products(v, i, m, j, x)
+        return w, _grams(w, places)
+
     for _ in range(rounds):
-        handle = f.spark.sparkContext.broadcast(v)
-
-        def step(j, x):
-            w = handle.value[:, j] @ x
-            return np.outer(w, x), np.outer(w, w)
-
-        y, gram = f.sums(k, step)
-        values, turn = np.linalg.eigh(gram.reshape(k, k))
-        order = np.argsort(-values)
-        v = np.linalg.qr((turn[:, order].T @ y).T)[0].T
-    handle = f.spark.sparkContext.broadcast(v)
-
-    def parts(j, x):
-        u = handle.value[:, j] @ x
-        return np.zeros((k, len(j))), np.concatenate([np.maximum(u, 0) ** 2, np.minimum(u, 0) ** 2])
-
-    _, squares = f.sums(k, parts)
-    up, down = np.sqrt(squares[:k]), np.sqrt(squares[k:])
-    h = np.zeros((k, n))
-    for i in range(k):
-        plus, minus = np.maximum(v[i], 0), np.maximum(-v[i], 0)
-        a, b = up[i] * np.linalg.norm(plus), down[i] * np.linalg.norm(minus)
-        part, weight = (plus, a) if a >= b else (minus, b)
-        h[i] = np.sqrt(weight) * part / max(np.linalg.norm(part), 1e-12)
-    mean = max(float(h.mean()), 1e-9)
-    return np.where(h > 1e-9, h, mean)
-
-
-def _weights(j: np.ndarray, v: np.ndarray, base: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    b = base[:, j] @ v
-    w = np.full(len(base), 1.0 / len(base))
+        y, grams = f.sums(np.vstack(each), step, width, sum(k * k for k in ks))
+        for c, gram in enumerate(_squares(grams, ks)):
+            values, turn = np.linalg.eigh(gram)
+            order = np.argsort(-values)
+            each[c] = np.linalg.qr((turn[:, order].T @ y[places[c]]).T)[0].T
+
+    def parts(v, i, m, j, x):
+        u = _products(v, i, m, j, x)
+        return u, np.concatenate([(np.maximum(u, 0) ** 2).sum(1), (np.minimum(u, 0) ** 2).sum(1)])
+
+    _, squares = f.sums(np.vstack(each), parts, 0, 2 * width)
+    out = []
+    for v, p in zip(each, places):
+        up, down = np.sqrt(squares[:width][p]), np.sqrt(squares[width:][p])
+        h = np.zeros(v.shape)
+        for i in range(len(v)):
+            plus, minus = np.maximum(v[i], 0), np.maximum(-v[i], 0)
+            a, b = up[i] * np.linalg.norm(plus), down[i] * np.linalg.norm(minus)
+            part, weight = (plus, a) if a >= b else (minus, b)
+            h[i] = np.sqrt(weight) * part / max(np.linalg.norm(part), 1e-12)
+        mean = max(float(h.mean()), 1e-9)
+        out.append(np.where(h > 1e-9, h, mean))
+    return out
+
+
+def _weights(b: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """(factors, documents): nonnegative weights from the factors' products with the documents and with each other."""
+    w = np.full(b.shape, 1.0 / len(b))
     for _ in range(30):
         w = w * b / np.maximum(gram @ w, 1e-12)
     return w
@@ -138,19 +183,27 @@ def factorise(cells: DataFrame, doc: str, term: str, value: str, k: int, rounds:
     of that size. A document's weights are solved from its own cells.
     """
     f = Factors(cells, doc, term, value)
-    k = min(k, len(f.terms))
-    h = singular_start(f, k) if start == "singular" else np.random.default_rng(seed).random((k, len(f.terms))) + 0.1
-    for _ in range(rounds):
-        handle = f.spark.sparkContext.broadcast((h, h @ h.T))
+    h = factorise_each(f, [k], rounds, start, seed)[0]
+    return _solved(f, h), h, f.terms
 
-        def update(j, v):
-            w = _weights(j, v, *handle.value)
-            return np.outer(w, v), np.outer(w, w)
 
-        num, wtw = f.sums(k, update)
-        h = h * num / np.maximum(wtw.reshape(k, k) @ h, 1e-12)
-        h = h / np.maximum(h.sum(1, keepdims=True), 1e-12)
-    return _solved(f, h), h, f.terms
+def factorise_each(f: Factors, ks: Sequence[int], rounds: int = 15, start: str = "singular", seed: int = 1) -> list[np.ndarray]:
+    """The term factors of `factorise` for several numbers of factors; a round of all of them is one pass over the documents."""
+    ks = [min(k, len(f.terms)) for k in ks]
+    places = _places(ks)
+    hs = singular_starts(f, ks) if start == "singular" else [np.random.default_rng(seed).random((k, len(f.terms))) + 0.1 for k in ks]
+
+    def update(given, i, m, j, v):
+        base, grams = given
+        b = _products(base, i, m, j, v)
+        w = np.vstack([_weights(b[p], g) for p, g in zip(places, grams)])
+        return w, _grams(w, places)
+
+    for _ in range(rounds):
+        num, wtw = f.sums((np.vstack(hs), [h @ h.T for h in hs]), update, sum(ks), sum(k * k for k in ks))
+        hs = [h * num[p] / np.maximum(g @ h, 1e-12) for h, p, g in zip(hs, places, _squares(wtw, ks))]
+        hs = [h / np.maximum(h.sum(1, keepdims=True), 1e-12) for h in hs]
+    return hs
 
 
 def _solved(f: Factors, h: np.ndarray) -> DataFrame:
@@ -158,26 +211,35 @@ def _solved(f: Factors, h: np.ndarray) -> DataFrame:
     doc = f.doc
 
     def solve(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            yield pd.DataFrame({doc: b[doc], "weights": [list(_weights(np.asarray(j), np.asarray(v), *handle.value)) for j, v in zip(b["j"], b["v"])]})
+            base, gram = handle.value
+            i, j, v = _cells(b)
+            w = _weights(_products(base, i, b.num_rows, j, v), gram)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(base), pa.int32()), pa.array(w.T.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(doc), lists], [doc, "weights"])
 
-    return f.rows.mapInPandas(solve, f"`{doc}` {dict(f.rows.dtypes)[doc]}, weights array<double>")
+    return f.rows.mapInArrow(solve, f"`{doc}` {dict(f.rows.dtypes)[doc]}, weights array<double>")
 
 
 def residual(cells: DataFrame, doc: str, term: str, value: str, h: np.ndarray, terms: Sequence[str]) -> float:
     """The norm of what the factors leave of other documents, each solved for its own weights."""
-    f = Factors(cells, doc, term, value, terms)
-    handle = f.spark.sparkContext.broadcast((h, h @ h.T))
+    return residuals(Factors(cells, doc, term, value, terms), [h])[0]
+
+
+def residuals(f: Factors, hs: Sequence[np.ndarray]) -> list[float]:
+    """The same for the factors of several models in one pass."""
+    places = _places([len(h) for h in hs])
 
-    def left(j, v):
-        base, gram = handle.value
-        w = _weights(j, v, base, gram)
-        return np.zeros((1, len(j))), np.array([v @ v - 2 * (w @ base[:, j]) @ v + w @ gram @ w])
+    def left(given, i, m, j, v):
+        base, grams = given
+        b = _products(base, i, m, j, v)
+        w = [_weights(b[p], g) for p, g in zip(places, grams)]
+        return b, np.array([v @ v - 2 * (x * b[p]).sum() + (x * (g @ x)).sum() for x, p, g in zip(w, places, grams)])
 
-    rest = f.sums(1, left)[1]
-    return float(np.sqrt(max(rest[0], 0.0))) if len(rest) else 0.0
+    _, rest = f.sums((np.vstack(hs), [h @ h.T for h in hs]), left, 0, len(hs))
+    return [float(np.sqrt(max(x, 0.0))) for x in rest]
 
 
 def lda(docs: DataFrame, k: int, rounds: int = 25, seed: int = 1):

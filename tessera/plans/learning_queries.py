@@ -304,14 +304,15 @@ def tx6(spark: SparkSession, d: str) -> DataFrame:
     held = materialize(docs.select("recall_id", "terms"), "terms")
     outside = F.pmod(F.xxhash64("recall_id", F.lit("held")), F.lit(3)) == 0
 
-    def scored(k: int) -> tuple[int, float, float]:
-        _, h, terms = T.factorise(c, "recall_id", "term", "w", k, 8)
-        top = spark.createDataFrame([(i, t) for i, ts in enumerate(T.top_terms(h, terms, 10)) for t in ts], "topic int, term string")
-        coherence = float(npmi(held, "recall_id", "terms", top).agg(F.avg("npmi")).first()[0])
-        _, g, known = T.factorise(c.where(~outside), "recall_id", "term", "w", k, 8)
-        return k, coherence, T.residual(c.where(outside), "recall_id", "term", "w", g, known)
-
-    scores = spark.createDataFrame(L.side_by_side(scored, SWEEP), "k int, coherence double, held_out_error double")
+    # the models of all numbers of topics share their passes over the documents
+    whole, inside = (T.Factors(x, "recall_id", "term", "w") for x in (c, c.where(~outside)))
+    beyond = T.Factors(c.where(outside), "recall_id", "term", "w", inside.terms)
+    fits = T.factorise_each(whole, SWEEP, 8)
+    errors = T.residuals(beyond, T.factorise_each(inside, SWEEP, 8))
+    top = spark.createDataFrame([((k, i), t) for k, h in zip(SWEEP, fits) for i, ts in enumerate(T.top_terms(h, whole.terms, 10)) for t in ts], "topic struct<k int, i int>, term string")
+    means = npmi(held, "recall_id", "terms", top).groupBy("topic.k").agg(F.avg("npmi").alias("npmi"))
+    coherence = {r["k"]: r["npmi"] for r in means.collect()}  # a row per number of topics
+    scores = spark.createDataFrame([(k, float(coherence[k]), e) for k, e in zip(SWEEP, errors)], "k int, coherence double, held_out_error double")
     best = first_peak(scores, "k", "coherence").first()["k"]
     return scores.withColumn("chosen", F.col("k") == best)
 

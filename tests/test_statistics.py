@@ -160,6 +160,37 @@ def test_factors_find_blocks_of_terms(spark):
     assert abs(start[0] / np.linalg.norm(start[0]) @ np.abs(v[0])) > 0.9
 
 
+def test_models_share_their_passes_over_the_documents(spark):
+    from __spark_entry__ import queries
+    from tessera.operators.topics import Factors, factorise, factorise_each, residual, residuals
+
+    rng = np.random.default_rng(4)
+    rows = [(d, f"{'abcd'[d % 4]}{t}", float(rng.integers(1, 5))) for d in range(80) for t in rng.choice(6, 4, replace=False)]
+    cells = spark.createDataFrame(rows, "doc int, term string, w double")
+    f, ks = Factors(cells, "doc", "term", "w"), [2, 3, 5]
+    for start in ("singular", "random"):
+        hs = factorise_each(f, ks, 6, start)
+        for k, h in zip(ks, hs):
+            assert h == pytest.approx(factorise(cells, "doc", "term", "w", k, 6, start)[1], rel=1e-6, abs=1e-9)
+    assert residuals(f, hs) == pytest.approx([residual(cells, "doc", "term", "w", h, f.terms) for h in hs])
+    jobs = spark._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert queries()["tx6_topic_count"](spark, "/root/testdata/sf0.001").count() == 6
+    assert jobs() - before < 120  # not as many again for each number of topics
+
+
+def test_partial_sums_are_bounded(spark, monkeypatch):
+    from tessera.operators import topics as T
+
+    rows = [(d, f"t{(d * 7 + i) % 11}", 1.0 + i) for d in range(90) for i in range(3)]
+    f = T.Factors(spark.createDataFrame(rows, "doc int, term string, w double").repartition(4), "doc", "term", "w")
+    want = T.factorise_each(f, [2, 3], 4)
+    monkeypatch.setattr(T, "SENT", 1)  # one task
+    monkeypatch.setattr(T, "BLOCK", 4)
+    for a, b in zip(want, T.factorise_each(f, [2, 3], 4)):
+        assert a == pytest.approx(b, rel=1e-6, abs=1e-9)
+
+
 def test_log_gamma():
     x = np.array([1e-3, 0.5, 1.0, 2.0, 9.99, 10.0, 123.4, 1e6])
     assert S._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
